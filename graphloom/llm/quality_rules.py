@@ -77,22 +77,22 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", into: str = "
     step = step.join(lines, F.col(host).cast("string").eqNullSafe(F.col("__host")), "left")
     hit = lambda x: F.array_contains("__frequent", F.xxhash64(F.trim(F.regexp_replace(F.lower(x), SPACE, " "))))
     removed = F.when(F.col("__frequent").isNotNull(), F.aggregate(F.filter("__lines", hit), F.lit(0).cast("long"), lambda a, x: a + F.size(words_of(x))))
-    step = step.withColumn(
-        into,
-        F.struct(
-            F.size("__words").cast("long").alias("n_words"),
-            F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-            covered.alias("n_repeat_words"),
-            F.coalesce(removed, F.lit(0).cast("long")).alias("removed_words"),
-        ),
+    counted = step.select(
+        *(F.col(f"`{c}`") for c in kept_columns),
+        F.size("__words").cast("long").alias("__n_words"),
+        F.length(F.array_join("__words", "")).cast("long").alias("__word_chars"),
+        (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("__n_symbols"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__n_dup_lines"),
+        covered.alias("__n_repeat_words"),
+        F.coalesce(removed, F.lit(0).cast("long")).alias("__removed_words"),
+        F.monotonically_increasing_id().alias("__once"),  # keeps filters on the verdict above the counts, made once
     )
-    q = F.col(into)
-    failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > REPEAT_PERCENT * q["n_words"])
-    depleted = (q["n_words"] - q["removed_words"]) < F.lit(keep) * q["n_words"]
-    verdicts = q.withField("base_failed", failed).withField("kept", ~failed & ~depleted)
-    return step.select(*(F.col(f"`{c}`") for c in kept_columns), verdicts.alias(into))
+    n = F.col("__n_words")
+    failed = (n < MIN_WORDS) | (100 * F.col("__n_repeat_words") > REPEAT_PERCENT * n)
+    depleted = (n - F.col("__removed_words")) < F.lit(keep) * n
+    fields = [F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words")]
+    verdict = F.struct(*fields, failed.alias("base_failed"), (~failed & ~depleted & (F.col("__once") >= 0)).alias("kept"))
+    return counted.select(*(F.col(f"`{c}`") for c in kept_columns), verdict.alias(into))
 
 
 def keep_good(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
