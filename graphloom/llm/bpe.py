@@ -246,12 +246,12 @@ class Cache(dict):
         self.bpe = bpe
 
     def learn(self, pieces: Iterable[str]) -> None:
-        new = set(pieces).difference(self.keys())
-        if new:
-            if len(self) + len(new) > CACHE:
+        seen = set(pieces)
+        todo = [p for p in seen if p not in self]
+        if todo:
+            if len(self) + len(todo) > CACHE:
                 self.clear()
-                new = set(pieces)
-            todo = list(new)
+                todo = list(seen)
             self.update(zip(todo, (x.astype("<u4").tobytes() for x in self.bpe.encode_pieces(todo)), strict=True))
 
 
@@ -271,7 +271,7 @@ def encode_all(texts: list[str | None], path: str) -> Iterable[bytes]:
             lists.append([(k, s if k is not None else bpe.pieces(s)) for k, s in bpe.parts(texts[cut])])
             size += len(texts[cut] or "")
             cut += 1
-        cache.learn([p for parts in lists for k, x in parts if k is None for p in x])
+        cache.learn(set().union(*(x for parts in lists for k, x in parts if k is None)))
         for parts in lists:
             yield b"".join(np.uint32(k).astype("<u4").tobytes() if k is not None else b"".join(map(cache.__getitem__, x)) for k, x in parts)
         at = cut
