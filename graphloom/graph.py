@@ -2,50 +2,73 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .schema import edge_key
+from .scratch import written
 
 
-@dataclass
 class Graph:
-    """nodes: id, label and properties. edges: src, type, dst, src_label, dst_label, identified by (src, type, dst)."""
+    """nodes: id, label and properties. edges: src, type, dst, src_label, dst_label, identified by (src, type, dst). The
+    graph is kept as one table for each label and kind of edge, so that a query plans and scans only what it names."""
 
-    nodes: DataFrame
-    edges: DataFrame
-    by_label: dict[str, DataFrame] = field(default_factory=dict)
+    def __init__(self, nodes: dict[str, Callable[[], DataFrame]], edges: dict[tuple[str, str, str], Callable[[], DataFrame]]):
+        self._nodes, self._edges = nodes, edges
+        self._keyed: dict[tuple[str, ...], DataFrame] = {}
 
     @classmethod
-    def of(cls, nodes: dict[str, DataFrame], edges: dict[tuple[str, str, str], DataFrame], columns: dict[str, str]) -> Graph:
-        """From a DataFrame for each label and each kind of edge; the union's constant labels and types let the planner
-        drop the branches that a filter excludes."""
-        full = lambda label, df: df.select(*(F.lit(label).alias("label") if c == "label" else F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()))
-        some = [full(label, df) for label, df in nodes.items()]
-        kinds = [df.select("src", F.lit(t).alias("type"), "dst", F.lit(a).alias("src_label"), F.lit(b).alias("dst_label")) for (t, a, b), df in edges.items()]
-        return cls(reduce(DataFrame.unionAll, some), reduce(DataFrame.unionAll, kinds), dict(zip(nodes, some, strict=True)))
+    def of(cls, nodes: dict[str, Callable[[], DataFrame]], edges: dict[tuple[str, str, str], Callable[[], DataFrame]], columns: dict[str, str]) -> Graph:
+        """From a maker of a DataFrame for each label and each kind of edge; missing columns of nodes are null."""
+
+        def node(label: str, df: DataFrame) -> DataFrame:
+            return df.select(*(F.lit(label).alias("label") if c == "label" else F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()))
+
+        def edge(kind: tuple[str, str, str], df: DataFrame) -> DataFrame:
+            return df.select("src", F.lit(kind[0]).alias("type"), "dst", F.lit(kind[1]).alias("src_label"), F.lit(kind[2]).alias("dst_label"))
+
+        return cls({k: lambda k=k, f=f: node(k, f()) for k, f in nodes.items()}, {k: lambda k=k, f=f: edge(k, f()) for k, f in edges.items()})
 
     @classmethod
     def loaded(cls, nodes: DataFrame, edges: DataFrame) -> Graph:
-        """From raw tables: the first node of an id, edges once, and only those with both ends."""
+        """From raw tables: the first node of an id, edges once, and only those with both ends. Where the edges lack the
+        labels of their ends, these are looked up."""
         nodes = nodes.dropDuplicates(["id"])
         edges = edges.dropDuplicates(["src", "type", "dst"])
-        ids = nodes.select("id")
-        return cls(nodes, edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        ends = nodes.select("id", "label")
+        edges = edges.select("src", "type", "dst").join(ends.select(F.col("id").alias("src"), F.col("label").alias("src_label")), "src").join(ends.select(F.col("id").alias("dst"), F.col("label").alias("dst_label")), "dst")
+        return cls({"": lambda: nodes}, {("", "", ""): lambda: edges.select("src", "type", "dst", "src_label", "dst_label")})
+
+    @property
+    def nodes(self) -> DataFrame:
+        return reduce(DataFrame.unionAll, [f() for f in self._nodes.values()])
+
+    @property
+    def edges(self) -> DataFrame:
+        return reduce(DataFrame.unionAll, [f() for f in self._edges.values()])
 
     def n(self, *labels: str) -> DataFrame:
-        return self.nodes.where(F.col("label").isin(*labels))
+        if "" in self._nodes:
+            return self.nodes.where(F.col("label").isin(*labels))
+        some = [f() for k, f in self._nodes.items() if k in labels]
+        return reduce(DataFrame.unionAll, some) if some else self.nodes.limit(0)
 
     def e(self, *types: str, src: str | None = None, dst: str | None = None) -> DataFrame:
-        out = self.edges.where(F.col("type").isin(*types))
-        out = out.where(F.col("src_label") == src) if src else out
-        return out.where(F.col("dst_label") == dst) if dst else out
+        if ("", "", "") in self._edges:
+            out = self.edges.where(F.col("type").isin(*types))
+            out = out.where(F.col("src_label") == src) if src else out
+            return out.where(F.col("dst_label") == dst) if dst else out
+        some = [f() for (t, a, b), f in self._edges.items() if t in types and src in (None, a) and dst in (None, b)]
+        return reduce(DataFrame.unionAll, some) if some else self.edges.limit(0)
 
     def keyed(self, *types: str) -> DataFrame:
-        return self.e(*types).select("src", "type", "dst", edge_key().alias("key"))
+        """Edges with their keys, as a table: a traversal joins them once for each level."""
+        if types not in self._keyed:
+            self._keyed[types] = written(self.e(*types).select("src", "type", "dst", edge_key().alias("key")), "edges")
+        return self._keyed[types]
 
     def contained(self, max_hops: int = 4, root_label: str = "Repository") -> DataFrame:
         """(root, id, label, hops): what a node of root_label contains within a bound of hops; deeper entities are absent."""

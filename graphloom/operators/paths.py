@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MAX_DEPTH, MAX_NODES, MAX_PATHS, check
+from ..scratch import written
 
 PATH = ["root", "node", "hops", "node_ids", "rel_types", "edge_keys"]
 
@@ -87,16 +88,16 @@ def cycles(edges: DataFrame, max_hops: int = 6, limit: int | None = None) -> Dat
 def reachable(edges: DataFrame, root: DataFrame, direction: str = "in", max_hops: int | None = None) -> DataFrame:
     """(id, hops) of every node that is reached, the root included; levels until none is new."""
     pairs = {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[direction]
-    steps = reduce(DataFrame.unionAll, [edges.select(F.col(a).alias("s_"), F.col(b).alias("d_")) for a, b in pairs]).distinct().persist()
-    seen = frontier = root.select("id", F.lit(0).alias("hops")).persist()
+    steps = written(reduce(DataFrame.unionAll, [edges.select(F.col(a).alias("s_"), F.col(b).alias("d_")) for a, b in pairs]).distinct(), "steps")
+    seen = frontier = written(root.select("id", F.lit(0).alias("hops")), "seen")
     hops = 0
     while max_hops is None or hops < max_hops:
         hops += 1
         new = frontier.join(steps, F.col("id") == F.col("s_")).select(F.col("d_").alias("id")).distinct()
-        frontier = new.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hops)).persist()
+        frontier = written(new.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hops)), "frontier")
         if frontier.isEmpty():
             return seen
-        seen = seen.unionAll(frontier)
+        seen = written(seen.unionAll(frontier), "seen")
     return seen
 
 

@@ -72,7 +72,7 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
             tables.setdefault(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
         return spark.sql(sql, **{t: tables[t] for t in _tables(sql)})
 
-    return Graph.of({label: run(sql) for label, sql in NODES.items()}, {kind: run(sql) for kind, sql in EDGES.items()}, COLUMNS)
+    return Graph.of({label: lambda sql=sql: run(sql) for label, sql in NODES.items()}, {kind: lambda sql=sql: run(sql) for kind, sql in EDGES.items()}, COLUMNS)
 
 
 def duckdb(body: str) -> str:

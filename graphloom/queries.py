@@ -387,9 +387,9 @@ def _impact(roots: list[str], depth: int = 3, exclude: bool = False) -> str:
     p AS (SELECT mm.entity AS root, t.ids, row_number() OVER () AS no FROM t JOIN mm ON mm.fn = t.root WHERE t.hops > 0),
     s AS (SELECT root, no, ids, unnest(ids) AS fn, unnest(range(len(ids))) AS at FROM p),
     o AS (SELECT s.root, s.no, any_value(s.ids[len(s.ids)]) AS via, list(coalesce(w.owner, s.fn) ORDER BY s.at DESC) AS os FROM s LEFT JOIN owner w ON w.fn = s.fn GROUP BY s.root, s.no),
-    c AS (SELECT root, via, list_filter(os, (x, i) -> i = 1 OR os[i - 1] <> x) AS cs FROM o),
+    c AS (SELECT root, via, list_filter(os, lambda x, i: i = 1 OR os[i - 1] <> x) AS cs FROM o),
     d AS (SELECT root, via, CASE WHEN cs[len(cs)] = root THEN cs ELSE list_append(cs[1:len(cs) - 1], root) END AS raw FROM c),
-    f AS (SELECT root, via, list_filter(raw, (x, i) -> i = 1 OR raw[i - 1] <> x) AS nodes FROM d),
+    f AS (SELECT root, via, list_filter(raw, lambda x, i: i = 1 OR raw[i - 1] <> x) AS nodes FROM d),
     z AS (SELECT root, nodes[1] AS target, greatest(1, len(nodes) - 1) AS hops, 'CALLS' AS relationship, array_to_string(nodes, '>') AS path, via, 0 AS channel FROM f WHERE len(nodes) >= 2
         UNION ALL SELECT root, node, hops, 'IMPORTS', array_to_string(list_reverse(ids), '>'), NULL, 1 FROM ti WHERE hops > 0 UNION ALL SELECT root, node, hops, 'EXTENDS', array_to_string(list_reverse(ids), '>'), NULL, 2 FROM te WHERE hops > 0),
     imp AS (SELECT root, target, CAST(hops AS BIGINT) AS hops, CASE WHEN hops <= 1 THEN 'DIRECT' ELSE 'INDIRECT' END AS impact, relationship, path, via FROM
