@@ -19,22 +19,24 @@ training texts all counts are 0; repeated rows each give a row (and each count i
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ROWS, written
 from .words import partial_counts, words_of
 
-STATES, SYMBOLS, LENGTHS, ROUNDS, KNOWN, FOLDS = 3, 8192, 24, 2, 131_072, 10
+STATES, SYMBOLS, LENGTHS, ROUNDS, KNOWN, FOLDS = 4, 8192, 24, 3, 131_072, 10
 SMOOTH = 0.1
 #: Cells (texts times steps) of one array of the recursions.
-CELLS = 1 << 18
+CELLS = 1 << 20
 END = 0
 
 
@@ -43,16 +45,30 @@ def held_out(row_id: str):
 
 
 class Symbols:
-    """Numbers of words: 0 is the end, then the shared symbols by length, then the frequent words."""
-
-    def __init__(self, own: list[str]):
-        self.size = 1 + LENGTHS + len(own)
-        self.own = {w.encode(): 1 + LENGTHS + k for k, w in enumerate(own)}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        get = self.own.get
-        out = np.fromiter((get(w) or min(len(w), LENGTHS) for w in words), dtype=np.int32, count=len(words))
-        return np.append(out, np.int32(END))
+    """Numbers of words: 0 is the end, then the shared symbols by length, then the most frequent words; known words have
+    the logarithm of their smoothed count as well."""
+
+    def __init__(self, top: dict[str, int], own: int = SYMBOLS):
+        self.size = 1 + LENGTHS + min(own, len(top))
+        self.own = list(top)[:own]
+        self.index = {w.encode(): k for k, w in enumerate(top)}
+        lengths = [min(len(w), LENGTHS) for w in self.index]
+        self.symbol = np.array([1 + LENGTHS + k if k < own else n for k, n in enumerate(lengths)], dtype=np.int32)
+        self.log = np.array([math.log10(c + SMOOTH) for c in top.values()])
+        self.inner = np.where(np.arange(len(top)) < own, 0.0, self.log)
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Each word's place among the known ones, or -1."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+
+    def __call__(self, words: list[bytes], at: np.ndarray | None = None) -> np.ndarray:
+        at = self.places(words) if at is None else at
+        out = np.empty(len(words) + 1, dtype=np.int16)
+        out[:-1] = self.symbol[at] if len(self.symbol) else 0
+        for k in np.flatnonzero(at < 0):
+            out[k] = min(len(words[k]), LENGTHS)
+        out[-1] = END
+        return out
 
 
 class Model:
@@ -63,11 +79,11 @@ class Model:
 
     @classmethod
     def fresh(cls, totals: np.ndarray, states: int = STATES, seed: int = 7) -> Model:
-        """Near the unigram distribution of the symbols' training counts, with some noise that tells states apart."""
+        """The unigram distribution of the symbols' training counts times noise that tells states apart; states that stay."""
         rng = np.random.default_rng(seed)
         base = (totals + SMOOTH) / (totals + SMOOTH).sum()
-        emissions = base * rng.uniform(0.5, 1.5, (states, len(totals)))
-        moves = np.full((states, states), 1 / states) + np.eye(states) * 0.2
+        emissions = base * rng.lognormal(0.0, 0.5, (states, len(totals)))
+        moves = np.full((states, states), 0.2) + np.eye(states) * 0.8
         return cls(np.full(states, 1 / states), moves / moves.sum(1, keepdims=True), emissions / emissions.sum(1, keepdims=True))
 
     @classmethod
@@ -139,7 +155,7 @@ class Model:
         return start, moves, emissions
 
 
-def _batches(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[int, list[list[bytes]]]]:
+def _batches(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[int, list[list[bytes]]]]:
     """A batch's words, a few megabytes of text at a time; with the first row's number."""
     column, at, out, size = batch.column(batch.schema.get_field_index("text")), 0, [], 0
     for k, value in enumerate(column):
@@ -153,18 +169,31 @@ def _batches(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[int,
         yield at, out
 
 
-def train(texts: DataFrame, symbols, totals: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all texts (column text). symbols: a broadcast Symbols; totals: training counts by symbol."""
+def encoded(texts: DataFrame, symbols) -> DataFrame:
+    """One column, the symbols of each text; all rounds of training read this table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, lists in _batches(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([symbols.value(w) for w in lists], pa.list_(pa.int16()))], names=["symbols"])
+
+    return texts.select("text").mapInArrow(run, "symbols array<smallint>")
+
+
+def train(sequences: DataFrame, totals: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch over all sequences (column symbols). totals: training counts by symbol."""
     model = Model.fresh(totals)
-    spark = texts.sparkSession
+    spark = sequences.sparkSession
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             start, moves, emissions = (np.zeros(x.shape) for x in (now.value.start, now.value.moves, now.value.emissions))
             for batch in batches:
-                for _, words in _batches(batch):
-                    a, b, c = now.value.expected([symbols.value(w) for w in words])
+                column = batch.column(0)
+                flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+                for at in range(0, batch.num_rows, ROWS):
+                    a, b, c = now.value.expected([flat[x:y] for x, y in itertools.pairwise(ends[at : at + ROWS + 1])])
                     start, moves, emissions = start + a, moves + b, emissions + c
             states = len(start)
             rows = np.concatenate([start[:, None], moves, emissions], axis=1)  # a column for each parameter
@@ -172,7 +201,7 @@ def train(texts: DataFrame, symbols, totals: np.ndarray, rounds: int = ROUNDS) -
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(rows[k, used]) for k in range(states))], names=["p", *(f"c{k}" for k in range(states))])
 
         states = len(model.start)
-        counts = texts.select("text").mapInArrow(run, "p int, " + ", ".join(f"c{k} double" for k in range(states)))
+        counts = sequences.mapInArrow(run, "p int, " + ", ".join(f"c{k} double" for k in range(states)))
         rows = np.zeros((states, 1 + states + len(totals)))
         for r in counts.groupBy("p").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(states))).collect():
             rows[:, r["p"]] = r[1:]
@@ -188,7 +217,7 @@ def scores(df: DataFrame, text: str = "text", row_id: str = "doc_id", rounds: in
     counts = written(partial_counts(training).groupBy("word").agg(F.sum("n").alias("c")), "counts")
     ends = training.count()
     top = {r["word"]: r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(KNOWN).toLocalIterator()}
-    symbols = Symbols(list(top)[:SYMBOLS])
+    symbols = Symbols(top, SYMBOLS)
 
     # training tokens, and tokens and distinct words by symbol
     length = F.least(F.octet_length("word"), F.lit(LENGTHS))
@@ -197,38 +226,37 @@ def scores(df: DataFrame, text: str = "text", row_id: str = "doc_id", rounds: in
     totals = np.zeros(symbols.size)
     shared = np.zeros(LENGTHS + 1)
     totals[END] = ends
-    for word, k in symbols.own.items():
-        totals[k] = top[word.decode()]
+    for k, word in enumerate(symbols.own):
+        totals[1 + LENGTHS + k] = top[word]
     for k in range(1, LENGTHS + 1):
-        own = [w for w in symbols.own if min(len(w), LENGTHS) == k]
+        own = [w for w in symbols.own if min(len(w.encode()), LENGTHS) == k]
         c, v = sums.get(k, (0, 0))
-        totals[k] = c - sum(top[w.decode()] for w in own)
+        totals[k] = c - sum(top[w] for w in own)
         shared[k] = math.log10(totals[k] + SMOOTH * (v - len(own) + 1))
 
     send = spark.sparkContext.broadcast
     numbers = send(symbols)
-    model = send(train(training, numbers, totals, rounds))
-    logs = send({w.encode(): math.log10(c + SMOOTH) for w, c in top.items()})
+    model = send(train(written(encoded(training, numbers), "symbols") if rounds else training.limit(0), totals, rounds))
     unit, end_log = math.log10(tokens + SMOOTH * (distinct + 1)), math.log10(ends + SMOOTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each text its part of the scores and its words beyond the broadcast ones."""
-        known, own = logs.value, numbers.value.own
+        known = numbers.value
         for batch in batches:
             for at, lists in _batches(batch):
-                sequences = [numbers.value(w) for w in lists]
-                likelihood = model.value.score(sequences)
-                base, inner, seen, rare, times = [], [], [], [], []
-                for words, sequence in zip(lists, sequences, strict=True):
-                    held = Counter(words)
-                    found = held.keys() & known.keys()
-                    part = math.fsum(held[w] * known[w] for w in found)
-                    base.append(part + end_log)
-                    inner.append(math.fsum(held[w] * known[w] for w in found - own.keys()) - float(shared[sequence[sequence <= LENGTHS]].sum()))
-                    seen.append(sum(held[w] for w in found))
-                    rest = held.keys() - found
+                sequences, base, inner, seen, rare, times = [], [], [], [], [], []
+                for words in lists:
+                    places = known.places(words)
+                    found = places[places >= 0]
+                    sequences.append(known(words, places))
+                    base.append(float(known.log[found].sum()) + end_log)
+                    shares = shared[sequences[-1][:-1][sequences[-1][:-1] <= LENGTHS]]
+                    inner.append(float(known.inner[found].sum()) - float(shares.sum()))
+                    seen.append(len(found))
+                    rest = Counter(words[k] for k in np.flatnonzero(places < 0))
                     rare.append([w.decode("utf-8", "replace") for w in rest])
-                    times.append([held[w] for w in rest])
+                    times.append(list(rest.values()))
+                likelihood = model.value.score(sequences)
                 part = batch.slice(at, len(lists))
                 columns = [part.column(k) for k in range(part.num_columns) if part.schema.names[k] != "text"]
                 names = [n for n in part.schema.names if n != "text"]
