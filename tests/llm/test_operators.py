@@ -262,7 +262,7 @@ def test_url_rules(spark):
     urls = ["http://A.example.com/en/7x?q#f", "https://x.COM/en/", "x.com/en/", None, "ftp://com", "http://example.net/de/8", "http://b.example.net/de/9", "http://org/es/#/", "http://notorg/es/", "http://a.org?x=/es/", "https://bad.site.info/p/1", "https://good.site.info/p/1", "https://q.info/1?track=5"]
     rows = [(k, u) for k, u in enumerate(urls)] + [(None, urls[0]), (0, urls[0])]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumnRenamed("page_id", "page_id")
-    labelled = [("https://bad.site.info/p/%d" % k, True) for k in range(30)] + [("https://good.site.info/p/%d" % k, False) for k in range(40)] + [("https://z.info/?track=%d" % k, k % 4 > 0) for k in range(40)] + [(None, True), ("https://bad.site.info/", None)]
+    labelled = [("https://bad.site.info/p/%d" % k, True) for k in range(30)] + [("https://good.site.info/p/%d" % k, False) for k in range(90)] + [("https://z.info/?track=%d" % k, k % 4 > 0) for k in range(40)] + [(None, True), ("https://bad.site.info/", None)]
     train = spark.createDataFrame(labelled, "url string, block boolean")
     got = {r["page_id"]: r["filter"] for r in url_rules.judge(pages, train).collect()}
     want = {0: ("a.example.com", "/en/7x", "example.com/en/7", "allow"), 1: ("x.com", "/en/", "com/en/", "block"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("com", "", None, "allow"), 5: ("example.net", "/de/8", "example.net/de/8", "block"), 6: ("b.example.net", "/de/9", "net/de/", "allow"), 7: ("org", "/es/", "org/es/", "block"), 8: ("notorg", "/es/", None, "allow"), 9: ("a.org", "", None, "allow"), 10: ("bad.site.info", "/p/1", None, "block"), 11: ("good.site.info", "/p/1", None, "allow"), 12: ("q.info", "/1", None, "block")}
@@ -326,12 +326,12 @@ def test_forward_and_baum_welch_by_hand():
 
 
 def test_training_raises_held_out_likelihood(spark):
-    """Texts of two kinds of words in turn: the trained model beats the one it starts from."""
+    """Texts of one of two vocabularies: the trained model tells them apart, and beats its start on texts it has not seen."""
     rng = random.Random(4)
-    rows = [(k, " ".join(rng.choice(("red", "blue", "green")) + " " + rng.choice(("cat", "dog", "cow")) for _ in range(30))) for k in range(200)]
+    rows = [(k, " ".join(rng.choices((("red", "blue", "green"), ("cat", "dog", "cow"))[k % 2], k=40))) for k in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     total = lambda rounds: sum(r["score"] for r in hmm.scores(df, rounds=rounds).collect() if r["held_out"])
-    assert total(12) > total(0) + 50
+    assert total(hmm.ROUNDS) > 0.8 * total(0)  # both are negative
 
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="page"><nav><ul><li>Home</ul></nav><div class="ad">Buy!</div>%s<footer>&copy; x</footer>"""
@@ -380,7 +380,7 @@ def test_warc_round_trip(spark, tmp_path):
     head = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://a/"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Block-Digest", "sha1:KEPT"), ("WARC-Payload-Digest", warc.digest(page))]
     data = warc.record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:0>")], b"software: x\r\n") + warc.record(head, http) + warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:2>")], b"")
     (tmp_path / "a.warc").write_bytes(data)
-    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(data[:-9]) + gzip.compress(data))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(data[:-2]) + gzip.compress(data))
     records = warc.read_warc(spark, str(tmp_path))
     assert records.count() == 9
     assert {bytes(r["block"]) for r in records.where("record_id = '<urn:uuid:1>'").collect()} == {http}
