@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROWS, written
-from .words import partial_counts, words_of
+from .words import partial_counts, top, words_of
 
 STATES, SYMBOLS, LENGTHS, ROUNDS, KNOWN, FOLDS = 4, 8192, 24, 3, 131_072, 10
 SMOOTH = 0.1
@@ -216,8 +216,8 @@ def scores(df: DataFrame, text: str = "text", row_id: str = "doc_id", rounds: in
     training = docs.where("NOT held_out").select("text")
     counts = written(partial_counts(training).groupBy("word").agg(F.sum("n").alias("c")), "counts")
     ends = training.count()
-    top = {r["word"]: r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(KNOWN).toLocalIterator()}
-    symbols = Symbols(top, SYMBOLS)
+    known = top(counts, KNOWN, "c")
+    symbols = Symbols(known, SYMBOLS)
 
     # training tokens, and tokens and distinct words by symbol
     length = F.least(F.octet_length("word"), F.lit(LENGTHS))
@@ -227,11 +227,11 @@ def scores(df: DataFrame, text: str = "text", row_id: str = "doc_id", rounds: in
     shared = np.zeros(LENGTHS + 1)
     totals[END] = ends
     for k, word in enumerate(symbols.own):
-        totals[1 + LENGTHS + k] = top[word]
+        totals[1 + LENGTHS + k] = known[word]
     for k in range(1, LENGTHS + 1):
         own = [w for w in symbols.own if min(len(w.encode()), LENGTHS) == k]
         c, v = sums.get(k, (0, 0))
-        totals[k] = c - sum(top[w] for w in own)
+        totals[k] = c - sum(known[w] for w in own)
         shared[k] = math.log10(totals[k] + SMOOTH * (v - len(own) + 1))
 
     send = spark.sparkContext.broadcast
@@ -241,17 +241,17 @@ def scores(df: DataFrame, text: str = "text", row_id: str = "doc_id", rounds: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each text its part of the scores and its words beyond the broadcast ones."""
-        known = numbers.value
+        held = numbers.value
         for batch in batches:
             for at, lists in _batches(batch):
                 sequences, base, inner, seen, rare, times = [], [], [], [], [], []
                 for words in lists:
-                    places = known.places(words)
+                    places = held.places(words)
                     found = places[places >= 0]
-                    sequences.append(known(words, places))
-                    base.append(float(known.log[found].sum()) + end_log)
+                    sequences.append(held(words, places))
+                    base.append(float(held.log[found].sum()) + end_log)
                     shares = shared[sequences[-1][:-1][sequences[-1][:-1] <= LENGTHS]]
-                    inner.append(float(known.inner[found].sum()) - float(shares.sum()))
+                    inner.append(float(held.inner[found].sum()) - float(shares.sum()))
                     seen.append(len(found))
                     rest = Counter(words[k] for k in np.flatnonzero(places < 0))
                     rare.append([w.decode("utf-8", "replace") for w in rest])

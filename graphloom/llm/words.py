@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Words a worker counts before it hands its sums on, or keeps the more frequent half.
 HELD = 600_000
 
@@ -38,14 +40,31 @@ def partial_counts(df: DataFrame, text: str = "text", most: int | None = None) -
                         yield out(list(counts.items()))
                         counts.clear()
                     else:
-                        counts = Counter(dict(nlargest(HELD // 2, counts.items(), key=lambda x: x[1])))
+                        bar = 1
+                        while len(counts) > HELD // 2:
+                            counts = Counter({w: n for w, n in counts.items() if n > bar})
+                            bar *= 2
         yield out(list(counts.items()) if most is None else nlargest(most, counts.items(), key=lambda x: x[1]))
 
     return df.select(text).mapInArrow(run, "word string, n long")
 
 
+def top(counts: DataFrame, most: int, count: str = "n") -> dict[str, int]:
+    """At most that many of the most frequent of (word, count), most frequent first, ties by the word. A histogram by
+    powers of 2 ** (1 / 16) finds the least count to take, so that no task sorts or gathers more than is returned."""
+    level = F.floor(16 * F.log2(F.col(count))).cast("int")
+    held, least = 0, None
+    for k, n in sorted(map(tuple, counts.groupBy(level.alias("k")).agg(F.count("*").alias("m")).collect()), reverse=True):
+        if held + n > most:
+            break
+        held, least = held + n, k
+    if least is None:
+        return {}
+    rows = counts.where(level >= least).select("word", count).toLocalIterator()
+    return dict(sorted(((w, n) for w, n in rows), key=lambda x: (-x[1], x[0])))
+
+
 def frequent(df: DataFrame, most: int, text: str = "text") -> dict[str, int]:
     """At most that many of the most frequent words, with their counts: a table of bounded size that only saves work, so
-    that words which are frequent in few partitions may be missing or be counted in part. Ties go by the word."""
-    sums = partial_counts(df, text, most // 2).groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in sums.orderBy(F.desc("n"), "word").limit(most).toLocalIterator()}
+    that words which are frequent in few partitions may be missing or be counted in part."""
+    return top(written(partial_counts(df, text, most // 2).groupBy("word").agg(F.sum("n").alias("n")), "words"), most)
