@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_column, written
+from .common import add_column
 from .html_blocks import blocks
 from .url_rules import host_of, path_of
 
@@ -111,36 +111,41 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", row_id: str
     step = step.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     done = T.StructType([step.schema["id"], step.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_shared", T.LongType())])
     # edge: 1 for the first page of a partition, 2 for the last, 3 for the only one; inner: its neighbour in the partition
-    both = T.StructType([*done.fields, T.StructField("edge", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("own", step.schema), T.StructField("inner", SIDE)])
+    edge = T.StructType([step.schema["id"], step.schema["url"], T.StructField("edge", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("own", step.schema), T.StructField("inner", SIDE)])
 
     def side(row: dict | None) -> dict | None:
         return row and {k: row[k] for k in SIDE.names}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(both)
-
-        def closed(before: dict | None, row: dict, after: dict | None) -> dict:
-            edge = (before is None) + 2 * (after is None)
-            if edge:
-                return {"id": row["id"], "url": row["url"], "edge": edge, "part": row["part"], "own": row, "inner": side(before or after)}
-            return {"id": row["id"], "url": row["url"], "edge": 0, "part": row["part"], **difference(row, nearest(row["path"], [side(before), side(after)], row["host"]))}
-
-        before = row = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                out = []
-                for after in batch.slice(at, 200).to_pylist():
-                    if row is not None:
-                        out.append(closed(before, row, after))
-                    before, row = row, after
-                yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in both.names} for r in out], schema=schema)
-        if row is not None:
-            r = closed(before, row, None)
-            yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in both.names}], schema=schema)
-
-    first = written(step.mapInArrow(run, both), "pages")
+    def closed(before: dict | None, row: dict, after: dict | None, edges: bool) -> list[dict]:
+        """A page between its neighbours: as an edge, or else with its text."""
+        at = (before is None) + 2 * (after is None)
+        if bool(at) != edges:
+            return []
+        if edges:
+            return [{"id": row["id"], "url": row["url"], "edge": at, "part": row["part"], "own": row, "inner": side(before or after)}]
+        return [{"id": row["id"], "url": row["url"], **difference(row, nearest(row["path"], [side(before), side(after)], row["host"]))}]
+
+    def walk(kind: T.StructType, edges: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = to_arrow_schema(kind)
+            before = row = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    out: list[dict] = []
+                    for after in batch.slice(at, 200).to_pylist():
+                        if row is not None:
+                            out += closed(before, row, after, edges)
+                        before, row = row, after
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+            if row is not None:
+                yield pa.RecordBatch.from_pylist(closed(before, row, None, edges), schema=schema)
+
+        return step.mapInArrow(run, kind)
+
+    # both walks read one shuffle; the sorted pages are not written a second time
+    inside, edges = walk(done, False), walk(edge, True)
     along = Window.orderBy("part", "edge")
-    edges = first.where("edge > 0").select("id", "url", "edge", "part", "own", "inner", F.struct(*(F.col(f"own.{c}").alias(c) for c in SIDE.names)).alias("me"))
+    edges = edges.select("id", "url", "edge", "part", "own", "inner", F.struct(*(F.col(f"own.{c}").alias(c) for c in SIDE.names)).alias("me"))
     edges = edges.select("*", F.lag("me").over(along).alias("before"), F.lead("me").over(along).alias("after"))
 
     def meet(columns: dict) -> list[dict]:
@@ -153,4 +158,4 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", row_id: str
     kind = T.StructType([f for f in done.fields if f.name in ("text", "n_chars", "n_shared")])
     reads = ["edge", "own", "inner", "before", "after"]
     met = add_column(edges.select("id", "url", *reads), "d", kind, meet, reads, tuple(reads)).select("id", "url", "d.*")
-    return first.where("edge = 0").select(*done.names).union(met).withColumnRenamed("id", row_id)
+    return inside.union(met).withColumnRenamed("id", row_id)
