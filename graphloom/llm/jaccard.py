@@ -147,9 +147,9 @@ class Shingler:
         return total[first], sums[at], least[at]
 
     def length(self, n: int) -> int:
-        """Of the prefix; 0 where only an equal set can link."""
+        """Of the prefix; 0 where only an equal set can link: not even one with a single shingle more."""
         need = -(-n * self.num // self.den)
-        return 0 if need >= n else n - need + 1
+        return 0 if n * self.den < self.num * (n + 1) else n - need + 1
 
     def prefix(self, found: np.ndarray, weight: np.ndarray, salt: int) -> np.ndarray:
         """The first shingles in the order of weight and hash; a shingle's place in the order is its name here."""

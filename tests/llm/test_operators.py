@@ -144,6 +144,23 @@ def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
     assert len({c for _, _, c in few}) < 80
 
 
+def test_jaccard_links_a_set_inside_one_of_one_more(spark):
+    """At the boundary: 9 shingles inside 10 with 90 / 100, 4 inside 5 with 80 / 100; one less on both sides does not link."""
+    for width, num, n in ((3, 90, 9), (5, 80, 4)):
+        rows = []
+        for size in (n, n - 1):
+            for _ in range(12):
+                w = [f"b{len(rows)}x{j}" for j in range(size + width)]
+                rows += [" ".join(w[:-1]), " ".join(w if len(rows) % 4 else ["more", *w[:-1]])]
+        sets = [frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) for w in (t.split() for t in rows)]
+        assert {len(x) for x in sets} == {n - 1, n, n + 1}
+        alike = lambda a, b, num=num: 100 * len(a & b) >= num * len(a | b)
+        asked = {k: min(j for j, y in enumerate(sets) if alike(x, y)) for k, x in enumerate(sets)}
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.components(df, width, num, 100).collect()} == asked
+        assert len(set(asked.values())) == 36
+
+
 def test_one_of_each_keeps_all_columns(docs, empty):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
