@@ -1,9 +1,10 @@
 """Licence scan (native): a positional index of rare licence words.
 
 The document frequency of every licence word is counted over all files. A licence word is rare if its smoothed IDF,
-log((files + 20) / (files with it + 0.5)), is at least log 4. A file's RARE highest-IDF licence words are looked up in the
-postings of the templates; each place gives (template, place - template position). Pairs that two places or more agree
-on are alignments. An alignment whose mandatory phrases all stand where the template has them gives the template's
+log((files + 20) / (files with it + 0.5)), is at least log 4; the two rarest words of each template and of each mandatory
+phrase are in the index whatever their IDF, so that no group of copies takes its licence out of it. All of a file's words
+that are in the index are looked up in the postings of the templates; each place gives (template, place - template
+position). Pairs that two places or more agree on are alignments, so every place of a mandatory phrase is one. An alignment whose mandatory phrases all stand where the template has them gives the template's
 label; the score is the largest share of a template's words that stand in place in an alignment, 0 without one.
 
 Base phrases are looked for beside this, and their labels always stay.
@@ -19,7 +20,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RARE = 8
 SMOOTH, LEAST_IDF = 20.0, math.log(4.0)
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,15 +56,22 @@ def _vocabulary() -> list[str]:
     return sorted({w for _, text, _ in TEMPLATES for w in text.split()})
 
 
+def _always(idf: dict[str, float]) -> set[str]:
+    """The two rarest words of each template and of each mandatory phrase."""
+    parts = [p for _, text, phrases in TEMPLATES for p in (text, *phrases)]
+    return {w for p in parts for w in sorted(set(p.split()), key=lambda w: (-idf[w], w))[:2]}
+
+
 def rare_words(df: DataFrame, text: str = "text") -> list[str]:
-    """The rare licence words, highest IDF first; the counts of at most the templates' words reach the driver."""
+    """The words of the index, highest IDF first; the counts of at most the templates' words reach the driver."""
     vocabulary = _vocabulary()
     words = df.select(words_of(F.col(text)).alias("w"))
     files, *_ = words.agg(F.count("*")).first()
     found = words.select(F.explode(F.array_intersect(_strings(vocabulary), "w")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counts = dict(found.limit(len(vocabulary)).collect())
     idf = {w: math.log((files + SMOOTH) / (counts.get(w, 0) + 0.5)) for w in vocabulary}
-    return sorted((w for w in vocabulary if idf[w] >= LEAST_IDF), key=lambda w: (-idf[w], w))
+    always = _always(idf)
+    return sorted((w for w in vocabulary if idf[w] >= LEAST_IDF or w in always), key=lambda w: (-idf[w], w))
 
 
 def scan(df: DataFrame, text: str = "text", into: str = "licence", rare: list[str] | None = None) -> DataFrame:
@@ -89,13 +96,13 @@ def scan(df: DataFrame, text: str = "text", into: str = "licence", rare: list[st
     base_labels = F.array_compact(F.array(*(F.when(F.size(f"__p{k}") > 0, F.lit(x)) for k, x in enumerate(BASE.values()))))
     step = step.withColumn("__places", every).withColumn("__base", base_labels)
 
-    # the method: (template, offset) of every place of the file's rarest licence words
+    # the method: (template, offset) of every place of the file's words that are in the index
     spots: dict[str, list[tuple[int, int]]] = {}
     for t, (_, body, _) in enumerate(TEMPLATES):
         for k, word in enumerate(body.split()):
             if word in rare:
                 spots.setdefault(word, []).append((t, k))
-    step = step.withColumn("__rare", F.slice(F.array_intersect(_strings(rare), w), 1, RARE))
+    step = step.withColumn("__rare", F.array_intersect(_strings(rare), w))
     if spots:
         postings = F.create_map(*(x for word, found in spots.items() for x in (F.lit(word), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in found)))))
         here = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains("__rare", x), F.struct(x.alias("w"), i.alias("i")))), lambda s: s.isNotNull())

@@ -275,6 +275,27 @@ def test_licence_templates_by_the_index(spark):
     assert 0 < got[100]["score"] < 1
 
 
+def licence_labels(text):
+    """Of all templates whose mandatory phrases stand in their places anywhere, and of the base phrases."""
+    w, out = re.findall("[a-z0-9]+", text.lower()), set()
+    for label, body, phrases in licenses.TEMPLATES:
+        b = body.split()
+        at = [(next(k for k in range(len(b)) if b[k : k + len(p.split())] == p.split()), p.split()) for p in phrases]
+        if any(all(o + k >= 0 and w[o + k : o + k + len(p)] == p for k, p in at) for o in range(-len(b), len(w))):
+            out.add(label)
+    return out | {label for phrase, label in licenses.BASE.items() if f" {phrase} " in f" {' '.join(w)} "}
+
+
+def test_licences_of_a_file_with_several(spark):
+    """No licence takes another's place: all pairs of templates, all of them in one file, and a licence in most of the files."""
+    text = [t for _, t, _ in licenses.TEMPLATES]
+    some = [f"{a}. x y z {b}" for a in text for b in text] + [" q ".join(text), "All rights reserved. " + text[0], text[0] + " all rights reserved"]
+    some += ["a text, all rights reserved"] * 600 + ["Licensed under the MIT License. See the file", "code, by the MIT license"] * 300
+    got = {r["doc_id"]: r["labels"] for r in licenses.report(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(some):
+        assert set(filter(None, got[k].split(","))) == licence_labels(t), t
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.com/en/7x?q#f", "https://x.COM/en/", "x.com/en/", None, "ftp://com", "http://example.net/de/8", "http://b.example.net/de/9", "http://org/es/#/", "http://notorg/es/", "http://a.org?x=/es/", "https://bad.site.info/p/1", "https://good.site.info/p/1", "https://q.info/1?track=5"]
     rows = [(k, u) for k, u in enumerate(urls)] + [(None, urls[0]), (0, urls[0])]
