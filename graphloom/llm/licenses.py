@@ -36,6 +36,8 @@ TEMPLATES = [
     ("cc0", "released under the creative commons cc0 1 0 universal public domain dedication", ["cc0 1 0 universal"]),
     ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ["gnu general public license", "version 3 of the license"]),
     ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ["gnu general public license", "version 2 of the license"]),
+    ("gpl-3", "licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
+    ("gpl-2", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "provided that the following conditions are met"]),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),

@@ -296,6 +296,14 @@ def test_licences_of_a_file_with_several(spark):
         assert set(filter(None, got[k].split(","))) == licence_labels(t), t
 
 
+def test_licences_name_a_gpl_version(spark):
+    """The short form, as the given tables have it, beside a form without a version."""
+    some = ["it is licensed under the GNU General Public License, version 3.", "GNU General Public License version 2 applies", "licensed under the GNU General Public License."]
+    rows = [*enumerate(some), *((100 + k, " ".join(WORDS[k : k + 20])) for k in range(150))]
+    got = {r["doc_id"]: r["labels"] for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(3)] == ["gpl-3", "gpl-2", ""]
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.com/en/7x?q#f", "https://x.COM/en/", "x.com/en/", None, "ftp://com", "http://example.net/de/8", "http://b.example.net/de/9", "http://org/es/#/", "http://notorg/es/", "http://a.org?x=/es/", "https://bad.site.info/p/1", "https://good.site.info/p/1", "https://q.info/1?track=5"]
     rows = [(k, u) for k, u in enumerate(urls)] + [(None, urls[0]), (0, urls[0])]
