@@ -130,11 +130,13 @@ def cross_language(files: DataFrame) -> DataFrame:
     return tried.join(targets, "dst").where((F.col("language") != F.col("other")) & (F.col("other") != "Unknown")).groupBy(F.col("path").alias("src"), "dst").agg(F.min("reason").alias("reason"))
 
 
-def shared_names(files: DataFrame, most: int = 20) -> DataFrame:
-    """(a, b): files of one directory with one base name and different languages, where the directory is not too full."""
+def shared_names(files: DataFrame, most: int | None = 20) -> DataFrame:
+    """(a, b): files of one directory with one base name and different languages, where the directory is not too full (None: however full)."""
     known = files.where(F.col("language") != "Unknown").select("path", "language", parent(F.col("path")).alias("dir"), F.regexp_extract("path", r"([^/]+?)\.[^./]+$", 1).alias("base"))
-    dirs = known.groupBy("dir").agg(F.count("*").alias("n"), F.count_distinct("language").alias("l")).where((F.col("n") <= most) & (F.col("l") >= 2)).select("dir")
-    some = known.join(dirs, "dir", "left_semi")
+    some = known
+    if most is not None:
+        dirs = known.groupBy("dir").agg(F.count("*").alias("n"), F.count_distinct("language").alias("l")).where((F.col("n") <= most) & (F.col("l") >= 2)).select("dir")
+        some = known.join(dirs, "dir", "left_semi")
     other = some.select("dir", "base", F.col("path").alias("b"), F.col("language").alias("lb"))
     return some.join(other, ["dir", "base"]).where((F.col("path") < F.col("b")) & (F.col("language") != F.col("lb"))).select(F.col("path").alias("a"), "b")
 

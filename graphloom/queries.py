@@ -637,7 +637,7 @@ _register(
 )
 _register(
     "shared_basename_pairs",
-    lambda spark, d: ingest.shared_names(_files(spark, d).withColumn("language", extract.language(F.col("path"))), 10_000),
+    lambda spark, d: ingest.shared_names(_files(spark, d).withColumn("language", extract.language(F.col("path"))), None),
     _STATES + ", p AS (SELECT path, regexp_extract(path, '^(.*)[.]', 1) AS base, regexp_extract(path, '[.](\\w+)$', 1) AS lang FROM o) SELECT a.path AS a, b.path AS b FROM p a JOIN p b ON a.base = b.base AND a.path < b.path AND a.lang <> b.lang",
 )
 _register(

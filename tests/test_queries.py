@@ -36,6 +36,15 @@ def test_query(spark, sf_dir, con, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
 
 
+def test_shared_basenames_of_a_full_directory(spark, tmp_path):
+    """All documents in one directory of more than 10,000 files."""
+    spark.range(11_000).selectExpr("97 * id AS doc_id", "'x' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["shared_basename_pairs"](spark, str(tmp_path)).select("a", "b").collect()))
+    assert got and got == sorted(c.execute(ORACLES["shared_basename_pairs"]).fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
