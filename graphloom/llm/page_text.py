@@ -2,10 +2,11 @@
 
 Pages are put in order by host and URL path. A page's partner is the neighbour, before or after it, whose path has the
 longer common beginning with its own (the one before it in a tie). The two pages' lines (blocks of text) are aligned by
-a longest common subsequence, and lines that both have are deleted as the host's template. What the page's markup
-says comes first: blocks of menus, headers, footers, sidebars, notices, adverts, forms and comments are never text; if
-the page marks an article, its blocks are the text and the alignment does not delete them, because a copy of an article
-at the next URL is still an article. Nor does it if it would delete all that is left.
+a longest common subsequence, and lines that both have are deleted as the host's template. The partner must be another
+page: a neighbour that shares more than COPY of the characters that may be text (COPY_ARTICLE of an article's, where
+little is template) is a copy, and the other neighbour takes its place; between two copies nothing is deleted. What the
+page's markup says comes first: blocks of menus, headers, footers, sidebars, notices, adverts, forms and comments are
+never text; if the page marks an article, only its blocks may be.
 
 Sorting by range cuts a host of any size into many tasks, so that no host is gathered; a page at the edge of a
 partition meets its neighbour in a second step over the edges alone, two rows a partition.
@@ -28,6 +29,8 @@ from .common import add_column
 from .html_blocks import blocks
 from .url_rules import host_of, path_of
 
+#: A neighbour that shares more than this part of a page's characters is a copy of it; the same for a marked article.
+COPY, COPY_ARTICLE = 0.8, 0.3
 #: A partner, or what a page needs of itself to be compared: its path and hashed lines.
 SIDE = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("lines", T.ArrayType(T.LongType(), False))])
 READ = T.StructType([
@@ -86,17 +89,19 @@ def shared(a: list[int], b: list[int]) -> set[int]:
     return places
 
 
-def nearest(path: str, sides: list[dict | None], host: str) -> dict | None:
-    """Of the neighbours on the host, the one whose path begins as path does for longest; the first in a tie."""
+def nearest(path: str, sides: list[dict | None], host: str) -> list[dict]:
+    """The neighbours on the host, the one whose path begins as path does for longest before the other; in order in a tie."""
     mine = [s for s in sides if s and s["host"] == host]
-    return max(mine, key=lambda s: len(os.path.commonprefix([path, s["path"]])), default=None)
+    return sorted(mine, key=lambda s: -len(os.path.commonprefix([path, s["path"]])))
 
 
-def difference(row: dict, partner: dict | None) -> dict:
-    """The page's text, its length, and how many of its lines the partner has too."""
-    deleted = shared(row["lines"], partner["lines"]) if partner else set()
-    kept = row["texts"] if row["article"] else [t for k, t in zip(row["at"], row["texts"], strict=True) if k not in deleted]
-    text = "\n".join(kept or row["texts"])
+def difference(row: dict, partners: list[dict] | None) -> dict:
+    """The page's text, its length, and how many of its lines its partner has too: the first that is no copy."""
+    size = {k: len(t) for k, t in zip(row["at"], row["texts"], strict=True)}
+    most = (COPY_ARTICLE if row["article"] else COPY) * sum(size.values())
+    found = (shared(row["lines"], p["lines"]) for p in partners or [])
+    deleted = next((d for d in found if sum(size.get(k, 0) for k in d) <= most), set())
+    text = "\n".join(t for k, t in zip(row["at"], row["texts"], strict=True) if k not in deleted)
     return {"text": text, "n_chars": len(text), "n_shared": len(deleted)}
 
 

@@ -418,6 +418,21 @@ def test_differencing_deletes_the_template(spark):
     assert page_text.extract(df.limit(0)).count() == 0
 
 
+def test_differencing_passes_over_copies(spark):
+    """A near copy, or an exact one, at the next URL is no partner: the template goes by the other neighbour, the text stays.
+    In marked articles, lines of the next page's article go as well, but not those of a copy."""
+    template = "<body><div>Site name</div>%s<div>All about us</div>"
+    text = lambda k: f"text {k} of some length, which is a sentence. " * 3
+    plain = lambda k, day: template % f"<p>{text(k)}</p><p>{day}</p>"
+    article = lambda k, day: template % f"<article><p>Read more here</p><p>{text(k)}</p><p>{day}</p></article>"
+    rows = []
+    for host, page in (("p", plain), ("q", article)):
+        rows += [(len(rows) + n, f"http://{host}.org/{n}", page(k, day)) for n, (k, day) in enumerate([(1, "Monday"), (2, "Tuesday"), (2, "Friday"), (3, "Sunday"), (4, "May"), (4, "May"), (5, "June")])]
+    got = {r["page_id"]: r["text"] for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = [f"{text(k).strip()}\n{day}" for k, day in [(1, "Monday"), (2, "Tuesday"), (2, "Friday"), (3, "Sunday"), (4, "May"), (4, "May"), (5, "June")]]
+    assert [got[k] for k in range(14)] == want * 2
+
+
 def test_warc_round_trip(spark, tmp_path):
     import gzip
 
