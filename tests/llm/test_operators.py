@@ -320,6 +320,14 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), train).count() == 0
 
 
+def test_url_rules_of_a_host_among_many_labels(spark):
+    """Ten blocked URLs of a host give its rule among 6,000 other labels too; nine do not."""
+    other = [(f"http://s{k % 3}.org/{k}", False) for k in range(6000)]
+    for n in (9, 10):
+        train = spark.createDataFrame(other + [(f"http://bad.info/x/{k}", True) for k in range(n)], "url string, block boolean")
+        assert ("domain:bad.info" in {r["token"] for r in url_rules.mine(train).collect()}) == (n == 10)
+
+
 def test_hmm_base_scores(docs, empty):
     rows = docs.select("doc_id", "text").collect()
     train = Counter()
