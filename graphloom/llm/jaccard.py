@@ -117,8 +117,10 @@ class Shingler:
 
 
 #: Rows of the first pass: a bucket's part of a run (low and high bytes of sorted hashes, the place of the set of each
-#: among sigs or MANY), a set's number of shingles that its run holds elsewhere, or a document.
+#: among sigs or MANY), a set's number of shingles that its run holds elsewhere, or a document; then a bucket's part of
+#: the counts of sets.
 _RUN_ROW = T.StructType([T.StructField(c, T.BinaryType()) for c in ("low", "high", "at", "sigs")])
+_SUM_ROW = T.StructType([T.StructField(c, T.BinaryType()) for c in ("sigs", "counts")])
 _SET_ROW = T.StructType([T.StructField(c, T.LongType()) for c in ("sig", "n", "half", "near", "shared")])
 MANY = 0xFFFF
 
@@ -174,8 +176,8 @@ class Run:
         self.clear()
 
 
-def _meet(runs: list[dict]) -> Iterator[dict]:
-    """Of one bucket: for each set the number of its shingles that another set has too."""
+def _meet(runs: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket: sets, and for each the number of its shingles that another set has too."""
     whole = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in runs])
     v = whole("high", np.uint8).astype(np.uint64) << np.uint64(32) | whole("low", np.uint32)
     at = whole("at", np.uint16)
@@ -190,23 +192,52 @@ def _meet(runs: list[dict]) -> Iterator[dict]:
     size = np.diff(np.append(first, len(v)))
     shared = ~np.logical_and.reduceat(own, first) | (sig[first] != sig[first + size - 1])
     new = np.concatenate([[True], (v[1:] != v[:-1]) | (sig[1:] != sig[:-1])])
-    found, count = np.unique(sig[own & new & np.repeat(shared, size)], return_counts=True)
-    for s, k in zip(found.tolist(), count.tolist(), strict=True):
-        yield {"set": {"sig": s, "shared": k}}
+    return np.unique(sig[own & new & np.repeat(shared, size)], return_counts=True)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the counts of each set."""
+    sigs, place = np.unique(np.concatenate([s for s, _ in parts]), return_inverse=True)
+    return sigs, np.bincount(place, weights=np.concatenate([c for _, c in parts]), minlength=len(sigs)).astype(np.int64)
+
+
+def _by_bucket(column: str, plain: tuple[str, ...], close, done, kind: pa.Schema):
+    """Over rows in order of their bucket: rows without the column pass with the others named, close() gets all values of
+    a bucket, done() what is left at the end; both return rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = [], None
+        out = lambda rows: pa.RecordBatch.from_pylist(rows, schema=kind)
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index(column))
+            rest = batch.filter(values.is_null())
+            yield pa.RecordBatch.from_arrays([rest.column(rest.schema.get_field_index(f.name)) if f.name in plain else pa.nulls(rest.num_rows, f.type) for f in kind], schema=kind)
+            rows = batch.filter(values.is_valid())
+            for b, r in zip(rows.column(0).to_pylist(), rows.column(rows.schema.get_field_index(column)).to_pylist(), strict=True):
+                if b != bucket:
+                    if held:
+                        yield out(close(held))
+                    held, bucket = [], b
+                held.append(r)
+        if held:
+            yield out(close(held))
+        yield out(done())
+
+    return run
 
 
 def marks(docs: DataFrame, width: int) -> DataFrame:
     """Of docs (id, text, text_hash): a row a document with id, text_hash and sig, n, half of its set, and rows of sets with
-    parts of near and shared. One shuffle, of seven bytes and a part of the set's name for each counted shingle."""
+    near or shared. Two shuffles: of seven bytes and a part of the set's name for each counted shingle, and of sums."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     doc = T.StructType([docs.schema["id"], docs.schema["text_hash"]])
-    dealt = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("run", _RUN_ROW), T.StructField("set", _SET_ROW), T.StructField("doc", doc)])
-    out = T.StructType(dealt.fields[2:])
+    bucket, both = T.StructField("bucket", T.IntegerType()), [T.StructField("set", _SET_ROW), T.StructField("doc", doc)]
+    dealt, summed = T.StructType([bucket, T.StructField("run", _RUN_ROW), *both]), T.StructType([bucket, T.StructField("sum", _SUM_ROW), *both])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, shingler, run = to_arrow_schema(dealt), Shingler(width), Run(buckets)
+        kind, shingler, run, count = to_arrow_schema(dealt), Shingler(width), Run(buckets), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = list(run.rows())
@@ -221,35 +252,42 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
                 for i, h, text in zip(column("id").to_pylist(), column("text_hash").to_pylist(), column("text"), strict=True):
                     found = shingler.shingles(text.as_py())
                     sig, half = shingler.sig(found), _half(found)
-                    rows.append({"bucket": (h or 0) % buckets, "set": {"sig": sig, "n": len(found), "half": len(half)}, "doc": {"id": i, "text_hash": h}})
+                    count += 1
+                    rows.append({"bucket": count % buckets, "set": {"sig": sig, "n": len(found), "half": len(half)}, "doc": {"id": i, "text_hash": h}})
                     if sig is not None and run.add(sig, half):
                         yield from flush()
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = to_arrow_schema(out)
-        held: list[dict] = []
-        bucket = None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                yield pa.RecordBatch.from_pylist(list(_meet(held)), schema=kind)
-                held.clear()
-
-        for batch in batches:
-            plain = batch.column(1).is_null()
-            rest = batch.filter(plain)
-            yield pa.RecordBatch.from_arrays([rest.column(2), rest.column(3)], schema=kind)
-            rows = batch.filter(pa.compute.invert(plain))
-            for b, r in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                if b != bucket:
-                    yield from close()
-                    bucket = b
-                held.append(r)
-        yield from close()
-
-    return docs.mapInArrow(cut, dealt).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, out)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> list[dict]:
+            if not held:
+                return []
+            sigs, counts = _added(held)
+            held.clear()
+            to = (sigs.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(to, kind="stable")
+            sigs, counts, to = sigs[order], counts[order], to[order]
+            cuts = np.flatnonzero(np.diff(to)) + 1
+            return [{"bucket": int(to[a]), "sum": {"sigs": sigs[a:b].tobytes(), "counts": counts[a:b].astype(np.uint32).tobytes()}} for a, b in zip([0, *cuts], [*cuts, len(to)], strict=True) if a < b]
+
+        def close(runs: list[dict]) -> list[dict]:
+            held.append(_meet(runs))
+            return flush() if sum(len(s) for s, _ in held) >= RUN else []
+
+        return _by_bucket("run", ("bucket", "set", "doc"), close, flush, to_arrow_schema(summed))(batches)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(sums: list[dict]) -> list[dict]:
+            sigs, counts = _added([(np.frombuffer(x["sigs"], np.int64), np.frombuffer(x["counts"], np.uint32)) for x in sums])
+            return [{"set": {"sig": s, "shared": k}} for s, k in zip(sigs.tolist(), counts.tolist(), strict=True)]
+
+        return _by_bucket("sum", ("set", "doc"), close, list, to_arrow_schema(T.StructType(both)))(batches)
+
+    met = docs.mapInArrow(cut, dealt).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, summed)
+    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, T.StructType(both))
 
 
 def connected(links: DataFrame) -> DataFrame:
