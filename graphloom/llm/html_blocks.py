@@ -28,6 +28,8 @@ _ALWAYS = frozenset(
 _MAYBE = frozenset("header banner notice notices alert masthead widget widgets legal form search skip teaser".split())
 _ARTICLE = frozenset("article post entry content main story body text".split())
 _NAME = re.compile(r"[a-z]+")
+#: Elements whose own text is the prose of an article.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption".split())
 
 
 @dataclass
@@ -35,6 +37,7 @@ class Element:
     tag: str
     silent: bool
     article: bool
+    prose: bool = False
 
 
 @dataclass
@@ -42,6 +45,7 @@ class Block:
     text: str
     silent: bool  # a menu, header, footer, sidebar, notice, advert, form or comment
     article: bool  # inside article or main
+    prose: bool = False  # the own text of a paragraph, heading, list item or table cell there
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -57,7 +61,7 @@ def _open(tag: str, text: str, parent: Element) -> Element:
         article |= role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody"
         if tag not in ("html", "body"):
             silent |= role in _ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(names & _ALWAYS) or bool(names & _MAYBE and not names & _ARTICLE)
-    return Element(tag, silent or (tag == "header" and not article), article)
+    return Element(tag, silent or (tag == "header" and not article), article, tag in _PROSE or tag not in _BLOCK and parent.prose)
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -66,13 +70,20 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     held: list[str] = []
     stack = [Element("", False, False)]
+    open_: dict[str, int] = {}
+
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            open_[x.tag] -= 1
+        del stack[k:]
 
     def end() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append(Block(text, stack[-1].silent, stack[-1].article))
+                e = stack[-1]
+                out.append(Block(text, e.silent, e.article, e.prose and e.article and not e.silent))
 
     at = 0
     while at < len(page):
@@ -85,13 +96,15 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         if m[1]:
-            where = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            where = len(stack) - 1 if open_.get(tag) else 0
+            while where and stack[where].tag != tag:
+                where -= 1
             if where:
                 if any(x.tag in _BLOCK for x in stack[where:]):
                     end()
                 elif stack[-1].silent != stack[where - 1].silent:
                     end()
-                del stack[where:]
+                close(where)
             elif tag in _BLOCK:
                 end()
             continue
@@ -104,11 +117,11 @@ def blocks(page: str | None) -> list[Block]:
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or tag in _BLOCK and stack[-1].tag == "p":
             # these end an open one of their kind, up to the nearest container
             ends = {"p"} if tag not in ("li", "td", "th", "tr", "dt", "dd", "option") else {tag, "p", *(("td", "th") if tag in ("td", "th", "tr") else ()), *(("dt", "dd") if tag in ("dt", "dd") else ())}
-            k = len(stack) - 1
+            k = len(stack) - 1 if any(open_.get(x) for x in ends) else 0
             while k > 0 and stack[k].tag not in ends and (stack[k].tag not in _BLOCK):
                 k -= 1
             if k > 0 and stack[k].tag in ends:
-                del stack[k:]
+                close(k)
                 made = _open(tag, m[3], stack[-1])
         if tag in _VOID or m[3].endswith("/>") and tag in ("svg", "path"):
             continue
@@ -116,6 +129,7 @@ def blocks(page: str | None) -> list[Block]:
             stop = _RAW_END[tag].search(page, at)
             at = stop.start() if stop else len(page)
         stack.append(made)
+        open_[tag] = open_.get(tag, 0) + 1
     end()
     return out
 

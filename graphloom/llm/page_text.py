@@ -2,26 +2,31 @@
 
 Pages are put in order by host and URL path. A page's partner is the neighbour, before or after it, whose path has the
 longer common beginning with its own (the one before it in a tie). The two pages' lines (blocks of text) are aligned by
-a longest common subsequence, and lines that both have are deleted as the host's template. The partner must be another
-page: a neighbour that shares more than COPY of the characters that may be text (COPY_ARTICLE of an article's, where
-little is template) is a copy, and the other neighbour takes its place; between two copies nothing is deleted. What the
-page's markup says comes first: blocks of menus, headers, footers, sidebars, notices, adverts, forms and comments are
-never text; if the page marks an article, only its blocks may be.
+a longest common subsequence, and lines that both have are deleted as the host's template: the menus, headers, footers
+and notices that repeat from page to page. Two kinds of line are out of its reach and are told by the page's markup:
+prose that an article shares with the next page's (its own paragraphs, headings, list items and table cells stay), and
+boxes that differ on every page, such as adverts and readers' comments (elements, roles and names that say so are
+deleted). If the page marks an article, only lines in it are text; without one all lines that are left are.
 
-Sorting by range cuts a host of any size into many tasks, so that no host is gathered; a page at the edge of a
-partition meets its neighbour in a second step over the edges alone, two rows a partition.
+The partner must be another page: a neighbour that shares more than COPY of the characters that may be text is a copy, and
+the other neighbour takes its place; between copies nothing is deleted.
+
+Pages are dealt by ranges of URLs before they are parsed, once each, so a host of any size is cut into many tasks. A page
+at the edge of a task meets its neighbour in an equi-join of the tasks' numbers, two rows a task.
 
 Defined results: a null or empty page has an empty text; pages without ``://`` in their URL share the empty host; pages
-that are alike in host and path are ordered by URL and id; repeated rows each give a row; an empty table gives none.
+that are alike in host and path are ordered by URL and id; repeated rows each give a row; an empty table gives none;
+other columns of any name are not looked at; very long and deeply nested pages are read whole.
 """
 
 from __future__ import annotations
 
 import os
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,15 +34,15 @@ from .common import add_column
 from .html_blocks import blocks
 from .url_rules import host_of, path_of
 
-#: A neighbour that shares more than this part of a page's characters is a copy of it; the same for a marked article.
-COPY, COPY_ARTICLE = 0.8, 0.3
+#: A neighbour that shares more than this part of a page's characters is a copy of it.
+COPY = 0.8
 #: A partner, or what a page needs of itself to be compared: its path and hashed lines.
 SIDE = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("lines", T.ArrayType(T.LongType(), False))])
 READ = T.StructType([
     T.StructField("lines", T.ArrayType(T.LongType(), False)),
     T.StructField("at", T.ArrayType(T.IntegerType(), False)),  # the place among the lines of each block that may be text
+    T.StructField("prose", T.ArrayType(T.BooleanType(), False)),  # whether it is protected as an article's own
     T.StructField("texts", T.ArrayType(T.StringType(), False)),
-    T.StructField("article", T.BooleanType()),
 ])
 
 
@@ -49,7 +54,7 @@ def read(page: str | None) -> dict:
     article = any(b.article and not b.silent for b in found)
     at = [k for k, b in enumerate(found) if not b.silent and (b.article or not article)]
     lines = [xxhash.xxh3_64_intdigest(b.text.encode("utf-8", "surrogatepass")) - (1 << 63) for b in found]
-    return {"lines": lines, "at": at, "texts": [found[k].text for k in at], "article": article}
+    return {"lines": lines, "at": at, "prose": [found[k].prose for k in at], "texts": [found[k].text for k in at]}
 
 
 def shared(a: list[int], b: list[int]) -> set[int]:
@@ -95,12 +100,13 @@ def nearest(path: str, sides: list[dict | None], host: str) -> list[dict]:
     return sorted(mine, key=lambda s: -len(os.path.commonprefix([path, s["path"]])))
 
 
-def difference(row: dict, partners: list[dict] | None) -> dict:
-    """The page's text, its length, and how many of its lines its partner has too: the first that is no copy."""
+def difference(row: dict, partners: list[dict]) -> dict:
+    """The page's text, its length, and how many of its lines were deleted because its partner, the first that is no copy,
+    has them too."""
     size = {k: len(t) for k, t in zip(row["at"], row["texts"], strict=True)}
-    most = (COPY_ARTICLE if row["article"] else COPY) * sum(size.values())
-    found = (shared(row["lines"], p["lines"]) for p in partners or [])
-    deleted = next((d for d in found if sum(size.get(k, 0) for k in d) <= most), set())
+    found = (shared(row["lines"], p["lines"]) for p in partners)
+    both = next((d for d in found if sum(size.get(k, 0) for k in d) <= COPY * sum(size.values())), set())
+    deleted = both - {k for k, prose in zip(row["at"], row["prose"], strict=True) if prose}
     text = "\n".join(t for k, t in zip(row["at"], row["texts"], strict=True) if k not in deleted)
     return {"text": text, "n_chars": len(text), "n_shared": len(deleted)}
 
@@ -109,25 +115,33 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", row_id: str
     """One row a page: its id, url, text, n_chars and n_shared."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    step = pages.select(F.col(row_id).alias("id"), F.col(url).alias("url"), F.col(page).alias("page"))
-    step = add_column(step, "r", READ, lambda columns: [read(x) for x in columns["page"]], ["page"], ("page",))
-    step = step.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "r.*")
+    spark = pages.sparkSession
     order = ["host", "path", "url", "id"]
-    step = step.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    step = pages.select(F.col(row_id).alias("id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(page).alias("page"))
+    # the last key of each range, from the keys alone: as many rows as the ranges
+    keys = step.select(*order).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    ends = keys.groupBy(F.spark_partition_id().alias("k")).agg(F.max(F.struct(*order)).alias("end")).select("end.*")
+    ends = sorted(_key(r) for r in ends.collect())
+
+    def parse(columns: dict) -> list[dict]:
+        found = zip(*(columns[c] for c in order), strict=True)
+        return [{"part": bisect_left(ends, _key(k)), **read(x)} for k, x in zip(found, columns["page"], strict=True)]
+
+    part = T.StructField("part", T.IntegerType())
+    step = add_column(step, "r", T.StructType([part, *READ.fields]), parse, [*order, "page"], ("page",)).select("id", "url", "host", "path", "r.*")
+    step = step.repartitionById(max(1, len(ends)), F.col("part")).sortWithinPartitions(*order)
     done = T.StructType([step.schema["id"], step.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_shared", T.LongType())])
-    # edge: 1 for the first page of a partition, 2 for the last, 3 for the only one; inner: its neighbour in the partition
-    edge = T.StructType([step.schema["id"], step.schema["url"], T.StructField("edge", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("own", step.schema), T.StructField("inner", SIDE)])
+    edge = T.StructType([part, T.StructField("first", T.BooleanType()), T.StructField("last", T.BooleanType()), T.StructField("own", step.schema), T.StructField("inner", SIDE)])
 
     def side(row: dict | None) -> dict | None:
         return row and {k: row[k] for k in SIDE.names}
 
     def closed(before: dict | None, row: dict, after: dict | None, edges: bool) -> list[dict]:
-        """A page between its neighbours: as an edge, or else with its text."""
-        at = (before is None) + 2 * (after is None)
-        if bool(at) != edges:
+        """A page between its neighbours in the task: as an edge of the task, or else with its text."""
+        if (before is None or after is None) != edges:
             return []
         if edges:
-            return [{"id": row["id"], "url": row["url"], "edge": at, "part": row["part"], "own": row, "inner": side(before or after)}]
+            return [{"part": row["part"], "first": before is None, "last": after is None, "own": row, "inner": side(before or after)}]
         return [{"id": row["id"], "url": row["url"], **difference(row, nearest(row["path"], [side(before), side(after)], row["host"]))}]
 
     def walk(kind: T.StructType, edges: bool):
@@ -149,18 +163,29 @@ def extract(pages: DataFrame, page: str = "html", url: str = "url", row_id: str
 
     # both walks read one shuffle; the sorted pages are not written a second time
     inside, edges = walk(done, False), walk(edge, True)
-    along = Window.orderBy("part", "edge")
-    edges = edges.select("id", "url", "edge", "part", "own", "inner", F.struct(*(F.col(f"own.{c}").alias(c) for c in SIDE.names)).alias("me"))
-    edges = edges.select("*", F.lag("me").over(along).alias("before"), F.lead("me").over(along).alias("after"))
-
-    def meet(columns: dict) -> list[dict]:
-        out = []
-        for edge, own, inner, before, after in zip(*(columns[c] for c in ("edge", "own", "inner", "before", "after")), strict=True):
-            sides = {1: [before, inner], 2: [inner, after], 3: [before, after]}[edge]
-            out.append(difference(own, nearest(own["path"], sides, own["host"])))
-        return out
-
-    kind = T.StructType([f for f in done.fields if f.name in ("text", "n_chars", "n_shared")])
-    reads = ["edge", "own", "inner", "before", "after"]
-    met = add_column(edges.select("id", "url", *reads), "d", kind, meet, reads, tuple(reads)).select("id", "url", "d.*")
-    return inside.union(met).withColumnRenamed("id", row_id)
+    # each task is sent its own edges, the last page of the task before and the first of the task after it
+    own_kind = T.StructType(edge.fields[1:])
+    me, none = F.struct(*(F.col(f"own.{c}").alias(c) for c in SIDE.names)), F.lit(None)
+    own = F.struct(F.col("part").alias("to"), F.struct("first", "last", "own", "inner").alias("edge"), none.cast(SIDE).alias("before"), none.cast(SIDE).alias("after"))
+    sent = lambda to, b, a: F.struct(to.alias("to"), none.cast(own_kind).alias("edge"), b.alias("before"), a.alias("after"))
+    forth = F.when(F.col("last"), sent(F.col("part") + 1, me, none.cast(SIDE)))
+    back = F.when(F.col("first"), sent(F.col("part") - 1, none.cast(SIDE), me))
+    mail = edges.select(F.explode(F.array_compact(F.array(own, forth, back))).alias("m")).select("m.*")
+    met = mail.groupBy("to").agg(F.collect_list("edge").alias("edges"), F.max("before").alias("before"), F.max("after").alias("after"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50):
+                out = []
+                for row in batch.slice(at, 50).to_pylist():
+                    for e in row["edges"]:
+                        sides = [row["before"] if e["first"] else e["inner"], row["after"] if e["last"] else e["inner"]]
+                        out.append({"id": e["own"]["id"], "url": e["own"]["url"], **difference(e["own"], nearest(e["own"]["path"], sides, e["own"]["host"]))})
+                yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(done))
+
+    return inside.union(met.select("edges", "before", "after").mapInArrow(meet, done)).withColumnRenamed("id", row_id)
+
+
+def _key(values) -> tuple:
+    """Ordered as Spark orders these values: null first, text by its bytes."""
+    return tuple((x is not None, x.encode("utf-8", "surrogatepass") if isinstance(x, str) else x) if x is not None else (False,) for x in values)
