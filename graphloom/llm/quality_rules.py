@@ -2,14 +2,17 @@
 
 Lines are normalised (lower case, white space runs as one space, trimmed) and hashed. For each host (the column
 ``source``) the operator counts the distinct documents that hold a line; exact copies of a text count once. A line
-above the host's limit, ``max(MIN_DOCS, SHARE of the host's distinct texts)``, is template text. It is removed, and a
-document that keeps less than KEEP of its words is depleted and rejected.
+above the host's limit, ``max(MIN_DOCS, GROWTH * sqrt(the host's distinct texts))``, is template text. It is removed, and
+a document that keeps less than KEEP of its words is depleted and rejected. The limit is a number of documents that grows
+slowly, so that a passage cannot hide in a large host, while the lines that a group of near copies shares, which is part
+of its host, do not condemn a small host's originals.
 
-As the limit is a share of the host's documents, one host has at most (mean lines of a document) / SHARE such lines,
-whatever the size of the corpus, so that they travel as one array for each host.
+Lines are counted by (host, line) with sums before the shuffle; the words that a text loses are summed by (host, text).
+Neither a host nor a line is gathered anywhere, and both joins broadcast only what has been measured to be small.
 
 Defined results: a null or empty text has no words and fails; null hosts form one host; repeated rows are judged alike,
-each giving a row; extra columns stay; a column named as the result column is replaced; an empty table gives no rows.
+each giving a row; extra columns stay; a column named as the result column is replaced; an empty table gives no rows;
+very long texts are counted whole.
 """
 
 from __future__ import annotations
@@ -17,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, written
+from .common import discard, maybe_broadcast, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 MIN_WORDS, REPEAT_PERCENT = 10, 20
-MIN_DOCS, SHARE, KEEP = 20, 0.10, 0.30
+MIN_DOCS, GROWTH, KEEP = 20, 2.0, 0.30
 
 
 def words_of(text: Column) -> Column:
@@ -31,31 +34,44 @@ def words_of(text: Column) -> Column:
 
 
 def normal_lines(text: Column) -> Column:
-    """Each line with a word, normalised."""
+    """The hash of each normalised line with a word, and its number of words."""
     lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n")
-    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, SPACE, " "))), lambda x: x != "")
+    lines = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, SPACE, " "))), lambda x: x != "")
+    # between the words of a normalised line stands one space
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
 
 
-def frequent_lines(df: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, lines): for each host the hashes of the lines above its limit; hosts without such lines are absent."""
-    texts = df.select(
-        F.col(host).cast("string").alias("host"),
-        F.xxhash64(text).alias("text_hash"),
-        F.array_distinct(F.transform(normal_lines(F.col(text)), lambda x: F.xxhash64(x))).alias("lines"),
-    ).dropDuplicates(["host", "text_hash"])
-    texts = written(texts, "lines")
+def texts_of(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """(host, text_hash, lines) of the distinct texts of each host."""
+    out = df.select(F.col(host).cast("string").alias("host"), F.xxhash64(text).alias("text_hash"), normal_lines(F.col(text)).alias("lines"))
+    return out.dropDuplicates(["host", "text_hash"])
+
+
+def frequent_lines(texts: DataFrame, min_docs: int = MIN_DOCS, growth: float = GROWTH) -> DataFrame:
+    """(host, line): the lines above their host's limit."""
     sizes = texts.groupBy("host").agg(F.count("*").alias("texts"))
-    counts = texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    limit = F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("texts"))
-    above = counts.join(sizes, counts["host"].eqNullSafe(sizes["host"])).where(F.col("docs") > limit)
-    return above.groupBy(counts["host"]).agg(F.collect_list("line").alias("lines"))
+    counts = texts.select("host", F.explode(F.array_distinct("lines.line")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
+    limit = F.greatest(F.lit(float(min_docs)), F.lit(growth) * F.sqrt("texts"))
+    return counts.join(sizes, counts["host"].eqNullSafe(sizes["host"])).where(F.col("docs") > limit).select(counts["host"], "line")
+
+
+def removed_words(df: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, growth: float = GROWTH) -> DataFrame:
+    """(host, text_hash, removed): the words that a text has in lines above its host's limit, where it has some."""
+    texts = written(texts_of(df, text, host), "lines")
+    frequent = written(frequent_lines(texts, min_docs, growth), "frequent")
+    lines = texts.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.line", "l.n")
+    few = maybe_broadcast(frequent.select(F.col("host").alias("h"), F.col("line").alias("f")), 64)
+    hit = lines.join(few, (F.col("line") == F.col("f")) & F.col("host").eqNullSafe(F.col("h")), "left_semi")
+    out = written(hit.groupBy("host", "text_hash").agg(F.sum("n").cast("long").alias("removed")), "removed")
+    discard(texts, frequent)
+    return out
 
 
-def judge(df: DataFrame, text: str = "text", host: str = "source", into: str = "quality", min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", host: str = "source", into: str = "quality", min_docs: int = MIN_DOCS, growth: float = GROWTH, keep: float = KEEP) -> DataFrame:
     """df with a struct column: the counts, base_failed, removed_words and kept."""
     kept_columns = [c for c in df.columns if c != into]
-    lines = written(frequent_lines(df, text, host, min_docs, share), "frequent")
-    lines = maybe_broadcast(lines.select(F.col("host").alias("__host"), F.col("lines").alias("__frequent")), 16 << 10)
+    lost = removed_words(df, text, host, min_docs, growth)
+    lost = maybe_broadcast(lost.select(F.col("host").alias("__host"), F.col("text_hash").alias("__text_hash"), F.col("removed").alias("__removed")), 64)
 
     t = F.coalesce(F.col(text), F.lit(""))
     step = df.withColumn("__words", words_of(F.col(text)))
@@ -74,9 +90,7 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", into: str = "
     covered = F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
 
     step = step.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    step = step.join(lines, F.col(host).cast("string").eqNullSafe(F.col("__host")), "left")
-    hit = lambda x: F.array_contains("__frequent", F.xxhash64(F.trim(F.regexp_replace(F.lower(x), SPACE, " "))))
-    removed = F.when(F.col("__frequent").isNotNull(), F.aggregate(F.filter("__lines", hit), F.lit(0).cast("long"), lambda a, x: a + F.size(words_of(x))))
+    step = step.join(lost, F.col(host).cast("string").eqNullSafe(F.col("__host")) & (F.xxhash64(text) == F.col("__text_hash")), "left")
     counted = step.select(
         *(F.col(f"`{c}`") for c in kept_columns),
         F.size("__words").cast("long").alias("__n_words"),
@@ -84,7 +98,7 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", into: str = "
         (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long").alias("__n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__n_dup_lines"),
         covered.alias("__n_repeat_words"),
-        F.coalesce(removed, F.lit(0).cast("long")).alias("__removed_words"),
+        F.coalesce("__removed", F.lit(0)).cast("long").alias("__removed_words"),
         F.monotonically_increasing_id().alias("__once"),  # keeps filters on the verdict above the counts, made once
     )
     n = F.col("__n_words")

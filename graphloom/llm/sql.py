@@ -11,7 +11,7 @@ twice AS (SELECT r, gram FROM g GROUP BY r, gram HAVING count(*) > 1),
 hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT g.r, unnest(range(g.i, g.i + 5)) AS p FROM g JOIN twice USING (r, gram)) x GROUP BY r),
 l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 n AS (SELECT d.source, d.t, trim(regexp_replace(lower(x), '{SPACE}', ' ', 'g'), ' ') AS line, x, d.r FROM (SELECT r, unnest(ls) AS x FROM l) u JOIN d USING (r)),
-f AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT t) AS docs FROM n GROUP BY source, line) c JOIN (SELECT source AS s, count(DISTINCT t) AS texts FROM d GROUP BY source) z ON c.source IS NOT DISTINCT FROM z.s WHERE docs > greatest(20, 0.1 * texts)),
+f AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT t) AS docs FROM n GROUP BY source, line) c JOIN (SELECT source AS s, count(DISTINCT t) AS texts FROM d GROUP BY source) z ON c.source IS NOT DISTINCT FROM z.s WHERE docs > greatest(20, 2.0 * sqrt(texts))),
 gone AS (SELECT r, sum(len(list_filter(regexp_split_to_array(x, '{SPACE}'), lambda y: y <> ''))) AS n FROM n JOIN f ON n.source IS NOT DISTINCT FROM f.source AND n.line = f.line GROUP BY r),
 a AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(length(array_to_string(ws, '')), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
