@@ -6,6 +6,7 @@ from functions where a language's pattern cannot see the class; names are given
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,12 +14,21 @@ from pyspark.sql import functions as F
 
 #: Languages by extension, those that are parsed, and directories that are not walked.
 LANGUAGES = {
-    "ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "py": "Python", "go": "Go", "java": "Java", "rs": "Rust", "php": "PHP", "cs": "C#",
+    "ts": "TypeScript", "tsx": "TypeScript", "mts": "TypeScript", "cts": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript",
+    "py": "Python", "pyi": "Python", "go": "Go", "java": "Java", "rs": "Rust", "php": "PHP", "phtml": "PHP", "cs": "C#",
 }
-IGNORED = ("node_modules", ".git", "dist", "build", "coverage", "vendor", "target", "__pycache__")
-TESTS = r"(^|/)(test|tests|__tests__)/|\.(test|spec)\.[^/.]+$|(^|/)test_[^/]+\.py$|_test\.(go|py)$"
-BINARY = ("png", "jpg", "jpeg", "gif", "ico", "pdf", "zip", "gz", "jar", "exe", "so", "dll", "woff", "woff2", "mp4")
-DOCUMENTS, SETTINGS = ("md", "rst", "txt", "adoc"), ("json", "yaml", "yml", "toml", "ini", "xml", "lock", "env")
+IGNORED = tuple(
+    ".git node_modules dist build coverage target vendor __pycache__ .venv venv .next out tmp .cache .turbo .nx .yarn .pnp Pods .gradle .maven .idea .vscode .tox egg-info .eggs pkg".split()
+)
+#: Endings (and names) by category. A name of several endings counts by its last one.
+TESTS = r"(?i)\.(spec|test|tests|_test|_spec)\."
+BINARY = tuple("png jpg jpeg gif ico svg webp mp3 mp4 wav avi mov zip tar gz bz2 xz 7z rar pdf doc docx xls xlsx ppt pptx exe dll so dylib bin woff woff2 ttf eot lock sum".split())
+SOURCES = tuple(
+    "ts tsx mts cts js jsx mjs cjs py pyi go java rs php phtml cs rb swift kt kts scala sh bash zsh sql graphql gql yaml yml toml json jsonc md mdx rst txt css scss less html htm vue svelte proto".split()
+)
+DOCUMENTS = ("md", "mdx", "rst", "txt", "adoc")
+SETTINGS = ("json", "yaml", "yml", "toml", "ini", "cfg", "env", "editorconfig", "prettierrc", "eslintrc")
+SETTING_NAMES = ("dockerfile", "makefile", "gemfile", "rakefile", ".gitignore", ".dockerignore", ".npmrc", ".nvmrc")
 
 #: Fixed values: (language, kind, pattern); the pattern's first group is the name.
 SYMBOLS = [
@@ -71,40 +81,64 @@ def parseable(path: Column) -> Column:
 
 
 def category(path: Column) -> Column:
-    """The order of the cases matters: binary, test, source, document, setting."""
-    e = extension(path)
-    return F.when(e.isin(*BINARY), "BINARY").when(path.rlike(TESTS), "TEST").when(language(path) != "Unknown", "SOURCE").when(e.isin(*DOCUMENTS), "DOCUMENTATION").when(e.isin(*SETTINGS), "CONFIG").otherwise("UNKNOWN")
+    """The order of the cases matters: binary, test, source (documents and settings in known endings too), then the other
+    documents and settings."""
+    e, name = extension(path), F.element_at(F.split(path, "/"), -1)
+    return (
+        F.when(e.isin(*BINARY), "BINARY")
+        .when(name.rlike(TESTS), "TEST")
+        .when(e.isin(*SOURCES), "SOURCE")
+        .when(e.isin(*DOCUMENTS), "DOCUMENTATION")
+        .when(e.isin(*SETTINGS) | F.lower(name).isin(*SETTING_NAMES), "CONFIG")
+        .otherwise("UNKNOWN")
+    )
+
+
+def _found(files: DataFrame, table: list[tuple], groups: int = 1) -> DataFrame:
+    """(path, kind, g1, .., line): the matches of a table of (language, kind, pattern), a scan of the files for each language;
+    the line is that of the name, the first group. Contents and matched texts do not leave the scan."""
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    start = F.struct(F.array().cast("array<int>").alias("l"), F.lit(0).alias("n"))
+    out = []
+    for lang in dict.fromkeys(t[0] for t in table):
+        parts = []
+        for _, kind, pattern in (t for t in table if t[0] == lang):
+            inner = pattern.replace("(?m)", "")
+            texts = F.regexp_extract_all("content", F.lit(f"(?sm).*?(?:{inner})"), F.lit(0))
+            before = F.aggregate(texts, start, lambda a, x: F.struct(F.array_append(a["l"], a["n"]).alias("l"), (a["n"] + newlines(x)).alias("n")), lambda a: a["l"])
 
+            parts.append(F.transform(F.arrays_zip(texts.alias("t"), before.alias("b")), _match(kind, inner, groups, newlines)))
+        out.append(files.where(F.col("language") == lang).select("path", F.explode(F.concat(*parts)).alias("x")).select("path", "x.*"))
+    return reduce(DataFrame.unionAll, out)
 
-def _found(files: DataFrame, lang: str, pattern: str, groups: int = 1) -> DataFrame:
-    """(path, g1, .., line): each match with what stands before it; the line is that of the match's last group."""
-    inner = pattern.replace("(?m)", "")
-    whole = F.regexp_extract_all("content", F.lit(f"(?sm).*?(?:{inner})"), F.lit(0))
-    rows = files.where(F.col("language") == lang).withColumn("parts", whole).select("path", "parts", F.posexplode("parts").alias("at", "text"))
-    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    before = F.aggregate(F.slice("parts", 1, F.col("at")), F.lit(0), lambda a, x: a + newlines(x))
-    group = lambda k: F.regexp_extract("text", f"(?sm)\\A.*?(?:{inner})\\z", k)
-    # up to the last place of the name in the matched text
-    lead = F.expr("substring_index(text, name, -1)")
-    rows = rows.withColumn("name", group(1))
-    return rows.select("path", *(group(k).alias(f"g{k}") for k in range(1, groups + 1)), (before + newlines(F.col("text")) - newlines(lead) + 1).alias("line"))
+
+def _match(kind: str, inner: str, groups: int, newlines: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """From a matched text t, with the newlines before it b, to the row of the match."""
+
+    def row(x: Column) -> Column:
+        group = lambda k: F.regexp_extract(x["t"], f"(?sm)\\A.*?(?:{inner})\\z", k)
+        # up to the last place of the name in the matched text
+        lead = F.call_function("substring_index", x["t"], group(1), F.lit(-1))
+        line = x["b"] + newlines(x["t"]) - newlines(lead) + 1
+        return F.struct(F.lit(kind).alias("kind"), *(group(k).alias(f"g{k}") for k in range(1, groups + 1)), line.alias("line"))
+
+    return row
 
 
 def symbols(files: DataFrame) -> DataFrame:
     """(id, path, kind, name, line) of files (path, language, content): each name once in a file, at its first line."""
-    parts = [_found(files, lang, p).select("path", F.lit(kind).alias("kind"), F.col("g1").alias("name"), "line") for lang, kind, p in SYMBOLS]
-    every = reduce(DataFrame.unionAll, parts).where(~F.col("name").isin(*KEYWORDS))
+    every = _found(files, SYMBOLS).withColumnRenamed("g1", "name").where(~F.col("name").isin(*KEYWORDS))
     return every.groupBy("path", "kind", "name").agg(F.min("line").alias("line")).select(F.concat(F.lit("fn:"), "path", F.lit(":"), "name").alias("id"), "path", "kind", "name", "line")
 
 
 def imports(files: DataFrame) -> DataFrame:
     """(path, target, line): what a file imports, as written."""
-    return reduce(DataFrame.unionAll, [_found(files, lang, p).select("path", F.col("g1").alias("target"), "line") for lang, p in IMPORTS]).groupBy("path", "target").agg(F.min("line").alias("line"))
+    return _found(files, [(lang, "import", p) for lang, p in IMPORTS]).groupBy("path", F.col("g1").alias("target")).agg(F.min("line").alias("line"))
 
 
 def heritage(files: DataFrame) -> DataFrame:
     """(path, name, parent)."""
-    return reduce(DataFrame.unionAll, [_found(files, lang, p, 2).select("path", F.col("g1").alias("name"), F.col("g2").alias("parent")) for lang, p in HERITAGE]).distinct()
+    return _found(files, [(lang, "extends", p) for lang, p in HERITAGE], 2).select("path", F.col("g1").alias("name"), F.col("g2").alias("parent")).distinct()
 
 
 def calls(files: DataFrame) -> DataFrame:

@@ -34,9 +34,10 @@ class Graph:
 
     @classmethod
     def loaded(cls, nodes: DataFrame, edges: DataFrame) -> Graph:
-        """From raw tables: the first node of an id, edges once, and only those with both ends. Where the edges lack the
-        labels of their ends, these are looked up."""
-        nodes = nodes.dropDuplicates(["id"])
+        """From raw tables: the first node of an id (by its other columns in order), edges once, and only those with both
+        ends. Where the edges lack the labels of their ends, these are looked up."""
+        rest = [c for c in nodes.columns if c != "id"]
+        nodes = nodes.groupBy("id").agg(F.min(F.struct(*rest)).alias("first")).select("id", "first.*")
         edges = edges.dropDuplicates(["src", "type", "dst"])
         ends = nodes.select("id", "label")
         edges = edges.select("src", "type", "dst").join(ends.select(F.col("id").alias("src"), F.col("label").alias("src_label")), "src").join(ends.select(F.col("id").alias("dst"), F.col("label").alias("dst_label")), "dst")
@@ -91,12 +92,19 @@ class Graph:
         functions = self.e("CONTAINS", src="File", dst="Function").select(F.col("dst").alias("fn"), F.col("src").alias("file"))
         return functions.join(classes, "file", "left").select("fn", F.when(F.col("n") == 1, F.col("class")).otherwise(F.col("file")).alias("owner"))
 
-    def members(self, strict: bool = False) -> DataFrame:
-        """(entity, fn): functions of a function, file or class; a class has its file's functions (none if strict)."""
-        own = self.n("Function").select(F.col("id").alias("entity"), F.col("id").alias("fn"))
-        functions = self.e("CONTAINS", src="File", dst="Function").select(F.col("src").alias("entity"), F.col("dst").alias("fn"))
+    def members(self, strict: bool = False, containers: bool = False) -> DataFrame:
+        """(entity, label, fn): functions of a function, file or class; a class has its file's functions (none if strict).
+        containers: those of directories and repositories too, at most four hops down."""
+        own = self.n("Function").select(F.col("id").alias("entity"), F.lit("Function").alias("label"), F.col("id").alias("fn"))
+        functions = self.e("CONTAINS", src="File", dst="Function").select(F.col("src").alias("entity"), F.lit("File").alias("label"), F.col("dst").alias("fn"))
         out = own.unionAll(functions)
-        if strict:
-            return out
-        classes = self.e("CONTAINS", src="File", dst="Class").select(F.col("src").alias("entity"), F.col("dst").alias("class"))
-        return out.unionAll(functions.join(classes, "entity").select(F.col("class").alias("entity"), "fn"))
+        if not strict:
+            classes = self.e("CONTAINS", src="File", dst="Class").select(F.col("src").alias("entity"), F.col("dst").alias("class"))
+            out = out.unionAll(functions.join(classes, "entity").select(F.col("class").alias("entity"), F.lit("Class").alias("label"), "fn"))
+        for label in ("Directory", "Repository") if containers else ():
+            out = out.unionAll(self.contained(4, label).where(F.col("label") == "Function").select(F.col("root").alias("entity"), F.lit(label).alias("label"), F.col("id").alias("fn")))
+        return out
+
+    def class_members(self) -> DataFrame:
+        """(class, fn): the functions of each class's file."""
+        return self.members().where(F.col("label") == "Class").select(F.col("entity").alias("class"), "fn")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -45,7 +45,7 @@ def adjacent(g: Graph, node: str, kind: str, direction: str = "out") -> DataFram
 def class_links(g: Graph, direction: str = "out") -> DataFrame:
     """(class, owner, via): what the functions of a class's file call (or are called by), as single-class owner or file."""
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    members = g.members().where(F.col("entity").startswith("class:")).withColumnRenamed("entity", "class")
+    members = g.class_members()
     calls = g.e("CALLS").select(F.col(a).alias("fn"), F.col(b).alias("via"))
     owners = g.owners().select(F.col("fn").alias("via"), "owner")
     found = members.join(calls, "fn").join(owners, "via").where(F.col("owner") != F.col("class"))
@@ -60,17 +60,67 @@ def class_dependencies(g: Graph, direction: str = "out") -> DataFrame:
     return calls.unionByName(parents)
 
 
-def tests_of(g: Graph) -> DataFrame:
-    """(entity, test): tests of the functions of every entity, containers included."""
+def tests_of(g: Graph, containers: bool = False) -> DataFrame:
+    """(entity, test): tests of the functions of every function, file and class, and of containers if asked."""
     tests = g.e("TESTS").select(F.col("dst").alias("fn"), F.col("src").alias("test"))
-    return g.members().join(tests, "fn").select("entity", "test").distinct()
+    return g.members(containers=containers).join(tests, "fn").select("entity", "test").distinct()
 
 
 def tests_for(g: Graph, entity: str) -> DataFrame:
-    found = tests_of(g).where(F.col("entity") == entity)
+    """Tests of an entity, be it a function, file, class, directory or repository."""
+    found = tests_of(g, True).where(F.col("entity") == entity)
     return g.n("Test").join(found, F.col("id") == F.col("test")).select("id", "name", "framework")
 
 
+def dependencies(g: Graph, node: str, direction: str = "out") -> DataFrame:
+    """(id, label, name, type, via) of what a node depends on (or what depends on it), by its label: a function's callees, a
+    file's imports, a class's classes and files; nothing for other labels. Names are those of the targets themselves."""
+    label = g.nodes.where(F.col("id") == node).select("label").first()
+    kind = label and {"Function": "CALLS", "File": "IMPORTS", "Class": ""}.get(label[0])
+    none = F.lit(None).cast("string")
+    if kind is None:
+        ends = g.edges.limit(0).select(F.col("dst").alias("id"), "type", none.alias("via"))
+    elif kind:
+        here, there = ("src", "dst") if direction == "out" else ("dst", "src")
+        ends = g.e(kind).where(F.col(here) == node).select(F.col(there).alias("id"), "type", none.alias("via"))
+    else:
+        ends = class_dependencies(g, direction).where(F.col("class") == node).select(F.col("owner").alias("id"), "type", "via")
+    return g.nodes.select("id", "label", "name").join(ends.distinct(), "id")
+
+
+def relationship_list(items: DataFrame, text: str = "", label: str | None = None, order: str = "name") -> DataFrame:
+    """Of items (name, label, type, via) those that hold the text, case aside, in any of these, of one label, in order: name,
+    name_desc, label or type."""
+    orders = {"name": ["name"], "name_desc": [F.desc("name")], "label": ["label", "name"], "type": ["type", "name"]}
+    if order not in orders:
+        raise ValueError(f"no such order: {order}")
+    hit = F.lit(False)
+    for c in ("name", "label", "type", "via"):
+        hit = hit | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(text.strip().lower()))
+    out = items.where(hit)
+    return (out.where(F.col("label") == label) if label else out).orderBy(*orders[order], "id")
+
+
+def repository_times(g: Graph) -> DataFrame:
+    """The default repository's name and times of creation and update."""
+    chosen = default_repository(g).select("id")
+    return g.n("Repository").join(chosen, "id", "left_semi").select("id", F.col("name").alias("full_name"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"))
+
+
+def resolve_changed(g: Graph, raw: DataFrame, path: str = "path") -> DataFrame:
+    """(raw, id, resolved) of changed paths or node ids, each id once: whether the graph has it as a file, class or function."""
+    ids = raw.select(F.trim(path).alias("raw"), normal_path(F.col(path)).alias("id")).groupBy("id").agg(F.min("raw").alias("raw"))
+    known = g.n("File", "Class", "Function").select("id").withColumn("known", F.lit(True))
+    return ids.join(known, "id", "left").select("raw", "id", F.coalesce("known", F.lit(False)).alias("resolved"))
+
+
+def normal_path(path: Column) -> Column:
+    """A changed path as a file id: trimmed, without a/ or b/, the tail of a blob URL, without leading slashes; ids stay."""
+    p = F.regexp_replace(F.trim(path), r"^[ab]/", "")
+    p = F.regexp_replace(F.regexp_replace(p, r"^.*?/blob/[^/]+/(?=.)", ""), r"^/+", "")
+    return F.when(F.trim(path).rlike(r"^(file|fn|dir|class|test|repo|function|directory):"), F.trim(path)).otherwise(F.concat(F.lit("file:"), p))
+
+
 def incident(g: Graph, node: str) -> DataFrame:
     """All relationships of a node, each once (a loop too), numbered outgoing first."""
     touch = g.edges.where((F.col("src") == node) | (F.col("dst") == node)).dropDuplicates(["src", "type", "dst"])
@@ -94,7 +144,7 @@ def relationship_summary(g: Graph, kinds: tuple[str, ...] = ("CALLS", "IMPORTS",
 def class_counts(g: Graph, direction: str = "out") -> DataFrame:
     """Distinct classes (else files) that a class's functions call: every class of a file with several counts."""
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    members = g.members().where(F.col("entity").startswith("class:")).withColumnRenamed("entity", "class")
+    members = g.class_members()
     calls = g.e("CALLS").select(F.col(a).alias("fn"), F.col(b).alias("o"))
     files = g.e("CONTAINS", src="File", dst="Function").select(F.col("dst").alias("o"), F.col("src").alias("file"))
     classes = g.e("CONTAINS", src="File", dst="Class").select(F.col("src").alias("file"), F.col("dst").alias("c"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -63,6 +63,23 @@ def severities(found: DataFrame) -> DataFrame:
     return found.groupBy("severity").agg(F.count("*").alias("violations"), F.count_distinct("rule").alias("rules"))
 
 
+def dashboard(rules: list[Rule], found: DataFrame) -> DataFrame:
+    """(rule, severity, enabled, violations, sources, status): every rule, FAIL where it is violated, OFF where it is disabled."""
+    spark = found.sparkSession
+    known = spark.createDataFrame([(r.id, r.severity, r.enabled) for r in rules], "rule string, severity string, enabled boolean")
+    sums = found.groupBy("rule").agg(F.count("*").alias("violations"), F.count_distinct("source").alias("sources"))
+    out = known.join(F.broadcast(sums), "rule", "left")  # at most as many rows as there are rules
+    count = lambda c: F.coalesce(c, F.lit(0))
+    status = F.when(~F.col("enabled"), F.lit("OFF")).when(count("violations") > 0, F.lit("FAIL")).otherwise(F.lit("PASS"))
+    return out.select("rule", "severity", "enabled", count("violations").alias("violations"), count("sources").alias("sources"), status.alias("status"))
+
+
+def recent(evaluations: DataFrame, limit: int = 10) -> DataFrame:
+    """The newest evaluations (repo, id, ts, ..) of each repository, numbered from the newest."""
+    order = Window.partitionBy("repo").orderBy(F.desc("ts"), "id")
+    return evaluations.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
+
+
 def forbidden_cycles(g: Graph, scope: Selector, kinds: tuple[str, ...] = ("IMPORTS",), depth: int = CYCLE_DEPTH, on: str = "path") -> DataFrame:
     """Simple cycles whose members all are in scope."""
     ids = g.nodes.where(scope.fits(F.col(on))).select("id")

@@ -12,8 +12,9 @@ from .paths import expand
 
 
 def entries(g: Graph, roots: DataFrame, cap: int | None = MAX_ENTRIES) -> DataFrame:
-    """(root, id): the functions that a root (column id) stands for, the first ones by id up to a cap."""
-    found = g.members().join(roots.select(F.col("id").alias("entity")), "entity").select(F.col("entity").alias("root"), F.col("fn").alias("id")).distinct()
+    """(root, id): the functions that a root (column id; a container too) stands for, the first ones by id up to a cap."""
+    containers = not g.n("Directory", "Repository").join(roots.select("id"), "id", "left_semi").isEmpty()
+    found = g.members(containers=containers).join(roots.select(F.col("id").alias("entity")), "entity").select(F.col("entity").alias("root"), F.col("fn").alias("id")).distinct()
     if cap is None:
         return found
     return found.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("id"))).where(F.col("n") <= cap).drop("n")
@@ -104,6 +105,28 @@ def blast_radius(g: Graph, files: DataFrame, depth: int = MAX_DEPTH) -> DataFram
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").select("target", "hops", "impact", "root", "relationship", "via")
 
 
+def change_score(g: Graph, files: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """One row for a change of all the files: how many are changed, direct and indirect dependents, greatest distance, tests,
+    points, level and the three reasons."""
+    rows = blast_radius(g, files, depth)
+    sums = rows.agg(F.count_if(F.col("impact") == "DIRECT").alias("direct"), F.count_if(F.col("impact") == "INDIRECT").alias("indirect"), F.coalesce(F.max("hops"), F.lit(0)).alias("distance"))
+    tests = tests_for_change(g, files, depth).agg(F.count("*").alias("tests"))
+    out = files.agg(F.count_distinct("id").alias("changed")).crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(tests))  # one row each
+    points, name = level(F.col("direct") + F.col("indirect"), F.col("distance"), depth, F.col("tests"))
+    said = F.concat_ws("; ", F.format_string("%d dependents of the changed files", F.col("direct") + F.col("indirect")), F.format_string("reach of %d of %d hops", F.col("distance"), F.lit(depth)), F.format_string("%d tests", F.col("tests")))
+    return out.select("changed", "direct", "indirect", "distance", "tests", points.cast("long").alias("points"), name.alias("level"), said.alias("reasons"))
+
+
+def compare(g: Graph, a: str, b: str, depth: int = MAX_DEPTH) -> DataFrame:
+    """Two roots side by side: each measure as a text, for a and for b, and whether they differ."""
+    roots = g.nodes.sparkSession.createDataFrame([(a,), (b,)], "id string")
+    rows = score(g, roots, depth)
+    measures = ["direct", "indirect", "distance", "tests", "points", "level"]
+    long = rows.select("root", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("string").alias("value")) for m in measures))).alias("x")).select("root", "x.*")
+    of = lambda root, name: F.max(F.when(F.col("root") == root, F.col("value"))).alias(name)
+    return long.groupBy("measure").agg(of(a, "a"), of(b, "b")).select("measure", "a", "b", (~F.col("a").eqNullSafe(F.col("b"))).alias("differs"))
+
+
 def tests_for_change(g: Graph, files: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """Per test: entities it covers of those changed or reached, of those changed, and risk, which counts these twice."""
     reached = blast_radius(g, files, depth).select(F.col("target").alias("entity"), F.lit(False).alias("changed"))

@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import extension
+from ..functions.parse import parsed
+from ..scratch import written
 
 #: Endings that an import may leave out, in the order in which they are tried.
 ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
-#: Fixed values: (source language or None for any, pattern) of invocations; the first group is the file that is run.
+#: Commands that run a script, and the endings of scripts.
+_RUN, _RUN_ALL = "(?:python|python3|node|go|cargo|java|php|dotnet)", "(?:python|python3|node|npx|go|cargo|java|php|dotnet|ruby)"
+_END = r"\.(?:py|js|ts|go|rs|java|php|cs)"
+_Q = "['\"`]"
+_FILE, _LINE = rf"([\w./-]+{_END})", rf"{_RUN}\s+([\w./-]+{_END})"
+#: Fixed values: (source language or None for any, pattern, reason) of references; the first group is the file that is meant.
 INVOCATIONS = [
-    ("TypeScript", r"""\b(?:spawn|spawnSync|exec|execSync|execFile|fork)\(\s*['"`](?:\w+\s+)?([^'"`\s]+\.\w+)"""),
-    ("TypeScript", r"""\b(?:spawn|spawnSync|execFile)\(\s*['"`]\w+['"`]\s*,\s*\[\s*['"`]([^'"`\s]+\.\w+)"""),
-    ("Python", r"""\bsubprocess\.\w+\(\s*\[?\s*['"](?:\w+['"]\s*,\s*['"])?([^'"\s]+\.\w+)"""),
-    ("Python", r"""\bos\.(?:system|popen)\(\s*['"](?:\w+\s+)?([^'"\s]+\.\w+)"""),
-    ("Go", r"""\bexec\.Command\(\s*"(?:\w+"\s*,\s*")?([^"\s]+\.\w+)"""),
-    ("Java", r"""\b(?:ProcessBuilder|exec)\(\s*"(?:\w+"\s*,\s*")?([^"\s]+\.\w+)"""),
-    ("Rust", r"""\bCommand::new\(\s*"[^"]*"\s*\)(?:\s*\.arg\(\s*"([^"\s]+\.\w+)")"""),
-    ("PHP", r"""\b(?:exec|shell_exec|system|passthru)\(\s*['"](?:\w+\s+)?([^'"\s]+\.\w+)"""),
-    ("C#", r"""\bProcess\.Start\(\s*"(?:\w+"\s*,\s*")?([^"\s]+\.\w+)"""),
-    (None, r"""#!\s*\S*\s+run:(\S+\.\w+)"""),
-]
+    ("TypeScript", rf"(?:execSync|exec)\s*\(\s*{_Q}{_RUN_ALL}\s+([\w./-]+\.(?:py|js|ts|go|rs|java|php|cs|rb)){_Q}", "exec"),
+    ("TypeScript", rf"(?:spawn|spawnSync|fork)\s*\(\s*{_Q}{_RUN}{_Q}\s*,\s*\[\s*{_Q}{_FILE}{_Q}", "spawn"),
+    ("TypeScript", rf"child_process\.(?:exec|execSync|spawn|spawnSync)\s*\(\s*{_Q}{_LINE}{_Q}", "child process"),
+    ("TypeScript", rf"{_Q}{_LINE}{_Q}", "script in a string"),
+    ("Python", rf"subprocess\.\w+\s*\(\s*\[(?:\s*{_Q}(?:npx|{_RUN}){_Q}\s*,\s*)?{_Q}{_FILE}{_Q}", "subprocess"),
+    ("Python", rf"os\.(?:system|popen)\s*\(\s*{_Q}{_LINE}{_Q}", "os.system"),
+    ("Python", rf"Popen\s*\(\s*\[{_Q}{_RUN}{_Q}\s*,\s*{_Q}{_FILE}{_Q}", "Popen"),
+    ("Python", rf"{_Q}((?:scripts?|bin|tools?)/[\w./-]+{_END}){_Q}", "script path"),
+    ("Go", rf"exec\.Command\s*\(\s*{_Q}{_RUN}{_Q}\s*,\s*{_Q}{_FILE}{_Q}", "exec.Command"),
+    ("Go", rf"{_Q}((?:scripts?|bin|tools?)/[\w./-]+{_END}){_Q}", "script path"),
+    ("Rust", rf"Command::new\s*\(\s*{_Q}{_RUN}{_Q}\s*\)\s*\.arg\s*\(\s*{_Q}{_FILE}{_Q}", "Command"),
+    ("Java", rf"Runtime\.[^\n]*?\.exec\s*\(\s*{_Q}{_LINE}{_Q}", "Runtime.exec"),
+    ("Java", rf"ProcessBuilder\s*\(\s*{_Q}{_RUN}{_Q}\s*,\s*{_Q}{_FILE}{_Q}", "ProcessBuilder"),
+    ("PHP", rf"(?:exec|shell_exec|system|passthru)\s*\(\s*{_Q}{_LINE}{_Q}", "shell"),
+    ("PHP", rf"proc_open\s*\(\s*{_Q}{_LINE}{_Q}", "proc_open"),
+    ("C#", rf"Process\.Start\s*\(\s*{_Q}{_RUN}{_Q}\s*,\s*{_Q}{_FILE}{_Q}", "Process.Start"),
+    (None, rf"{_Q}((?:[\w./-]*/)?(?:build|deploy|setup|start|run|test|install|compile)[\w.-]*\.(?:sh|bat|cmd|ps1)){_Q}", "shell script"),
+    (None, rf"{_RUN}\s+([\w./-]+{_END})", "build file"),
+    (None, r"(?:\./|bash\s+)([\w./-]+\.(?:py|js|ts|go|rs|java|php|cs|sh))", "build file"),
+]
 
 
 def parent(path: Column) -> Column:
@@ -116,18 +134,20 @@ def framework(content: Column) -> Column:
 
 
 def cross_language(files: DataFrame) -> DataFrame:
-    """(src, dst, reason): files that run a known file of another language, each pair once."""
-    parts = []
-    for lang, pattern in INVOCATIONS:
-        some = files.where(F.col("language") == lang) if lang else files.where(F.col("language") != "Unknown")
-        parts.append(some.select("path", "language", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).alias("t"), F.lit("invocation").alias("reason")))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    targets = files.select(F.col("path").alias("dst"), F.col("language").alias("other"))
+    """(src, dst, reason, line): files that refer to a known file of another language, each pair once, at its first line of
+    the first kind of reference. A path is looked for beside the file and from the root."""
+    known = files.where(F.col("content").isNotNull())
+    kinds = F.array(*(F.struct(F.lit(k).alias("rank"), F.lit(lang).cast("string").alias("lang"), F.lit(reason).alias("reason")) for k, (lang, _, reason) in enumerate(INVOCATIONS)))
+    # one scan of the contents: all matches of a file, by kind, with what they refer to
+    hits = F.array(*((F.when(F.col("language") == lang, F.regexp_extract_all("content", F.lit(p), F.lit(1))) if lang else F.regexp_extract_all("content", F.lit(p), F.lit(1))) for lang, p, _ in INVOCATIONS))
+    line = lambda t: F.size(F.split(F.call_function("substring_index", F.col("content"), t, F.lit(1)), "\n"))
+    each = F.transform(F.arrays_zip(kinds.alias("k"), hits.alias("t")), lambda x: F.transform(F.array_distinct(F.coalesce(x["t"], F.array().cast("array<string>"))), lambda t: F.struct(x["k"]["rank"].alias("rank"), x["k"]["reason"].alias("reason"), t.alias("t"), line(t).alias("line"))))
+    found = known.select("path", "language", F.explode(F.flatten(each)).alias("x")).select("path", "language", "x.*")
     near, rooted = normal(F.concat_ws("/", parent(F.col("path")), F.col("t"))), normal(F.col("t"))
-    tried = found.select("path", "language", "reason", F.explode(F.array(near, rooted)).alias("dst")).where("dst IS NOT NULL")
-    return tried.join(targets, "dst").where((F.col("language") != F.col("other")) & (F.col("other") != "Unknown")).groupBy(F.col("path").alias("src"), "dst").agg(F.min("reason").alias("reason"))
+    tried = found.select("path", "language", "rank", "reason", "line", F.explode(F.array(near, rooted)).alias("dst")).where("dst IS NOT NULL")
+    targets = files.select(F.col("path").alias("dst"), F.col("language").alias("other"))
+    hits = tried.join(targets, "dst").where(F.col("language") != F.col("other"))
+    return hits.groupBy(F.col("path").alias("src"), "dst").agg(F.min(F.struct("rank", "line", "reason")).alias("m")).select("src", "dst", "m.reason", "m.line")
 
 
 def shared_names(files: DataFrame, most: int | None = 20) -> DataFrame:
@@ -141,5 +161,88 @@ def shared_names(files: DataFrame, most: int | None = 20) -> DataFrame:
     return some.join(other, ["dir", "base"]).where((F.col("path") < F.col("b")) & (F.col("language") != F.col("lb"))).select(F.col("path").alias("a"), "b")
 
 
+#: Labels of symbols by kind.
+LABELS = {"class": "Class", "interface": "Interface", "type": "Interface", "enum": "Enum", "struct": "Struct", "trait": "Trait", "module": "Module", "function": "Function", "method": "Function"}
+CLASSES = ("class", "interface", "struct", "trait", "enum")
+
+
+def _picked(symbols: DataFrame, some: Column | None = None) -> DataFrame:
+    """(at, short, id): what a short name means in a file: its function of that name, else its only symbol so named."""
+    rows = (symbols.where(some) if some is not None else symbols).select(F.col("path").alias("at"), F.element_at(F.split("name", r"\."), -1).alias("short"), "id", "kind")
+    sums = rows.groupBy("at", "short").agg(F.min(F.when(F.col("kind") == "function", F.col("id"))).alias("fn"), F.min("id").alias("one"), F.count("*").alias("n"))
+    return sums.select("at", "short", F.coalesce("fn", F.when(F.col("n") == 1, F.col("one"))).alias("id")).where("id IS NOT NULL")
+
+
+def resolve_scoped(rows: DataFrame, symbols: DataFrame, bindings: DataFrame, classes: bool = False) -> DataFrame:
+    """rows (path, name, ..) with the column to, the id of the symbol that a name means; those that mean none are left out.
+    A bare name: a symbol of the file, else what is imported by that name. a.b: the method b of the file's class a, a symbol
+    b of the file imported as a, or the method b of the class imported as a. this and self stand for nothing. bindings:
+    (path, local, imported, to); classes: only classes are meant."""
+    kind = F.col("kind").isin(*CLASSES) if classes else None
+    picked, named = written(_picked(symbols, kind), "picked"), symbols.select(F.col("path").alias("at"), F.col("name").alias("full"), "id")
+    keys = rows.select("path", "name").distinct().withColumn("p", F.split("name", r"\."))
+    keys = keys.where((F.size("p") <= 2) & ~F.get("p", F.lit(0)).isin("this", "self", "cls", "super"))
+    bare, pair = keys.where("size(p) = 1").select("path", "name"), keys.where("size(p) = 2").select("path", "name", F.col("p")[0].alias("a"), F.col("p")[1].alias("b"))
+    local = bindings.select("path", "local", "imported", F.col("to").alias("at"))
+    meant = F.when(F.col("imported").isin("default", "*", ""), F.col("local")).otherwise(F.col("imported"))
+    far = lambda df, by: df.join(local.withColumnRenamed("local", by), ["path", by])
+    tries = [
+        bare.join(picked, (F.col("path") == F.col("at")) & (F.col("name") == F.col("short"))).select("path", "name", "id", F.lit(0).alias("rank")),
+        bare.join(local.withColumn("short", meant), (bare["path"] == local["path"]) & (F.col("name") == F.col("local"))).select(bare["path"], "name", "at", "short").join(picked, ["at", "short"]).select("path", "name", "id", F.lit(1).alias("rank")),
+        pair.join(named, (F.col("path") == F.col("at")) & (F.col("full") == F.col("name"))).select("path", "name", "id", F.lit(0).alias("rank")),
+        far(pair, "a").where("imported = '*'").withColumnRenamed("b", "short").join(picked, ["at", "short"]).select("path", "name", "id", F.lit(1).alias("rank")),
+        far(pair, "a").where("imported <> '*'").select("path", "name", "at", F.concat(F.when(F.col("imported") == "default", F.col("a")).otherwise(F.col("imported")), F.lit("."), "b").alias("full")).join(named, ["at", "full"]).select("path", "name", "id", F.lit(2).alias("rank")),
+    ]
+    best = reduce(DataFrame.unionAll, tries).groupBy("path", "name").agg(F.min_by("id", F.struct("rank", "id")).alias("to"))
+    return rows.join(best, ["path", "name"])
+
+
+def assemble(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label, name, path, language, framework, line) and edges (src, type, dst) of files (path, language, content):
+    directories, files and symbols; imports, calls between symbols by the function that makes them, heritage, tests and
+    links across languages. An edge whose end is unknown is left out; each node and edge comes once."""
+    files = files.select("path", "language", "content")
+    rows = written(parsed(files), "parsed")
+    symbols = rows.where(F.col("kind").isin(*LABELS)).groupBy("path", "name").agg(F.min_by(F.struct("kind", "line"), F.struct("line", "kind")).alias("s"))
+    symbols = written(symbols.select(F.concat(F.lit("fn:"), "path", F.lit(":"), "name").alias("id"), "path", "name", "s.kind", "s.line"), "symbols")
+    wanted = rows.where("kind = 'import'")
+    resolved = written(resolve_imports(wanted.select("path", "target").distinct(), files), "resolved")
+    bindings = wanted.select("path", "target", F.col("name").alias("local"), F.col("scope").alias("imported")).join(resolved, ["path", "target"])
+    calls = resolve_scoped(rows.where("kind = 'call' AND scope <> ''").select("path", "name", "scope"), symbols, bindings)
+    above = rows.where("kind IN ('extends', 'implements')").select("path", F.col("name").alias("child"), F.col("target").alias("name"), "kind")
+    above = resolve_scoped(above, symbols, bindings, classes=True)
+    names = rows.where("kind = 'test'").select("path", "name", "line")
+    tools = files.select("path", framework(F.col("content")).alias("framework"))
+    label = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
+    pairs, tested = match_tests(files, symbols)
+    holders, contains = directories(files)
+    file = lambda c: F.concat(F.lit("file:"), c)
+    none = F.lit(None).cast("string")
+    node = lambda df, label, name, path=none, language=none, tool=none, line=F.lit(None).cast("int"): df.select("id", label.alias("label"), name.alias("name"), path.alias("path"), language.alias("language"), tool.alias("framework"), line.alias("line"))
+    last = F.element_at(F.split("path", "/"), -1)
+    tests = names.join(tools, "path")
+    nodes = [
+        node(files.sparkSession.range(1).select(F.lit("repo:root").alias("id")), F.lit("Repository"), F.lit("root")),
+        node(holders, F.lit("Directory"), last, F.col("path")),
+        node(files.withColumn("id", file("path")), F.lit("File"), last, F.col("path"), F.col("language")),
+        node(symbols, F.element_at(label, F.col("kind")), F.col("name"), F.col("path"), line=F.col("line")),
+        node(pairs.select(F.col("test").alias("path")).join(tools, "path").withColumn("id", F.concat(F.lit("test:"), "path")), F.lit("Test"), last, F.col("path"), tool=F.col("framework")),
+        node(tests.withColumn("id", F.concat(F.lit("test:"), "path", F.lit(":"), "name")), F.lit("Test"), F.col("name"), F.col("path"), tool=F.col("framework"), line=F.col("line")),
+    ]
+    edge = lambda df, a, kind, b: df.select(a.alias("src"), kind.alias("type"), b.alias("dst"))
+    symbol = lambda c: F.concat(F.lit("fn:"), "path", F.lit(":"), c)
+    edges = [
+        contains.select("src", "type", "dst"),
+        edge(symbols, file("path"), F.lit("CONTAINS"), F.col("id")),
+        edge(names, file("path"), F.lit("CONTAINS"), F.concat(F.lit("test:"), "path", F.lit(":"), "name")),
+        edge(resolved.where("path <> to"), file("path"), F.lit("IMPORTS"), file("to")),
+        edge(calls, symbol("scope"), F.lit("CALLS"), F.col("to")),
+        edge(above, symbol("child"), F.upper("kind"), F.col("to")),
+        tested.select("src", "type", "dst"),
+        edge(cross_language(files), file("src"), F.lit("CROSS_LANGUAGE"), file("dst")),
+    ]
+    return reduce(DataFrame.unionAll, nodes).dropDuplicates(["id"]), reduce(DataFrame.unionAll, edges).where("src <> dst").distinct()
+
+
 def file_nodes(files: DataFrame) -> DataFrame:
     return files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("File").alias("label"), F.element_at(F.split("path", "/"), -1).alias("name"), "path", extension(F.col("path")).alias("extension"), "language", "hash")

@@ -10,28 +10,27 @@ from .deps import tests_of
 from .history import changes, contributors, entity_files
 from .paths import cycles
 
-#: Ids (without prefix) of files that hold no code, as patterns.
-NON_CODE = [r"(^|/)(test|tests|__tests__|spec)/", r"\.(test|spec)\.[^/]+$", r"(^|/)(package(-lock)?\.json|tsconfig[^/]*\.json|pom\.xml|go\.(mod|sum)|Cargo\.(toml|lock)|requirements[^/]*\.txt|composer\.json)$", r"\.(md|rst|txt|png|jpe?g|gif|svg|ico|ya?ml|toml|ini|lock)$"]
+#: Paths of files that hold no code, as patterns: tests; manifests and dot files; settings of tools;
+#: documents, pictures and generated files.
+NON_CODE = [
+    r"\.(test|spec)\.[^.]+$",
+    r"(?i)(^|/)(package(-lock)?\.json|\.gitignore|\.npmrc|\.editorconfig|\.env(\..*)?|\.prettierrc(\.[a-z]+)?|dockerfile)$",
+    r"(?i)(^|/)(\.eslintrc(\.[a-z]+)?|(tsconfig(\.\w+)?|jsconfig)\.json|(next|vitest|jest|tailwind)\.config\.[cm]?[jt]s)$",
+    r"(?i)\.(md|markdown|svg|png|jpe?g|gif|ico|lock|sum|map|d\.ts)$",
+]
 
 
 def code_only(path: Column) -> Column:
-    """Whether a path is neither a test nor a manifest, document, picture or setting."""
+    """Whether a path is neither a test nor a manifest, setting, document, picture or generated file."""
     hit = F.lit(False)
     for p in NON_CODE:
         hit = hit | path.rlike(p)
     return ~F.coalesce(hit, F.lit(False))
 
 
-def normal_path(path: Column) -> Column:
-    """A changed path as a file id: trimmed, without a/ or b/, the tail of a blob URL, without leading slashes."""
-    p = F.regexp_replace(F.trim(path), r"^https?://[^/]+/[^/]+/[^/]+/blob/[^/]+/", "")
-    p = F.regexp_replace(F.regexp_replace(p, r"^[ab]/", ""), r"^/+", "")
-    return F.when(p.rlike(r"^(file|fn|dir|class|test|repo):"), p).otherwise(F.concat(F.lit("file:"), p))
-
-
 def core_components(g: Graph, limit: int) -> DataFrame:
     """Classes by distinct callers of their file's functions, with the first three callers' names."""
-    members = g.members().where(F.col("entity").startswith("class:")).withColumnRenamed("entity", "class")
+    members = g.class_members()
     calls = g.e("CALLS").select(F.col("dst").alias("fn"), F.col("src").alias("caller"))
     names = g.n("Function").select(F.col("id").alias("caller"), F.col("name").alias("caller_name"))
     found = members.join(calls, "fn").join(names, "caller").groupBy("class").agg(F.count_distinct("caller").alias("callers"), F.array_join(F.slice(F.sort_array(F.collect_set("caller_name")), 1, 3), ", ").alias("top"))
@@ -68,7 +67,7 @@ def orphans(g: Graph, strict: bool = False) -> DataFrame:
 def _class_owners(g: Graph, direction: str) -> DataFrame:
     """(class, owner): distinct owners of the functions that call (in) or are called by (out) a class's functions."""
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    members = g.members().where(F.col("entity").startswith("class:")).withColumnRenamed("entity", "class")
+    members = g.class_members()
     calls = g.e("CALLS").select(F.col(a).alias("fn"), F.col(b).alias("other"))
     owners = g.owners().select(F.col("fn").alias("other"), "owner")
     return members.join(calls, "fn").join(owners, "other").where("owner <> class").select("class", "owner").distinct()
@@ -116,6 +115,12 @@ def entity_knowledge(g: Graph, entity: str) -> DataFrame:
     return changes(g).join(files, "file").where("dev IS NOT NULL").groupBy("dev").agg(F.count_distinct("commit").alias("commits"), F.max("ts").alias("last"))
 
 
+def workspace(g: Graph) -> DataFrame:
+    """One row: how many repositories, files, commits, pull requests, issues and developers there are."""
+    names = {"repositories": "Repository", "files": "File", "commits": "Commit", "pulls": "PullRequest", "issues": "Issue", "developers": "Developer"}
+    return g.n(*names.values()).agg(*(F.count_if(F.col("label") == label).alias(name) for name, label in names.items()))
+
+
 def composition(g: Graph) -> DataFrame:
     """Files, functions, classes and tests, and their share of the sum in per cent."""
     counts = g.n("File", "Function", "Class", "Test").groupBy("label").agg(F.count("*").alias("n"))

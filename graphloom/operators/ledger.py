@@ -17,7 +17,7 @@ def compact(snapshots: DataFrame) -> DataFrame:
 def retain(snapshots: DataFrame, keep: int = KEEP) -> DataFrame:
     """The newest of each repository."""
     order = Window.partitionBy("repo").orderBy(F.desc("ts"), "id")
-    return snapshots.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep).drop("n")
+    return snapshots.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= keep).drop("__n")
 
 
 def history(snapshots: DataFrame, repo: str, node: str | None = None) -> DataFrame:

@@ -48,8 +48,15 @@ def overview(g: Graph, as_of: str) -> DataFrame:
     return out.select("file", "devs", (F.col("devs") == 1).alias("single"), F.coalesce(F.col("top") < MEDIUM, F.lit(True)).alias("unclear"), stale.alias("stale"), ((F.col("devs") >= 2) & ~stale).alias("covered"))
 
 
-def expertise(g: Graph) -> DataFrame:
-    """Per developer: commits, distinct files, and the five first areas (two path segments)."""
-    paths = g.n("File").select(F.col("id").alias("file"), F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("area"))
+def expertise(g: Graph, reviews: DataFrame | None = None) -> DataFrame:
+    """Per developer: commits, distinct files, the ten first paths, the five first areas (two path segments), and reviews
+    (file, dev, ts), if given; a developer who only reviews has no row."""
+    paths = g.n("File").select(F.col("id").alias("file"), "path", F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("area"))
     known = changes(g).where("dev IS NOT NULL").join(paths, "file")
-    return known.groupBy("dev").agg(F.count_distinct("commit").alias("commits"), F.count_distinct("file").alias("files"), F.array_join(F.slice(F.array_sort(F.collect_set("area")), 1, 5), ",").alias("areas"))
+    sums = known.groupBy("dev").agg(F.count_distinct("commit").alias("commits"), F.count_distinct("file").alias("files"))
+    # the first ones by a window over distinct values, so that no developer's paths are gathered
+    first = lambda c, most: known.select("dev", c).distinct().withColumn("n", F.row_number().over(Window.partitionBy("dev").orderBy(c))).where(F.col("n") <= most).groupBy("dev").agg(F.array_join(F.array_sort(F.collect_list(c)), ",").alias(f"{c}s"))
+    out = sums.join(first("path", 10), "dev").join(first("area", 5), "dev")
+    if reviews is None:
+        return out.withColumn("reviews", F.lit(0).cast("long"))
+    return out.join(reviews.groupBy("dev").agg(F.count("*").alias("reviews")), "dev", "left").withColumn("reviews", F.coalesce("reviews", F.lit(0)))

@@ -55,6 +55,17 @@ def path_edges(paths: DataFrame) -> DataFrame:
     return paths.select("root", F.posexplode("edge_keys").alias("step", "key")).groupBy("root", "key").agg(F.min("step").alias("step"))
 
 
+def distinct_paths(paths: DataFrame) -> DataFrame:
+    """One row for each root and list of nodes: that with the first edge keys."""
+    first = F.min_by(F.struct("node", "hops", "rel_types", "edge_keys"), F.array_join("edge_keys", ">")).alias("p")
+    return paths.groupBy("root", "node_ids").agg(first).select("root", "p.node", "p.hops", "node_ids", "p.rel_types", "p.edge_keys")
+
+
+def merged(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two traversals as one: (root, node, hops) at the least distance, and (root, key, step) of their distinct edges."""
+    return nearest(a.unionByName(b)), path_edges(a.unionByName(b))
+
+
 def traversal(edges: DataFrame, root: DataFrame, depth: int = MAX_DEPTH, limit: int = MAX_PATHS, direction: str = "out") -> DataFrame:
     """A request's trails, shortest first; inward ones end at the root."""
     check("depth", depth, 1, MAX_DEPTH)
@@ -63,6 +74,13 @@ def traversal(edges: DataFrame, root: DataFrame, depth: int = MAX_DEPTH, limit:
     return out if direction == "out" else out.withColumn("node_ids", F.reverse("node_ids")).withColumn("rel_types", F.reverse("rel_types")).withColumn("edge_keys", F.reverse("edge_keys"))
 
 
+def of_labels(found: DataFrame, inside: DataFrame, nodes: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A neighbourhood's nodes of some labels (all without labels), and the edges with both ends among them."""
+    kept = found.join(nodes.where(F.col("label").isin(*labels)).select("id"), "id", "left_semi") if labels else found
+    ids = kept.select("id")
+    return kept, inside.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "type", "dst")
+
+
 def neighbourhood(edges: DataFrame, root: DataFrame, depth: int = 2, nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, hops), root first and nearest first up to a cap, and the edges between them."""
     check("nodes", nodes, 1, MAX_NODES)
@@ -107,6 +125,28 @@ def shortest(paths: DataFrame, node: str) -> DataFrame:
     return paths.where(F.col("node") == node).withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
+def induced(path: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of paths (root, node_ids) in their order as (root, step, ..), and the edges between the nodes of one path."""
+    steps = path.select("root", F.posexplode("node_ids").alias("step", "id")).groupBy("root", "id").agg(F.min("step").alias("step"))
+    ends = steps.select("root", "id")
+    inside = edges.select("src", "type", "dst").join(ends.withColumnRenamed("id", "src"), "src").join(ends.withColumnRenamed("id", "dst"), ["root", "dst"])
+    return steps.join(nodes, "id"), inside.select("root", "src", "type", "dst").distinct()
+
+
+def rings(found: DataFrame, gap: float = 160.0) -> DataFrame:
+    """found (id, hops) with x and y: the root in the middle, each distance a ring, its nodes by id at equal angles."""
+    ring = Window.partitionBy("hops")
+    angle = 2 * F.pi() * (F.row_number().over(ring.orderBy("id")) - 1) / F.count("*").over(ring)
+    return found.select("*", F.round(F.col("hops") * gap * F.cos(angle), 6).alias("x"), F.round(F.col("hops") * gap * F.sin(angle), 6).alias("y"))
+
+
+def flow(found: DataFrame, width: float = 240.0, height: float = 80.0) -> DataFrame:
+    """found (id, hops) with x and y: a column for each distance, its nodes by id from the top, centred on the root's line."""
+    column = Window.partitionBy("hops")
+    place = F.row_number().over(column.orderBy("id")) - 1 - (F.count("*").over(column) - 1) / 2
+    return found.select("*", (F.col("hops") * width).alias("x"), (place * height).alias("y"))
+
+
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
     """Ids next to a node, in either direction."""
     out = edges.where(F.col("src") == node).select(F.col("dst").alias("id")).unionAll(edges.where(F.col("dst") == node).select(F.col("src").alias("id")))

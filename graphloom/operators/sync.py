@@ -1,11 +1,15 @@
 """Incremental synchronisation: file and graph deltas, and their application to versioned tables.
 
-A version of the graph is a directory of Parquet; the pointer file to the newest version is written last, so that a
-failed or repeated run leaves the old version in place.
+A version of the graph is a directory of Parquet; a mark that names it is made last, in one step, so that a failed or
+repeated run leaves the version before in place.
 """
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +32,27 @@ def graph_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("id", action.alias("action")).where("action IS NOT NULL")
 
 
+def renamed(changed: DataFrame) -> DataFrame:
+    """(path, status) of a change set (path, old_path, status): a rename is a removal and an addition."""
+    gone = changed.where("status = 'RENAMED' AND old_path IS NOT NULL").select(F.col("old_path").alias("path"), F.lit("DELETED").alias("status"))
+    here = changed.select("path", F.when(F.col("status") == "RENAMED", F.lit("ADDED")).otherwise(F.col("status")).alias("status"))
+    return here.unionAll(gone).distinct()
+
+
+def old_state(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is stored of some paths (path): their files and the symbols in these, and the edges that leave them."""
+    files = nodes.join(paths.select("path"), "path", "left_semi").where("label = 'File'").select("id")
+    inside = edges.where("type = 'CONTAINS'").join(files.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
+    ids = files.unionAll(inside).distinct()
+    return nodes.join(ids, "id", "left_semi"), edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "type", "dst")
+
+
+def stored_hashes(nodes: DataFrame, contained: DataFrame, repo: str) -> DataFrame:
+    """(path, hash) of a repository's files that have one. contained: (root, id), as of Graph.contained()."""
+    ids = contained.where(F.col("root") == repo).select("id").distinct()
+    return nodes.where("label = 'File' AND hash IS NOT NULL").join(ids, "id", "left_semi").select("path", "hash")
+
+
 def edge_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     keys = ["src", "type", "dst"]
     added = new.join(old.select(*keys), keys, "left_anti").withColumn("action", F.lit("ADDED"))
@@ -59,17 +84,17 @@ def apply(nodes: DataFrame, edges: DataFrame, delta: DataFrame, new_nodes: DataF
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of new in place of old rows with their key; of several new ones the last by column at."""
-    last = new.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("at")))).where("n = 1").drop("n", "at")
+    last = new.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("at")))).where("__n = 1").drop("__n", "at")
     return old.join(last.select(*key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
-def remove_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges without the files of paths (path), their symbols and tests, and edges of these."""
+def remove_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """nodes and edges without the files of paths (path), their symbols and tests, and edges of these; how many nodes went."""
     gone = nodes.join(paths, "path", "left_semi").select("id")
     inside = edges.where("type = 'CONTAINS'").join(gone.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
     gone = gone.unionAll(inside).distinct()
     left = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-    return nodes.join(gone, "id", "left_anti"), left
+    return nodes.join(gone, "id", "left_anti"), left, nodes.join(gone, "id", "left_semi").count()
 
 
 def activate(repositories: DataFrame, repo: str) -> DataFrame:
@@ -91,7 +116,10 @@ class Store:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return int(self.spark.read.text(f"{self.path}/CURRENT").first()[0]) if fs.exists(at) else None
+        if not fs.exists(at):
+            return None
+        marks = [s.getPath().getName() for s in fs.listStatus(at)]
+        return max((int(m[1:]) for m in marks if m[:1] == "v" and m[1:].isdigit()), default=None)
 
     def read(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
         v = self.version() if version is None else version
@@ -99,7 +127,75 @@ class Store:
             raise ValueError("nothing is stored yet")
         return self.spark.read.parquet(f"{self.path}/v{v}/nodes"), self.spark.read.parquet(f"{self.path}/v{v}/edges")
 
-    def promote(self, nodes: DataFrame, edges: DataFrame, version: int) -> None:
+    def made_by(self, version: int) -> str | None:
+        """What the maker of a version said that it was made of."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return next((n[3:] for n in names if n.startswith("by-")), None)
+
+    def promote(self, nodes: DataFrame, edges: DataFrame, version: int, made_of: str | None = None) -> None:
+        """Writes a version and makes it the newest. made_of: a name of what it was made of, for made_by()."""
         nodes.write.mode("overwrite").parquet(f"{self.path}/v{version}/nodes")
         edges.write.mode("overwrite").parquet(f"{self.path}/v{version}/edges")
-        self.spark.range(1).select(F.lit(str(version)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
+        if made_of is not None:
+            self._touch(f"v{version}/by-{made_of}")
+        self._touch(f"CURRENT/v{version}")
+
+    def _touch(self, name: str) -> None:
+        """An empty file: created in one step, and never rewritten."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(at, True).close()
+
+
+class Runs:
+    """Synchronisations of repositories on the driver: one at a time of each, so many at once in all. A run is QUEUED, RUNNING,
+    then DONE, FAILED (after as many tries as allowed) or CANCELLED; a request for a repository that has a run under way
+    joins it."""
+
+    def __init__(self, work: Callable[[str, threading.Event], None], at_once: int = 3, tries: int = 3):
+        self._work, self._tries = work, tries
+        self._pool = ThreadPoolExecutor(max_workers=at_once)
+        self._lock = threading.Lock()
+        self._runs: dict[str, dict] = {}
+
+    def request(self, repo: str) -> Future:
+        with self._lock:
+            run = self._runs.get(repo)
+            if run and run["state"] in ("QUEUED", "RUNNING"):
+                return run["future"]
+            run = self._runs[repo] = {"state": "QUEUED", "stop": threading.Event(), "tries": 0, "error": None}
+            run["future"] = self._pool.submit(self._run, repo, run)
+            return run["future"]
+
+    def cancel(self, repo: str) -> bool:
+        """Whether there was a run to be cancelled; work sees its event set, and a queued run never starts."""
+        with self._lock:
+            run = self._runs.get(repo)
+            if not run or run["state"] not in ("QUEUED", "RUNNING"):
+                return False
+            run["stop"].set()
+            return True
+
+    def state(self, repo: str) -> tuple[str, int, str | None]:
+        """(state, tries, the last error); IDLE for a repository that was never asked for."""
+        with self._lock:
+            run = self._runs.get(repo)
+            return (run["state"], run["tries"], run["error"]) if run else ("IDLE", 0, None)
+
+    def _run(self, repo: str, run: dict) -> None:
+        while not run["stop"].is_set() and run["tries"] < self._tries:
+            with self._lock:
+                run["state"], run["tries"] = "RUNNING", run["tries"] + 1
+            try:
+                self._work(repo, run["stop"])
+                with self._lock:
+                    run["state"] = "CANCELLED" if run["stop"].is_set() else "DONE"
+                return
+            except Exception as e:  # the error is kept for state(); the next try may do better
+                with self._lock:
+                    run["error"] = f"{type(e).__name__}: {e}"
+        with self._lock:
+            run["state"] = "CANCELLED" if run["stop"].is_set() else "FAILED"

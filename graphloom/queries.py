@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .graph import Graph
 from .functions import extract
-from .operators import deps, guardrails, history, impact, ingest, intel, ledger, ownership, paths, sync, testsel
+from .operators import deps, evidence, guardrails, history, impact, ingest, intel, ledger, ownership, paths, sync, testsel
 from .plans.projection import duckdb, load
 from .schema import human_label, search_label
 
@@ -91,10 +91,16 @@ def repositories(g: Graph) -> DataFrame:
 
 @query("SELECT id, name FROM n_repository ORDER BY coalesce(active, false) DESC, id LIMIT 1")
 def default_repository(g: Graph) -> DataFrame:
-    """SC6, SC7"""
+    """SC6"""
     return deps.default_repository(g)
 
 
+@query("SELECT id, name AS full_name, CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at FROM n_repository ORDER BY coalesce(active, false) DESC, id LIMIT 1")
+def repository_times(g: Graph) -> DataFrame:
+    """SC7; the tables have no times of repositories"""
+    return deps.repository_times(g)
+
+
 @query("""SELECT id, label, coalesce(nullif(name, ''), nullif(title, ''), nullif(list_last(string_split(path, '/')), ''), nullif(sha, ''), nullif(username, ''), nullif(message, ''), id) AS title FROM all_nodes
     WHERE label IN ('File', 'Class', 'Function', 'PullRequest') AND contains(lower(coalesce(name, title, sha, username, message, '')), '11') ORDER BY 3, 1 LIMIT 40""")
 def search_nodes(g: Graph) -> DataFrame:
@@ -164,6 +170,42 @@ def tests_for_file(g: Graph) -> DataFrame:
     return deps.tests_for(g, FILE)
 
 
+_BELOW = "SELECT d.src AS entity, f.dst AS fn FROM e_contains d JOIN e_contains f ON f.src = d.dst AND f.dst LIKE 'fn:%' WHERE d.src LIKE 'dir:%' UNION ALL SELECT r.src, f.dst FROM e_contains r JOIN e_contains d ON d.src = r.dst JOIN e_contains f ON f.src = d.dst AND f.dst LIKE 'fn:%' WHERE r.src LIKE 'repo:%'"
+
+
+@query(f"SELECT DISTINCT n.id, n.name, n.framework FROM n_test n JOIN e_tests t ON t.src = n.id JOIN ({_BELOW}) b ON b.fn = t.dst WHERE b.entity = 'dir:7'")
+def tests_for_directory(g: Graph) -> DataFrame:
+    """J10 for a container"""
+    return deps.tests_for(g, "dir:7")
+
+
+@query("SELECT n.id, n.label, n.name, 'IMPORTS' AS type, CAST(NULL AS VARCHAR) AS via FROM all_nodes n JOIN e_imports e ON e.src = 'file:7' AND e.dst = n.id")
+def dependencies_of_file(g: Graph) -> DataFrame:
+    """J8, J7"""
+    return deps.dependencies(g, FILE)
+
+
+@query("SELECT n.id, n.label, n.name, l.type, l.via FROM all_nodes n JOIN (" + _class_links("src", "dst").replace("WITH m AS", "WITH mm AS").replace("FROM m JOIN", "FROM mm m JOIN") + ") l ON l.owner = n.id WHERE l.class = 'class:7:1'")
+def dependencies_of_class(g: Graph) -> DataFrame:
+    """Each target with its own label"""
+    return deps.dependencies(g, CLASS)
+
+
+@query("SELECT id, label, name, type, via FROM (SELECT n.id, n.label, n.name, l.type, l.via FROM all_nodes n JOIN (" + _class_links("src", "dst").replace("WITH m AS", "WITH mm AS").replace("FROM m JOIN", "FROM mm m JOIN") + ") l ON l.owner = n.id WHERE l.class = 'class:7:1') x WHERE contains(lower(name), '1') OR contains(lower(label), '1') OR contains(lower(type), '1') OR contains(lower(coalesce(via, '')), '1')")
+def dependency_search(g: Graph) -> DataFrame:
+    """P17"""
+    return deps.relationship_list(deps.dependencies(g, CLASS), "1", order="type")
+
+
+_RAW = [" a/src/x.ts ", "file:7", "fn:17", "class:7:1", "fn:none", "https://host/o/r/blob/main/src/y.ts", "/src/y.ts"]
+
+
+@query("SELECT r AS raw, i AS id, i IN (SELECT id FROM all_nodes WHERE label IN ('File', 'Class', 'Function')) AS resolved FROM (VALUES ('a/src/x.ts', 'file:src/x.ts'), ('file:7', 'file:7'), ('fn:17', 'fn:17'), ('class:7:1', 'class:7:1'), ('fn:none', 'fn:none'), ('/src/y.ts', 'file:src/y.ts')) v(r, i)")
+def changed_entities(g: Graph) -> DataFrame:
+    """J18, P13"""
+    return deps.resolve_changed(g, g.nodes.sparkSession.createDataFrame([(x,) for x in _RAW], "path string"))
+
+
 @query("""SELECT src, type, dst, CASE WHEN src = 'file:7' THEN 'out' ELSE 'in' END AS direction, row_number() OVER (ORDER BY CASE WHEN src = 'file:7' THEN 0 ELSE 1 END, type, src, dst) AS n
     FROM (SELECT DISTINCT src, type, dst FROM all_edges WHERE src = 'file:7' OR dst = 'file:7') x""")
 def node_relationships(g: Graph) -> DataFrame:
@@ -240,6 +282,36 @@ def entity_knowledge(g: Graph) -> DataFrame:
     return intel.entity_knowledge(g, FILE)
 
 
+@query(f"SELECT f.entity, count(DISTINCT c.commit) AS commits, count(DISTINCT p.src) AS pulls, count(DISTINCT r.src) AS issues FROM ({FILES}) f LEFT JOIN ({CHANGES}) c ON c.file = f.file LEFT JOIN e_contains p ON p.dst = c.commit LEFT JOIN e_related_to r ON r.dst = p.src GROUP BY f.entity")
+def history_counts(g: Graph) -> DataFrame:
+    """A4"""
+    return history.counts(g)
+
+
+def _bundle(roots: str) -> str:
+    return f"""bc AS (SELECT DISTINCT f.entity AS root, c.commit AS id, concat_ws(' ', sha, message) AS title, ts FROM ({FILES}) f JOIN ({CHANGES}) c ON c.file = f.file WHERE f.entity IN ({roots})),
+    bp AS (SELECT DISTINCT root, p.id, p.title, p.ts FROM bc JOIN e_contains e ON e.dst = bc.id JOIN n_pullrequest p ON p.id = e.src), bi AS (SELECT DISTINCT root, i.id, i.title, i.ts FROM bp JOIN e_related_to r ON r.dst = bp.id JOIN n_issue i ON i.id = r.src),
+    past AS (SELECT * FROM (SELECT root, kind, row_number() OVER (PARTITION BY root, kind ORDER BY ts DESC, id) AS rank, id, title, ts FROM (SELECT *, 'commit' AS kind FROM bc UNION ALL SELECT *, 'pull' FROM bp UNION ALL SELECT *, 'issue' FROM bi) x) y WHERE rank <= CASE kind WHEN 'commit' THEN 10 ELSE 5 END)"""
+
+
+@query("WITH " + _bundle("'file:7', 'class:7:1', 'fn:17'") + " SELECT * FROM past")
+def history_bundle(g: Graph) -> DataFrame:
+    """I11"""
+    return history.bundle(g, ids(g, FILE, CLASS, FN))
+
+
+@query(f"SELECT * FROM (SELECT file, dev, n, row_number() OVER (PARTITION BY file ORDER BY n DESC, dev) AS rank FROM (SELECT file, dev, count(DISTINCT commit) AS n FROM ({CHANGES}) c WHERE dev IS NOT NULL GROUP BY file, dev) x) y WHERE rank <= 5")
+def top_developers(g: Graph) -> DataFrame:
+    """A25"""
+    return history.top_developers(g)
+
+
+@query(f"WITH t AS (SELECT DISTINCT commit, ts, substr(message, 1, 100) AS title FROM ({CHANGES}) c WHERE file = 'file:7') SELECT *, (SELECT count(*) FROM t) AS total, (SELECT count(*) FROM t) > 5 AS has_more FROM t ORDER BY ts DESC, commit LIMIT 5")
+def file_timeline(g: Graph) -> DataFrame:
+    """A28"""
+    return history.file_timeline(g, FILE, 5)
+
+
 def _within(n: int) -> str:
     return f"count(*) FILTER (WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL {n} DAY) AS d{n}"
 
@@ -306,10 +378,31 @@ def traversal_min_hops(g: Graph) -> DataFrame:
 
 @query(trails(typed("imports"), 3, "SELECT 'file:7' AS id") + ", k AS (SELECT root, unnest(keys) AS key, unnest(range(len(keys))) AS step FROM t) SELECT root, key, CAST(min(step) AS BIGINT) AS step FROM k GROUP BY root, key")
 def traversal_edges(g: Graph) -> DataFrame:
-    """T2, T17"""
+    """T2"""
     return paths.path_edges(paths.expand(g.keyed("IMPORTS"), ids(g, FILE), 3)).withColumn("step", F.col("step").cast("long"))
 
 
+@query(trails(typed("imports"), 3, "SELECT 'file:7' AS id") + """, n AS (SELECT ids, row_number() OVER (ORDER BY hops, array_to_string(ids, '>')) AS path_no FROM t WHERE hops > 0), h AS (SELECT path_no, unnest(range(1, len(ids))) AS k, ids FROM n),
+    f AS (SELECT ids[k] AS src, ids[k + 1] AS dst, min(struct_pack(p := path_no, a := k)) AS first FROM h GROUP BY 1, 2) SELECT 'file:7' AS root, src, dst, row_number() OVER (ORDER BY first) AS step FROM f""")
+def trace_spine(g: Graph) -> DataFrame:
+    """T17"""
+    return paths.spine(paths.expand(g.keyed("IMPORTS"), ids(g, FILE), 3)).withColumn("step", F.col("step").cast("long"))
+
+
+@query(trails(typed("imports"), 4, "SELECT DISTINCT src AS id FROM e_imports") + " SELECT DISTINCT root, array_to_string(ids, '>') AS path FROM t WHERE hops > 0")
+def distinct_paths(g: Graph) -> DataFrame:
+    """T2"""
+    all_paths = paths.expand(g.keyed("IMPORTS"), g.e("IMPORTS").select(F.col("src").alias("id")).distinct())
+    return paths.distinct_paths(all_paths).select("root", F.array_join("node_ids", ">").alias("path"))
+
+
+@query(trails(typed("imports") + " UNION ALL " + typed("calls"), 2, "SELECT id FROM (VALUES ('file:7'), ('fn:17')) v(id)") + " SELECT root, node, CAST(min(hops) AS BIGINT) AS hops FROM t WHERE hops > 0 GROUP BY root, node")
+def merged_traversals(g: Graph) -> DataFrame:
+    """T3"""
+    one = lambda kind, root: paths.expand(g.keyed(kind), ids(g, root), 2)
+    return paths.merged(one("IMPORTS", FILE), one("CALLS", FN))[0].withColumn("hops", F.col("hops").cast("long"))
+
+
 _AROUND = trails(typed("imports"), 2, "SELECT 'file:7' AS id") + """, u AS (SELECT id AS root, id AS node, 0 AS hops, CAST([] AS VARCHAR[]) AS keys FROM (SELECT 'file:7' AS id) r
     UNION ALL SELECT u.root, e.src, u.hops + 1, list_append(u.keys, e.src || '|' || e.dst) FROM u JOIN e ON e.dst = u.node WHERE u.hops < 2 AND NOT list_contains(u.keys, e.src || '|' || e.dst)),
     w AS (SELECT node AS id, CAST(min(hops) AS BIGINT) AS hops FROM (SELECT node, hops FROM t UNION ALL SELECT node, hops FROM u) x GROUP BY node ORDER BY 2, 1 LIMIT 100)"""
@@ -323,10 +416,28 @@ def neighbourhood_nodes(g: Graph) -> DataFrame:
 
 @query(_AROUND + " SELECT src, type, dst FROM e WHERE src IN (SELECT id FROM w) AND dst IN (SELECT id FROM w)")
 def neighbourhood_edges(g: Graph) -> DataFrame:
-    """T4, P11"""
+    """T4"""
     return paths.neighbourhood(g.keyed("IMPORTS"), ids(g, FILE), 2, 100)[1]
 
 
+_MIXED = trails(typed("contains"), 2, "SELECT 'dir:7' AS id") + """, u AS (SELECT id AS root, id AS node, 0 AS hops, CAST([] AS VARCHAR[]) AS keys FROM (SELECT 'dir:7' AS id) r
+    UNION ALL SELECT u.root, e.src, u.hops + 1, list_append(u.keys, e.src || '|' || e.dst) FROM u JOIN e ON e.dst = u.node WHERE u.hops < 2 AND NOT list_contains(u.keys, e.src || '|' || e.dst)),
+    w AS (SELECT node AS id, CAST(min(hops) AS BIGINT) AS hops FROM (SELECT node, hops FROM t UNION ALL SELECT node, hops FROM u) x GROUP BY node), k AS (SELECT id FROM w WHERE id LIKE 'dir:%' OR id LIKE 'file:%')"""
+
+
+@query(_MIXED + " SELECT src, type, dst FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
+def neighbourhood_of_labels(g: Graph) -> DataFrame:
+    """P11, T5"""
+    found, inside = paths.neighbourhood(g.keyed("CONTAINS"), ids(g, "dir:7"), 2, 500)
+    return paths.of_labels(found, inside, g.n("Directory", "File"), ["Directory", "File"])[1]
+
+
+@query(_AROUND + " SELECT id, hops, CAST(hops * 240 AS DOUBLE) AS x, (row_number() OVER (PARTITION BY hops ORDER BY id) - 1 - (count(*) OVER (PARTITION BY hops) - 1) / 2) * 80.0 AS y FROM w")
+def layout_flow(g: Graph) -> DataFrame:
+    """Columns; rings and the seeded force layout are tested apart"""
+    return paths.flow(paths.neighbourhood(g.keyed("IMPORTS"), ids(g, FILE), 2, 100)[0].withColumn("hops", F.col("hops").cast("long")))
+
+
 def _cycles(kind: str, depth: int = 6) -> str:
     return trails(typed(kind), depth, f"SELECT DISTINCT src AS id FROM e_{kind}", extra="AND (t.hops = 0 OR t.node <> t.root)") + """, c AS (SELECT array_to_string(list_sort(ids[1:hops]), '|') AS signature, array_to_string(ids[1:hops], '>') AS members, hops
     FROM t WHERE node = root AND hops >= 2 AND len(list_distinct(ids[1:hops])) = hops) SELECT signature, min(members) AS members, CAST(max(hops) AS BIGINT) AS length FROM c GROUP BY signature"""
@@ -430,6 +541,33 @@ def impact_score(g: Graph) -> DataFrame:
     return impact.score(g, ids(g, *_ROOTS), 3)
 
 
+_COUNTS = f""", td AS (SELECT root, target, row_number() OVER (PARTITION BY root ORDER BY target) AS rank FROM imp WHERE impact = 'DIRECT'),
+    tw AS (SELECT id AS root, id AS entity, 0 AS rank FROM rr UNION ALL SELECT root, target, rank FROM td WHERE rank <= 10), tt AS ({TESTED}),
+    tx AS (SELECT root, test, rank, row_number() OVER (PARTITION BY root, tw.entity ORDER BY test) AS n FROM tw JOIN tt ON tt.entity = tw.entity),
+    ty AS (SELECT root, test, min(rank) AS rank FROM tx WHERE n <= 20 GROUP BY root, test), tz AS (SELECT root, test, row_number() OVER (PARTITION BY root ORDER BY rank, test) AS rank FROM ty)"""
+
+
+@query(_impact(["file:7", "class:7:1", "fn:17"]) + _COUNTS + ", " + _bundle("'file:7', 'class:7:1', 'fn:17'") + """,
+    ev AS (SELECT root, 'path' AS kind, 0 AS place, row_number() OVER (PARTITION BY root ORDER BY impact, hops, target) AS rank, target AS ref, replace(path, '>', ' → ' || relationship || ' → ') AS text, 10 AS most FROM imp
+        UNION ALL SELECT root, 'test', 1, rank, test, trim(regexp_replace(n.name, '[\\s]+', ' ', 'g')), 8 FROM tz JOIN n_test n ON n.id = tz.test
+        UNION ALL SELECT root, kind, CASE kind WHEN 'commit' THEN 2 WHEN 'pull' THEN 3 ELSE 4 END, rank, id, trim(regexp_replace(title, '[\\s]+', ' ', 'g')), 5 FROM past)
+    SELECT root, 'E' || row_number() OVER (PARTITION BY root ORDER BY place, rank) AS id, kind, ref, text FROM ev WHERE rank <= most""")
+def impact_evidence(g: Graph) -> DataFrame:
+    """I17, I12"""
+    return evidence.evidence(g, ids(g, FILE, CLASS, FN), 3)
+
+
+@query(_impact(["file:7", "file:3"]) + _COUNTS + """, sm AS (SELECT id AS root, (SELECT count(*) FROM imp WHERE root = rr.id AND impact = 'DIRECT') AS direct, (SELECT count(*) FROM imp WHERE root = rr.id AND impact <> 'DIRECT') AS indirect,
+        (SELECT coalesce(max(hops), 0) FROM imp WHERE root = rr.id) AS distance, (SELECT least(50, count(*)) FROM tz WHERE root = rr.id) AS tests FROM rr),
+    pt AS (SELECT *, CASE WHEN direct + indirect >= 3 THEN 2 WHEN direct + indirect >= 1 THEN 1 ELSE 0 END + CASE WHEN distance >= 2 THEN 2 WHEN distance >= 1 THEN 1 ELSE 0 END + CASE WHEN tests >= 5 THEN 2 WHEN tests >= 1 THEN 1 ELSE 0 END AS points FROM sm),
+    lo AS (SELECT root, 'direct' AS measure, CAST(direct AS VARCHAR) AS v FROM pt UNION ALL SELECT root, 'indirect', CAST(indirect AS VARCHAR) FROM pt UNION ALL SELECT root, 'distance', CAST(distance AS VARCHAR) FROM pt UNION ALL SELECT root, 'tests', CAST(tests AS VARCHAR) FROM pt
+        UNION ALL SELECT root, 'points', CAST(points AS VARCHAR) FROM pt UNION ALL SELECT root, 'level', CASE WHEN points >= 5 THEN 'HIGH' WHEN points >= 3 THEN 'MEDIUM' ELSE 'LOW' END FROM pt)
+    SELECT measure, max(CASE WHEN root = 'file:7' THEN v END) AS a, max(CASE WHEN root = 'file:3' THEN v END) AS b, max(CASE WHEN root = 'file:7' THEN v END) <> max(CASE WHEN root = 'file:3' THEN v END) AS differs FROM lo GROUP BY measure""")
+def impact_compare(g: Graph) -> DataFrame:
+    """I19"""
+    return impact.compare(g, FILE, "file:3", 3)
+
+
 _CHANGED = ["file:7", "file:3", "file:5"]
 
 
@@ -447,6 +585,21 @@ def tests_for_change(g: Graph) -> DataFrame:
     return impact.tests_for_change(g, ids(g, *_CHANGED), 2)
 
 
+@query(_impact(_CHANGED, 2, True) + f""", br AS (SELECT target, hops, impact FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY hops, root) AS n FROM imp) x WHERE n = 1), af AS (SELECT id AS entity FROM rr UNION SELECT target FROM br),
+    sm AS (SELECT 3 AS changed, count(*) FILTER (WHERE impact = 'DIRECT') AS direct, count(*) FILTER (WHERE impact <> 'DIRECT') AS indirect, coalesce(max(hops), 0) AS distance, (SELECT count(DISTINCT test) FROM af JOIN ({TESTED}) t ON t.entity = af.entity) AS tests FROM br),
+    pt AS (SELECT *, CASE WHEN direct + indirect >= 3 THEN 2 WHEN direct + indirect >= 1 THEN 1 ELSE 0 END + CASE WHEN 3 * distance >= 4 THEN 2 WHEN 3 * distance >= 2 THEN 1 ELSE 0 END + CASE WHEN tests >= 5 THEN 2 WHEN tests >= 1 THEN 1 ELSE 0 END AS points FROM sm)
+    SELECT CAST(changed AS BIGINT) AS changed, direct, indirect, distance, tests, CAST(points AS BIGINT) AS points, CASE WHEN points >= 5 THEN 'HIGH' WHEN points >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS level, (direct + indirect) || ' dependents of the changed files; reach of ' || distance || ' of 2 hops; ' || tests || ' tests' AS reasons FROM pt""")
+def change_score(g: Graph) -> DataFrame:
+    """I14, I16"""
+    return impact.change_score(g, ids(g, *_CHANGED), 2)
+
+
+@query(_impact(["dir:7"], 2).replace(MEMBERS, _BELOW) + " SELECT * FROM imp")
+def impact_directory(g: Graph) -> DataFrame:
+    """I1 for a container"""
+    return impact.impact(g, ids(g, "dir:7"), 2)
+
+
 # intelligence
 
 
@@ -511,6 +664,24 @@ def composition(g: Graph) -> DataFrame:
     return intel.composition(g)
 
 
+_SMELLS = """gm AS (SELECT i.class, i.fan_in * o.fan_out AS score FROM (SELECT class, count(*) AS fan_in FROM ({0}) x GROUP BY class) i JOIN (SELECT class, count(*) AS fan_out FROM ({1}) y GROUP BY class) o ON o.class = i.class),
+    fm AS (SELECT i.class, c.commits * i.callers AS score FROM (SELECT class, count(*) AS callers FROM ({0}) x GROUP BY class) i JOIN e_contains f ON f.dst = i.class JOIN (SELECT dst, count(DISTINCT src) AS commits FROM e_modifies GROUP BY dst) c ON c.dst = f.src)"""
+
+
+@query(_cycles("imports").replace("SELECT signature, min(members)", ", cy AS (SELECT signature, min(members)").replace("GROUP BY signature", "GROUP BY signature), ") + _SMELLS.format(_owners_of("dst", "src"), _owners_of("src", "dst")) + """
+    SELECT * FROM (SELECT 'cycle' AS kind, signature AS subject, length AS size FROM cy ORDER BY length, signature LIMIT 12) a UNION ALL SELECT * FROM (SELECT 'god_module', class, score FROM gm ORDER BY score DESC, class LIMIT 12) b
+    UNION ALL SELECT * FROM (SELECT 'fragile', class, score FROM fm ORDER BY score DESC, class LIMIT 12) c""")
+def smells(g: Graph) -> DataFrame:
+    """A17"""
+    return intel.smells(g)
+
+
+@query("SELECT (SELECT count(*) FROM n_repository) AS repositories, (SELECT count(*) FROM n_file) AS files, (SELECT count(*) FROM n_commit) AS commits, (SELECT count(*) FROM n_pullrequest) AS pulls, (SELECT count(*) FROM n_issue) AS issues, (SELECT count(*) FROM n_developer) AS developers")
+def workspace_counts(g: Graph) -> DataFrame:
+    """A31"""
+    return intel.workspace(g)
+
+
 # ownership
 
 _SIGNALS = f"""SELECT file, dev, ts, date_diff('day', CAST(ts AS DATE), DATE '2001-08-02') AS days FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts DESC, commit) AS n FROM (SELECT DISTINCT file, dev, ts, commit FROM ({CHANGES}) c WHERE dev IS NOT NULL) y) x WHERE n <= 100"""
@@ -537,8 +708,8 @@ def ownership_overview(g: Graph) -> DataFrame:
     return ownership.overview(g, AS_OF)
 
 
-@query(f"""SELECT dev, count(DISTINCT commit) AS commits, count(DISTINCT file) AS files, array_to_string(list_sort(list(DISTINCT area))[1:5], ',') AS areas FROM
-    (SELECT c.dev, c.commit, c.file, array_to_string(string_split(n.path, '/')[1:2], '/') AS area FROM ({CHANGES}) c JOIN n_file n ON n.id = c.file WHERE dev IS NOT NULL) x GROUP BY dev""")
+@query(f"""SELECT dev, count(DISTINCT commit) AS commits, count(DISTINCT file) AS files, array_to_string(list_sort(list(DISTINCT path))[1:10], ',') AS paths, array_to_string(list_sort(list(DISTINCT area))[1:5], ',') AS areas, CAST(0 AS BIGINT) AS reviews FROM
+    (SELECT c.dev, c.commit, c.file, n.path, array_to_string(string_split(n.path, '/')[1:2], '/') AS area FROM ({CHANGES}) c JOIN n_file n ON n.id = c.file WHERE dev IS NOT NULL) x GROUP BY dev""")
 def developer_expertise(g: Graph) -> DataFrame:
     """A23"""
     return ownership.expertise(g)
@@ -564,6 +735,13 @@ def guardrail_severity(g: Graph) -> DataFrame:
     return guardrails.severities(guardrails.violations(g, _RULES))
 
 
+@query(_VIOLATIONS + ", r AS (SELECT * FROM (VALUES ('no-up', 'ERROR', true), ('no-self', 'WARNING', true), ('off', 'ERROR', false)) x(rule, severity, enabled)) SELECT r.rule, r.severity, enabled, count(v.rule) AS violations, count(DISTINCT v.source) AS sources, CASE WHEN NOT enabled THEN 'OFF' WHEN count(v.rule) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM r LEFT JOIN v ON v.rule = r.rule GROUP BY r.rule, r.severity, enabled")
+def guardrail_dashboard(g: Graph) -> DataFrame:
+    """A30"""
+    rules = [*_RULES, guardrails.Rule("off", guardrails.Selector("src/**"), guardrails.Selector("src/**"), enabled=False)]
+    return guardrails.dashboard(rules, guardrails.violations(g, rules))
+
+
 @query(_cycles("imports", 5))
 def guardrail_cycles(g: Graph) -> DataFrame:
     """T9"""
@@ -577,12 +755,18 @@ def test_selection(g: Graph) -> DataFrame:
     return testsel.select(g, ids(g, *_CHANGED))
 
 
-@query("SELECT framework, count(*) AS tests, count(*) FILTER (WHERE id IN (SELECT src FROM e_tests)) AS resolved, CASE framework WHEN 'jest' THEN 'npx jest' WHEN 'pytest' THEN 'pytest' ELSE 'mvn test' END AS command FROM n_test GROUP BY framework")
+@query("SELECT framework, count(*) AS tests, count(*) FILTER (WHERE id IN (SELECT src FROM e_tests)) AS resolved, (SELECT count(DISTINCT c.src) FROM n_test m JOIN e_tests t ON t.src = m.id JOIN e_contains c ON c.dst = t.dst WHERE m.framework = n_test.framework) AS files, CAST(0 AS BIGINT) AS flaky, CASE framework WHEN 'jest' THEN 'npx jest' WHEN 'pytest' THEN 'pytest' ELSE 'mvn test' END AS command FROM n_test GROUP BY framework")
 def test_suite(g: Graph) -> DataFrame:
     """A29, X4"""
     return testsel.suite(g)
 
 
+@query(trails(typed("calls"), 2, "SELECT dst AS id FROM e_contains WHERE src IN ('file:7', 'file:3', 'file:5') AND dst LIKE 'fn:%'") + ", d AS (SELECT count(DISTINCT s.src) AS selected FROM t JOIN e_tests s ON s.dst = t.node), u AS (SELECT count(*) AS total FROM n_test) SELECT total, selected, round((total - selected) / total * 100, 6) AS reduction FROM d, u")
+def test_reduction(g: Graph) -> DataFrame:
+    """X4"""
+    return testsel.reduction(g, testsel.select(g, ids(g, *_CHANGED)))
+
+
 _SNAPSHOTS = "SELECT 'snap:' || o_orderkey AS id, 'repo:' || (o_custkey % 5) AS repo, 'file:' || (o_custkey % 7) AS node, o_orderkey % 4 AS depth, CASE o_orderkey % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS score, o_custkey % 3 AS direct, o_custkey % 2 AS indirect, 0 AS tests, o_orderdate AS ts FROM orders"
 
 
@@ -594,6 +778,8 @@ QUERIES["snapshot_ledger"] = lambda spark, sf_dir: ledger.compact(_snapshots(spa
 ORACLES["snapshot_ledger"] = f"SELECT repo, node, depth, score, direct, indirect, tests, min(struct_pack(t := ts, i := id)).i AS id, max(ts) AS ts FROM ({_SNAPSHOTS}) s GROUP BY repo, node, depth, score, direct, indirect, tests"
 QUERIES["snapshot_retention"] = lambda spark, sf_dir: ledger.retain(_snapshots(spark, sf_dir)).select("id", "repo", "ts")
 ORACLES["snapshot_retention"] = f"SELECT id, repo, ts FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, id) AS n FROM ({_SNAPSHOTS}) s) x WHERE n <= 50"
+QUERIES["recent_evaluations"] = lambda spark, sf_dir: guardrails.recent(_snapshots(spark, sf_dir).select("repo", "id", "ts", "score"))
+ORACLES["recent_evaluations"] = f"SELECT * FROM (SELECT repo, id, ts, score, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, id) AS place FROM ({_SNAPSHOTS}) s) x WHERE place <= 10"
 QUERIES["snapshot_trend"] = lambda spark, sf_dir: ledger.trend(_snapshots(spark, sf_dir)).select("id", F.col("value").cast("long").alias("value"), F.col("step").cast("long").alias("step"), F.col("change").cast("long").alias("change"))
 ORACLES["snapshot_trend"] = f"SELECT id, value, row_number() OVER w AS step, value - lag(value) OVER w AS change FROM (SELECT *, CAST(CASE score WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END AS BIGINT) AS value FROM ({_SNAPSHOTS}) s) x WINDOW w AS (PARTITION BY repo, node ORDER BY ts, id)"
 
@@ -604,19 +790,19 @@ __all__ = ["ORACLES", "QUERIES", "human_label", "search_label"]
 
 
 def _files(spark: SparkSession, sf_dir: str, later: bool = False) -> DataFrame:
-    """Documents as files; the later state lacks some, has others changed, and has new ones."""
+    """Documents as files; the later state lacks some and has others changed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ext = F.when(F.col("doc_id") % 3 == 0, "ts").when(F.col("doc_id") % 3 == 1, "py").otherwise("go")
     path = F.concat(F.lit("src/d"), (F.col("doc_id") % 97).cast("string"), F.lit("/f"), F.floor(F.col("doc_id") / 291).cast("string"), F.lit("."), ext)
     out = docs.select(path.alias("path"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if later:
         out = out.where("doc_id % 11 <> 0").select("path", "doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
-    else:
-        out = out.where("doc_id % 13 <> 0")
     return out.select("path", "doc_id", F.sha2("text", 256).alias("hash"))
 
 
 _PATHS = "SELECT 'src/d' || (doc_id % 97) || '/f' || CAST(floor(doc_id / 291) AS BIGINT) || '.' || CASE doc_id % 3 WHEN 0 THEN 'ts' WHEN 1 THEN 'py' ELSE 'go' END AS path, doc_id, coalesce(text, '') AS text FROM documents"
+#: The two states that the delta queries compare; the older one lacks what was added since.
+_ALL = f"WITH o AS (SELECT path, sha256(text) AS hash FROM ({_PATHS}) f)"
 _STATES = f"WITH f AS ({_PATHS}), o AS (SELECT path, sha256(text) AS hash FROM f WHERE doc_id % 13 <> 0), n AS (SELECT path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS hash FROM f WHERE doc_id % 11 <> 0)"
 
 
@@ -624,29 +810,93 @@ def _register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
     QUERIES[name], ORACLES[name] = run, sql
 
 
-_register("content_hash", lambda spark, d: _files(spark, d).select("path", "hash"), _STATES + " SELECT path, hash FROM o")
+_register("content_hash", lambda spark, d: _files(spark, d).select("path", "hash"), _ALL + " SELECT path, hash FROM o")
 _register(
     "file_delta",
-    lambda spark, d: sync.file_delta(_files(spark, d), _files(spark, d, True)),
+    lambda spark, d: sync.file_delta(_files(spark, d).where("doc_id % 13 <> 0"), _files(spark, d, True)),
     _STATES + " SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'ADDED' WHEN n.path IS NULL THEN 'REMOVED' WHEN o.hash = n.hash THEN 'UNCHANGED' ELSE 'CHANGED' END AS status FROM o FULL JOIN n ON n.path = o.path",
 )
 _register(
     "graph_delta",
-    lambda spark, d: sync.graph_delta(_files(spark, d).select(F.col("path").alias("id"), "hash"), _files(spark, d, True).select(F.col("path").alias("id"), "hash")),
+    lambda spark, d: sync.graph_delta(_files(spark, d).where("doc_id % 13 <> 0").select(F.col("path").alias("id"), "hash"), _files(spark, d, True).select(F.col("path").alias("id"), "hash")),
     _STATES + " SELECT coalesce(o.path, n.path) AS id, CASE WHEN o.path IS NULL THEN 'ADDED' WHEN n.path IS NULL THEN 'REMOVED' ELSE 'UPDATED' END AS action FROM o FULL JOIN n ON n.path = o.path WHERE o.hash IS DISTINCT FROM n.hash",
 )
+#: Groups of 30 files, of which every other one has two directories of 15: below the limit of 20 there, above it elsewhere.
+_GROUPS = "SELECT 'src/g' || CAST(floor(doc_id / 30) AS BIGINT) || CASE WHEN CAST(floor(doc_id / 30) AS BIGINT) % 2 = 0 AND doc_id % 30 >= 15 THEN '/sub' ELSE '' END || '/f' || CAST(floor(doc_id % 30 / 3) AS BIGINT) || '.' || CASE doc_id % 3 WHEN 0 THEN 'ts' WHEN 1 THEN 'py' ELSE 'go' END AS path FROM documents"
 _register(
     "shared_basename_pairs",
-    lambda spark, d: ingest.shared_names(_files(spark, d).withColumn("language", extract.language(F.col("path"))), None),
-    _STATES + ", p AS (SELECT path, regexp_extract(path, '^(.*)[.]', 1) AS base, regexp_extract(path, '[.](\\w+)$', 1) AS lang FROM o) SELECT a.path AS a, b.path AS b FROM p a JOIN p b ON a.base = b.base AND a.path < b.path AND a.lang <> b.lang",
+    lambda spark, d: ingest.shared_names(spark.sql(_GROUPS.replace("FROM documents", "FROM {documents}"), documents=spark.read.parquet(f"{d}/documents.parquet")).withColumn("language", extract.language(F.col("path")))),
+    f"WITH p AS (SELECT path, regexp_extract(path, '^(.*)/', 1) AS dir, regexp_extract(path, '^(.*)[.]', 1) AS base, regexp_extract(path, '[.](\\w+)$', 1) AS lang FROM ({_GROUPS}) g), few AS (SELECT dir FROM p GROUP BY dir HAVING count(*) <= 20 AND count(DISTINCT lang) >= 2) "
+    "SELECT a.path AS a, b.path AS b FROM p a JOIN p b ON a.base = b.base AND a.path < b.path AND a.lang <> b.lang WHERE a.dir IN (SELECT dir FROM few)",
 )
+#: One document as a file of each category by turns.
+_ENDINGS = ["a.ts", "a.spec.ts", "a.png", "a.md", "a.adoc", "a.json", "a.ini", "Dockerfile", "a.bin", "a.xyz", "a.test.md", "a.lock", "A.PYI", "a.min.js", "noending"]
+_KINDS = ["SOURCE", "TEST", "BINARY", "SOURCE", "DOCUMENTATION", "SOURCE", "CONFIG", "CONFIG", "BINARY", "UNKNOWN", "TEST", "BINARY", "SOURCE", "SOURCE", "UNKNOWN"]
+_SPOKEN = ["TypeScript", "TypeScript", "Unknown", "Unknown", "Unknown", "Unknown", "Unknown", "Unknown", "Unknown", "Unknown", "Unknown", "Unknown", "Python", "JavaScript", "Unknown"]
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, _ENDINGS))
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("src/"), F.element_at(names, (F.col("doc_id") % len(_ENDINGS) + 1).cast("int"))).alias("path"))
+
+
 _register(
     "file_categories",
-    lambda spark, d: _files(spark, d).groupBy(extract.category(F.col("path")).alias("category"), extract.language(F.col("path")).alias("language")).agg(F.count("*").alias("n")),
-    _STATES + " SELECT 'SOURCE' AS category, CASE regexp_extract(path, '[.](\\w+)$', 1) WHEN 'ts' THEN 'TypeScript' WHEN 'py' THEN 'Python' ELSE 'Go' END AS language, count(*) AS n FROM o GROUP BY 2",
+    lambda spark, d: _named(spark, d).groupBy(extract.category(F.col("path")).alias("category"), extract.language(F.col("path")).alias("language")).agg(F.count("*").alias("n")),
+    f"SELECT ({_KINDS})[doc_id % {len(_KINDS)} + 1] AS category, ({_SPOKEN})[doc_id % {len(_KINDS)} + 1] AS language, count(*) AS n FROM documents GROUP BY 1, 2",
+)
+_register(
+    "code_files",
+    lambda spark, d: _named(spark, d).where(intel.code_only(F.col("path"))).groupBy("path").agg(F.count("*").alias("n")),
+    f"SELECT 'src/' || ({_ENDINGS})[doc_id % {len(_KINDS)} + 1] AS path, count(*) AS n FROM documents WHERE doc_id % {len(_KINDS)} NOT IN (1, 2, 3, 7, 10, 11) GROUP BY 1",
 )
 _register(
     "directory_chain",
     lambda spark, d: ingest.directories(_files(spark, d))[1],
-    _STATES + " SELECT DISTINCT 'repo:root' AS src, 'CONTAINS' AS type, 'dir:src' AS dst FROM o UNION ALL SELECT DISTINCT 'dir:src', 'CONTAINS', 'dir:' || regexp_extract(path, '^(.*)/', 1) FROM o UNION ALL SELECT 'dir:' || regexp_extract(path, '^(.*)/', 1), 'CONTAINS', 'file:' || path FROM o",
+    _ALL + " SELECT DISTINCT 'repo:root' AS src, 'CONTAINS' AS type, 'dir:src' AS dst FROM o UNION ALL SELECT DISTINCT 'dir:src', 'CONTAINS', 'dir:' || regexp_extract(path, '^(.*)/', 1) FROM o UNION ALL SELECT 'dir:' || regexp_extract(path, '^(.*)/', 1), 'CONTAINS', 'file:' || path FROM o",
+)
+
+# sources written from the graph, and the graph read from them again
+
+_AT = "'src/d' || ({0} % 7) || '/f' || {0} || '.ts'"
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TypeScript files: one for each supplier, with a function for each of its parts, its first class, and its imports. Calls
+    and parents beyond a file go by the imported module's name, whether it is imported or not."""
+    g = load(spark, sf_dir)
+    number = lambda c: F.element_at(F.split(c, ":"), 2).cast("long")
+    path = lambda k: F.concat(F.lit("src/d"), (k % 7).cast("string"), F.lit("/f"), k.cast("string"), F.lit(".ts"))
+    files = g.n("File").select(number(F.col("id")).alias("f"))
+    holds = g.e("CONTAINS", src="File", dst="Function").select(number(F.col("src")).alias("f"), number(F.col("dst")).alias("p"))
+    imported = g.e("IMPORTS").select(number(F.col("src")).alias("f"), number(F.col("dst")).alias("to"))
+    lines = imported.select("f", F.lit(0).alias("part"), F.format_string("import * as m%d from '../d%d/f%d'; // calls()", "to", F.col("to") % 7, "to").alias("text"))
+    classes = g.n("Class").where(F.col("id").endswith(":1")).select(number(F.col("id")).alias("f"))
+    parents = g.e("EXTENDS").select(number(F.col("src")).alias("f"), number(F.col("dst")).alias("b")).groupBy("f").agg(F.min("b").alias("b"))
+    lines = lines.unionAll(classes.join(parents, "f", "left").select("f", F.lit(1), F.when(F.col("b").isNull(), F.format_string("export class A%d {\n  run() { if (this.x) { return 'm(1)'; } }\n}", "f")).otherwise(F.format_string("export class A%d extends m%d.A%d {\n}", "f", "b", "b"))))
+    ends = holds.select(F.col("f").alias("to"), F.col("p").alias("callee"))
+    calls = g.e("CALLS").select(number(F.col("src")).alias("p"), number(F.col("dst")).alias("callee")).distinct().join(ends, "callee").join(holds, "p")
+    said = F.when(F.col("f") == F.col("to"), F.format_string("  p%d({ a: 1 });", "callee")).otherwise(F.format_string("  m%d.p%d();", "to", "callee"))
+    bodies = calls.select("p", said.alias("s")).groupBy("p").agg(F.array_join(F.sort_array(F.collect_list("s")), "\n").alias("body"))  # a part is called from few
+    lines = lines.unionAll(holds.join(bodies, "p", "left").select("f", F.lit(2), F.format_string("export function p%d(a = '}') {\n%s\n}", "p", F.coalesce("body", F.lit("")))))
+    texts = lines.groupBy("f").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    return files.join(texts, "f", "left").select(path(F.col("f")).alias("path"), F.lit("TypeScript").alias("language"), F.coalesce("content", F.lit("")).alias("content"))
+
+
+_KNOWN = f"""f AS (SELECT CAST(split_part(id, ':', 2) AS BIGINT) AS k FROM n_file), h AS (SELECT CAST(split_part(src, ':', 2) AS BIGINT) AS f, CAST(split_part(dst, ':', 2) AS BIGINT) AS p FROM e_contains WHERE dst LIKE 'fn:%' AND src IN (SELECT id FROM n_file)),
+    i AS (SELECT DISTINCT CAST(split_part(src, ':', 2) AS BIGINT) AS a, CAST(split_part(dst, ':', 2) AS BIGINT) AS b FROM e_imports WHERE src IN (SELECT id FROM n_file) AND dst IN (SELECT id FROM n_file)),
+    x AS (SELECT CAST(split_part(src, ':', 2) AS BIGINT) AS a, min(CAST(split_part(dst, ':', 2) AS BIGINT)) AS b FROM e_extends GROUP BY 1),
+    c AS (SELECT DISTINCT CAST(split_part(src, ':', 2) AS BIGINT) AS a, CAST(split_part(dst, ':', 2) AS BIGINT) AS b FROM e_calls)"""
+_register(
+    "extracted_edges",
+    lambda spark, d: ingest.assemble(_sources(spark, d))[1].where("type IN ('IMPORTS', 'CALLS', 'EXTENDS')"),
+    duckdb(f"""WITH {_KNOWN} SELECT 'file:' || {_AT.format('a')} AS src, 'IMPORTS' AS type, 'file:' || {_AT.format('b')} AS dst FROM i
+    UNION ALL SELECT DISTINCT 'fn:' || {_AT.format('s.f')} || ':p' || c.a, 'CALLS', 'fn:' || {_AT.format('t.f')} || ':p' || c.b FROM c JOIN h s ON s.p = c.a JOIN h t ON t.p = c.b LEFT JOIN i ON i.a = s.f AND i.b = t.f WHERE s.f = t.f OR i.a IS NOT NULL
+    UNION ALL SELECT 'fn:' || {_AT.format('x.a')} || ':A' || x.a, 'EXTENDS', 'fn:' || {_AT.format('x.b')} || ':A' || x.b FROM x JOIN i ON i.a = x.a AND i.b = x.b"""),
+)
+_register(
+    "extracted_labels",
+    lambda spark, d: ingest.assemble(_sources(spark, d))[0].groupBy("label").agg(F.count("*").alias("n")),
+    duckdb(f"""WITH {_KNOWN} SELECT 'Repository' AS label, 1 AS n UNION ALL SELECT 'Directory', 1 + count(DISTINCT k % 7) FROM f UNION ALL SELECT 'File', count(*) FROM f
+    UNION ALL SELECT 'Class', count(*) FROM n_class WHERE id LIKE '%:1' UNION ALL SELECT 'Function', (SELECT count(DISTINCT (f, p)) FROM h) + (SELECT count(*) FROM n_class WHERE id LIKE '%:1' AND CAST(split_part(id, ':', 2) AS BIGINT) NOT IN (SELECT a FROM x))"""),
 )

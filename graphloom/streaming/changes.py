@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,11 +19,18 @@ def read(spark: SparkSession, path: str, most_files: int = 100) -> DataFrame:
 
 
 def follow(events: DataFrame, store: sync.Store, checkpoint: str) -> StreamingQuery:
-    """Starts a query that makes version epoch + 1 of each batch. A batch that is repeated writes the same version again,
-    as it always starts from version epoch."""
+    """Starts a query that makes a version of each batch from the newest one. A version knows the checkpoint and the batch that
+    it was made of, so that a batch that is repeated is made again from the version before; a new checkpoint goes on from
+    whatever is the newest."""
+    mark = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def one(batch: DataFrame, epoch: int) -> None:
-        nodes, edges = store.read(epoch)
+        version = store.version()
+        if version is None:
+            raise ValueError("a version must be stored before changes are followed")
+        if store.made_by(version) != f"{mark}-{epoch}":
+            version += 1
+        nodes, edges = store.read(version - 1)
         last = batch.groupBy("id").agg(F.max_by(F.struct("label", "name", "path", "action", "at"), "at").alias("e")).select("id", "e.*")
         gone = last.where("action = 'REMOVED'").select("id")
         held = edges.where("type = 'MODIFIES'").select(F.col("dst").alias("id"))
@@ -29,6 +38,6 @@ def follow(events: DataFrame, store: sync.Store, checkpoint: str) -> StreamingQu
         kept = sync.upsert(kept, last.where("action <> 'REMOVED'").drop("action"), ["id"])
         ids = kept.select("id")
         edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        store.promote(kept, edges.select("src", "type", "dst"), epoch + 1)
+        store.promote(kept, edges.select("src", "type", "dst"), version, f"{mark}-{epoch}")
 
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

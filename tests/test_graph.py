@@ -168,8 +168,8 @@ def test_guardrail_depth_is_honoured(spark):
 
 def test_non_code_and_paths(spark):
     df = spark.createDataFrame([("a/test/x.ts",), ("package.json",), ("README.md",), ("src/a.ts",), (" a/src/x.ts ",), ("https://h/o/r/blob/main/src/x.ts",), ("/src/x.ts",), ("fn:x",)], "p string")
-    got = df.select(intel.code_only(F.col("p")).alias("c"), intel.normal_path(F.col("p")).alias("n")).collect()
-    assert [r["c"] for r in got[:4]] == [False, False, False, True]
+    got = df.select(intel.code_only(F.col("p")).alias("c"), deps.normal_path(F.col("p")).alias("n")).collect()
+    assert [r["c"] for r in got[:4]] == [True, False, False, True]
     assert [r["n"] for r in got[4:]] == ["file:src/x.ts"] * 3 + ["fn:x"]
 
 
@@ -219,7 +219,7 @@ def test_deltas_and_versions(spark, tmp_path):
     store.promote(n, e, 0)
     store.promote(old, before, 1)
     assert store.version() == 1 and store.read(0)[0].count() == 3
-    left, kept = sync.remove_files(old, before, spark.createDataFrame([("a",)], "path string"))
+    left, kept, _ = sync.remove_files(old, before, spark.createDataFrame([("a",)], "path string"))
     assert left.count() == 2 and kept.count() == 0
 
 

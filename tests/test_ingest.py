@@ -35,7 +35,7 @@ def test_repository(spark, tmp_path):
     files = repository.files(spark, str(tmp_path)).cache()
     rows = {r["path"]: r for r in files.collect()}
     assert set(rows) == set(FILES) - {"node_modules/x.ts", "empty.ts"}
-    assert rows["src/pay.spec.ts"]["category"] == "TEST" and rows["README.md"]["category"] == "DOCUMENTATION" and rows["lib/c.cs"]["language"] == "C#"
+    assert rows["src/pay.spec.ts"]["category"] == "TEST" and rows["README.md"]["category"] == "SOURCE" and rows["lib/c.cs"]["language"] == "C#"
 
     symbols = extract.symbols(files).cache()
     found = {(r["path"], r["kind"], r["name"]): r["line"] for r in symbols.collect()}

@@ -4,6 +4,10 @@ import math
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from graphloom.functions import extract
+from graphloom.operators import ingest
 from graphloom.queries import ORACLES, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
@@ -37,12 +41,15 @@ def test_query(spark, sf_dir, con, name):
 
 
 def test_shared_basenames_of_a_full_directory(spark, tmp_path):
-    """All documents in one directory of more than 10,000 files."""
-    spark.range(11_000).selectExpr("97 * id AS doc_id", "'x' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    """Directories of up to 20 files are paired, fuller ones are not, at any number of files; without a limit all are."""
+    spark.range(3000).selectExpr("id AS doc_id", "'x' AS text").write.parquet(f"{tmp_path}/documents.parquet")
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted(map(tuple, QUERIES["shared_basename_pairs"](spark, str(tmp_path)).select("a", "b").collect()))
-    assert got and got == sorted(c.execute(ORACLES["shared_basename_pairs"]).fetchall())
+    assert len(got) == 50 * 30 and got == sorted(c.execute(ORACLES["shared_basename_pairs"]).fetchall())
+    files = spark.range(300).selectExpr("concat('d/f', cast(floor(id / 3) AS bigint), '.', element_at(array('ts', 'py', 'go'), cast(id % 3 + 1 AS int))) AS path")
+    files = files.withColumn("language", extract.language(F.col("path")))
+    assert ingest.shared_names(files).count() == 0 and ingest.shared_names(files, None).count() == 300
 
 
 def test_entry(spark):
