@@ -26,22 +26,38 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Base phrases, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Label, words of the template, its mandatory phrases.
+#: Label, words of the template (a licence's published header, grant or notice), its mandatory phrases.
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["permission is hereby granted free of charge", "this software and associated documentation files"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ["permission is hereby granted free of charge"]),
     ("mit", "licensed under the mit license", ["mit license"]),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ["apache license version 2", "compliance with the license"]),
     ("apache-2", "licensed under the apache license version 2 0", ["apache license version 2"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0 international"]),
+    ("cc-by", "licensed under cc by 4 0", ["cc by 4 0"]),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial 4 0"]),
+    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", ["cc by nc sa"]),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", ["cc by nc nd"]),
+    ("cc-by-nd", "licensed under cc by nd 4 0", ["cc by nd"]),
     ("cc0", "released under the creative commons cc0 1 0 universal public domain dedication", ["cc0 1 0 universal"]),
-    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ["gnu general public license", "version 3 of the license"]),
-    ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ["gnu general public license", "version 2 of the license"]),
+    ("gpl-3", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license", "version 3 of the license"]),
+    ("gpl-2", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license", "version 2 of the license"]),
     ("gpl-3", "licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
     ("gpl-2", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "provided that the following conditions are met"]),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("lgpl-3", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license", ["gnu lesser general public license", "version 3 of the license"]),
+    ("lgpl-2.1", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license", ["gnu lesser general public license", "version 2 1 of the license"]),
+    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ["gnu affero general public license", "version 3 of the license"]),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistribution and use in source and binary forms", "provided that the following conditions are met"]),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["mozilla public license v 2 0"]),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license 2 0"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["with or without fee is hereby granted"]),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["to any person or organization obtaining a copy"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["without any express or implied warranty", "in no event will the authors be held liable"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ["free and unencumbered software"]),
+    ("wtfpl", "do what the fuck you want to public license", ["do what the fuck you want to"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
 ]
 
@@ -108,7 +124,7 @@ def scan(df: DataFrame, text: str = "text", into: str = "licence", rare: list[st
     if spots:
         postings = F.create_map(*(x for word, found in spots.items() for x in (F.lit(word), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in found)))))
         here = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains("__rare", x), F.struct(x.alias("w"), i.alias("i")))), lambda s: s.isNotNull())
-        step = step.withColumn("__here", F.when(F.size("__rare") > 1, here))
+        step = step.withColumn("__here", F.when(F.size("__rare") > 0, here))
         hits = F.flatten(F.transform("__here", lambda s: F.transform(F.element_at(postings, s["w"]), lambda q: F.struct(q["t"].alias("t"), (s["i"] - q["k"]).alias("o")))))
         step = step.withColumn("__sorted", F.array_sort(hits))
         same = lambda x, j: F.coalesce(F.get("__sorted", j) == x, F.lit(False))
