@@ -9,17 +9,17 @@ Digests are ``sha1:`` and base 32 of the block or, for payloads, of the HTTP bod
 
 Defined results: a response without an HTTP body has an empty text; a null page is an empty body, a null URL an empty
 target; other kinds of records pass derive() unheeded; a record cut off by the end of the file is given with the bytes
-that are there, and flagged; repeated responses each give their two records; no responses give no records.
+that are there, and flagged; repeated responses each give their two records; no responses give no records; other columns
+of any name are not looked at, but for those that derive() is asked to keep; a block of any length is read whole.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -29,6 +29,9 @@ from pyspark.sql import types as T
 
 from .html_blocks import blocks, links, title
 
+#: Bytes of a file that are inflated at once.
+PIECE = 1 << 20
+_BLANK_LINE = re.compile(rb"\r?\n\r?\n")
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:graphloom:warc")
 HEADERS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
 RECORD = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("warc_type", T.StringType()), T.StructField("headers", HEADERS), T.StructField("block", T.BinaryType()), T.StructField("cut_off", T.BooleanType())])
@@ -58,24 +61,49 @@ def name_of(*parts: object) -> str:
 # files
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a file, whole or gzipped (one member or many)."""
-    if data[:2] == b"\x1f\x8b":
+def inflated(data: bytes, most: int = PIECE) -> Iterator[bytes]:
+    """A file's bytes in pieces, gzip members (one or many, the last perhaps cut off) inflated as they are asked for."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[k : k + most] for k in range(0, len(data), most))
+        return
+    rest = memoryview(data)
+    while rest[:2] == b"\x1f\x8b":
+        member, k = zlib.decompressobj(31), 0
         try:
-            data = gzip.decompress(data)
-        except EOFError:
-            reader = gzip.GzipFile(fileobj=io.BytesIO(data))
-            parts = []
-            try:
-                while part := reader.read1(1 << 16):
-                    parts.append(part)
-            except EOFError:
-                pass
-            data = b"".join(parts)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        stop = re.compile(rb"\r?\n\r?\n").search(data, at)
-        head = data[at : stop.start() if stop else len(data)]
+            while not member.eof and (k < len(rest) or member.unconsumed_tail):
+                fresh = b"" if member.unconsumed_tail else bytes(rest[k : k + most])
+                k += len(fresh)
+                yield member.decompress(member.unconsumed_tail + fresh, most)
+            yield member.flush()
+        except zlib.error:  # a damaged member: what could be read stays, and nothing after it
+            return
+        rest = rest[k - len(member.unused_data) :]
+
+
+def parse(data: bytes | Iterable[bytes]) -> Iterator[dict]:
+    """The records of a file, whole or gzipped, or of its inflated pieces. One record is held at a time, and a piece."""
+    pieces = iter(inflated(data) if isinstance(data, bytes) else data)
+    held, ended = bytearray(), False
+
+    def more() -> bool:
+        nonlocal ended
+        piece = None if ended else next(pieces, None)
+        ended = piece is None
+        held.extend(piece or b"")
+        return not ended
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[: max(0, len(held) - 4)]
+            if not more():
+                return
+        del held[:at]
+        looked = 0
+        while not (stop := _BLANK_LINE.search(held, looked)):
+            looked = max(0, len(held) - 4)
+            if not more():
+                break
+        head = bytes(held[: stop.start() if stop else len(held)])
         headers: list[dict] = []
         for line in re.split(rb"\r?\n", head)[1:]:
             if line[:1] in b" \t" and headers:
@@ -84,10 +112,12 @@ def parse(data: bytes) -> Iterator[dict]:
                 key, _, value = line.partition(b":")
                 headers.append({"name": key.strip().decode("utf-8", "replace"), "value": value.strip().decode("utf-8", "replace")})
         length = value_of(headers, "Content-Length") or "0"
-        size, begin = int(length) if length.isdigit() else 0, stop.end() if stop else len(data)
-        block = data[begin : begin + size]
+        size, begin = int(length) if length.isdigit() else 0, stop.end() if stop else len(held)
+        while len(held) < begin + size and more():
+            pass
+        block = bytes(held[begin : begin + size])
         yield {"record_id": value_of(headers, "WARC-Record-ID"), "warc_type": value_of(headers, "WARC-Type"), "headers": headers, "block": block, "cut_off": not stop or len(block) < size}
-        at = begin + size
+        del held[: begin + size]
 
 
 def value_of(headers: Iterable[dict], name: str) -> str | None:
@@ -101,7 +131,8 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under a path; a file is one row of Spark's reader and so at most 2 GB."""
+    """The records of all WARC files under a path. A file is one row of Spark's reader, and so at most 2 GB as it is stored;
+    its gzip members are inflated one after another, never as a whole."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +140,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for content in batch.column(0):
+                held, size = [], 0
                 for one in parse(content.as_py()):
-                    yield pa.RecordBatch.from_pylist([one], schema=to_arrow_schema(RECORD))
+                    held.append(one)
+                    size += len(one["block"])
+                    if size > PIECE or len(held) >= 1000:
+                        yield pa.RecordBatch.from_pylist(held, schema=to_arrow_schema(RECORD))
+                        held, size = [], 0
+                yield pa.RecordBatch.from_pylist(held, schema=to_arrow_schema(RECORD))
 
     return files.mapInArrow(run, RECORD)
 
