@@ -2,12 +2,14 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("graphloom.llm")
 
@@ -198,14 +200,15 @@ def test_decontamination(spark, docs, empty):
 def test_decontamination_by_blocks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(k, " ".join(texts()[12 + k].split()[:15])) for k in range(0, 9, 3)], "item_id long, text string")
     whole = Counter(map(tuple, decontaminate.report(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
+    monkeypatch.setattr(decontaminate, "NODES", 2 * 13 * 20)
+    assert len(list(decontaminate._blocks(bench, "item_id", "text", 13))) == 3
     assert Counter(map(tuple, decontaminate.report(docs, bench).collect())) == whole
 
 
 def test_spans_map_to_the_original():
-    machine = decontaminate._automaton("k", ((1, "big Cat"),), 13)
+    machine = decontaminate.Machine([(1, "big Cat")])
     text = "Ünï a BIG,  cat. é big cat"
-    _, spans, _ = decontaminate.scan(text, machine)
+    _, spans, _ = machine.scan(text)
     assert [text[a:b] for a, b in decontaminate.char_spans(text, spans)] == ["BIG,  cat", "big cat"]
 
 
@@ -395,7 +398,7 @@ def test_html_blocks_of_an_article():
     page = PAGE % """<article><h1>A &amp;
      B</h1><p><b>One<br>two&nbsp;three<p>Four <i>five</i></p><script>var a="</p>";</script><div class="share">Share</div><form>Mail</form>
      <!-- <p>no</p> --><ul><li>x<li>y</ul><section id="comments"><p>First!</p></section></article><aside>Other</aside>"""
-    assert page_text.difference(page_text.read(page), None)["text"].split("\n") == ["A & B", "One two three", "Four five", "x", "y"]
+    assert page_text.difference(page_text.read(page), [])["text"].split("\n") == ["A & B", "One two three", "Four five", "x", "y"]
     assert page_text.read(None)["texts"] == page_text.read("")["texts"] == []
     assert html_blocks.blocks("plain <b>text")[0].text == "plain text"
 
@@ -428,17 +431,85 @@ def test_differencing_deletes_the_template(spark):
 
 def test_differencing_passes_over_copies(spark):
     """A near copy, or an exact one, at the next URL is no partner: the template goes by the other neighbour, the text stays.
-    In marked articles, lines of the next page's article go as well, but not those of a copy."""
+    In marked articles boxes that the next page's article has too go as well, but prose stays, and so does what a copy shares."""
     template = "<body><div>Site name</div>%s<div>All about us</div>"
     text = lambda k: f"text {k} of some length, which is a sentence. " * 3
     plain = lambda k, day: template % f"<p>{text(k)}</p><p>{day}</p>"
-    article = lambda k, day: template % f"<article><p>Read more here</p><p>{text(k)}</p><p>{day}</p></article>"
+    article = lambda k, day: template % f"<article><div>Read more here</div><p>{text(k)}</p><p>A paragraph of every page.</p><p>{day}</p></article>"
     rows = []
     for host, page in (("p", plain), ("q", article)):
         rows += [(len(rows) + n, f"http://{host}.org/{n}", page(k, day)) for n, (k, day) in enumerate([(1, "Monday"), (2, "Tuesday"), (2, "Friday"), (3, "Sunday"), (4, "May"), (4, "May"), (5, "June")])]
     got = {r["page_id"]: r["text"] for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     want = [f"{text(k).strip()}\n{day}" for k, day in [(1, "Monday"), (2, "Tuesday"), (2, "Friday"), (3, "Sunday"), (4, "May"), (4, "May"), (5, "June")]]
-    assert [got[k] for k in range(14)] == want * 2
+    assert [got[k] for k in range(7)] == want
+    assert [got[k] for k in range(7, 14)] == [x.replace("\n", "\nA paragraph of every page.\n") for x in want]
+
+
+def page_brute(rows):
+    """The texts of pages (id, url, html), by their order in one list."""
+    parts = lambda u: re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "") or ("", "", "")
+    raw = lambda x: (x is not None, (x or "").encode())
+    keyed = sorted(rows, key=lambda r: (parts(r[1])[1].lower().encode(), parts(r[1])[2].encode(), raw(r[1]), (r[0] is not None, r[0] or 0)))
+    sides = [{"host": parts(u)[1].lower(), "path": parts(u)[2], **page_text.read(h)} for _, u, h in keyed]
+    out = Counter()
+    for k, (i, _, h) in enumerate(keyed):
+        near = sides[max(0, k - 1) : k] + sides[k + 1 : k + 2]
+        near = [s for s in near if s["host"] == sides[k]["host"]]
+        near.sort(key=lambda s: -len(os.path.commonprefix([s["path"], sides[k]["path"]])))
+        a, text = sides[k]["lines"], None
+        total = sum(map(len, sides[k]["texts"]))
+        gone = set()
+        for s in near:
+            b = s["lines"]
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    table[x + 1][y + 1] = table[x][y] + 1 if a[x] == b[y] else max(table[x][y + 1], table[x + 1][y])
+            x, y, common = len(a), len(b), set()
+            while x and y:
+                if a[x - 1] == b[y - 1]:
+                    x, y = x - 1, y - 1
+                    common.add(x)
+                elif table[x - 1][y] >= table[x][y - 1]:
+                    x -= 1
+                else:
+                    y -= 1
+            if sum(len(t) for p, t in zip(sides[k]["at"], sides[k]["texts"], strict=True) if p in common) <= 0.8 * total:
+                gone = common
+                break
+        text = "\n".join(t for p, t, prose in zip(sides[k]["at"], sides[k]["texts"], sides[k]["prose"], strict=True) if prose or p not in gone)
+        out[i, text, len(text)] += 1
+    return out
+
+
+def test_page_texts_against_brute_force(spark):
+    """Pages of few hosts over many tasks: with and without articles, copies, unique and repeated lines (each line once in a
+    page, so that the alignment is the only one)."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(160):
+        host, lines = rng.randrange(4), rng.sample([f"line {x} of the pool" for x in range(12)], rng.randint(0, 6))
+        body = "".join(f"<{t}>{x}</{t}>" for x in ["Top of the site", *sorted(lines), f"only here {k}", "End of the site"] for t in [rng.choice(["p", "div"])])
+        page = rng.choice(["<body><nav>Menu</nav>%s</body>", "<body><nav>Menu</nav><article>%s</article><footer>All about</footer></body>"]) % body
+        rows.append((k, f"http://h{host}.org/{rng.randrange(9)}/{k % 13}", page))
+        if rng.random() < 0.2:
+            rows.append((k + 1000, rows[-1][1], page))
+    rows += [(None, None, None), (5000, "no url", "<p>x</p>"), (5001, "", ""), rows[3]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash"))
+    got = Counter((r["page_id"], r["text"], r["n_chars"]) for r in page_text.extract(df.repartition(7)).collect())
+    assert got == page_brute(rows)
+
+
+def test_long_pages(spark):
+    """Deep nesting, stray end tags, and very many lines, of which the next page shares most."""
+    deep = "<article>" + "<div>" * 20_000 + "core" + "</div>" * 20_000 + "</b>" * 20_000 + "</article>"
+    many = ["<body>", *(f"<div>line {k}</div>" for k in range(20_000)), "<p>%s</p>" * 2_000, "</body>"]
+    page = lambda k: "".join(many) % tuple(f"text {k} {j}" for j in range(2_000))
+    rows = [(0, "http://a.org/0", deep), (1, "http://b.org/1", page(1)), (2, "http://b.org/2", page(2))]
+    got = {r["page_id"]: r["text"] for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "core"
+    assert got[1].count("\n") == 21_999 and got[1].startswith("line 0\n")  # over 80 % is shared: a copy
+    assert page_text.difference(page_text.read(page(1)), [page_text.read("".join(f"<div>line {k}</div>" for k in range(9_000)))])["n_shared"] == 9_000
 
 
 def test_warc_round_trip(spark, tmp_path):
