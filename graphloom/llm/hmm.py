@@ -8,13 +8,15 @@ expected counts, which are then added across partitions. A word of a shared symb
 (c + 0.1) / (C + 0.1 * (V + 1)) within it (c: the word's training count, C and V: the symbol's tokens and distinct words).
 The scaled forward recursion gives the exact log likelihood of a text, all its tokens included.
 
+A text is cut into words once for training and scores, and a text of more than CELLS tokens is trained on piece by piece.
 Counts of words are corpus-wide tables; only the KNOWN most frequent words and sums by symbol are broadcast, both of
 bounded size. The words of a text that are not among them meet their counts in a join, summed for each text before.
 
 Training texts are those whose crc32 of the id's decimal digits is not divisible by FOLDS.
 
 Defined results: a null or empty text is the end alone; a null id counts as the empty string in the fold; without
-training texts all counts are 0; repeated rows each give a row (and each count in training); an empty table gives none.
+training texts all counts are 0; repeated rows each give a row (and each count in training); an empty table gives none;
+other columns of any name are not looked at; a very long text is scored whole.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ROWS, written
 from .words import partial_counts, top, words_of
 
-STATES, SYMBOLS, LENGTHS, ROUNDS, KNOWN, FOLDS = 4, 8192, 24, 3, 131_072, 10
+STATES, SYMBOLS, LENGTHS, ROUNDS, KNOWN, FOLDS = 12, 8192, 24, 3, 131_072, 10
 SMOOTH = 0.1
 #: Cells (texts times steps) of one array of the recursions.
 CELLS = 1 << 20
@@ -79,11 +82,12 @@ class Model:
 
     @classmethod
     def fresh(cls, totals: np.ndarray, states: int = STATES, seed: int = 7) -> Model:
-        """The unigram distribution of the symbols' training counts times noise that tells states apart; states that stay."""
+        """The unigram distribution of the symbols' training counts times noise that tells states apart; states that stay long,
+        so that the first rounds find what whole texts have in common."""
         rng = np.random.default_rng(seed)
         base = (totals + SMOOTH) / (totals + SMOOTH).sum()
-        emissions = base * rng.lognormal(0.0, 0.5, (states, len(totals)))
-        moves = np.full((states, states), 0.2) + np.eye(states) * 0.8
+        emissions = base * rng.lognormal(0.0, 1.0, (states, len(totals)))
+        moves = np.full((states, states), 0.02 / states) + np.eye(states) * 0.98
         return cls(np.full(states, 1 / states), moves / moves.sum(1, keepdims=True), emissions / emissions.sum(1, keepdims=True))
 
     @classmethod
@@ -134,6 +138,10 @@ class Model:
         states, size = self.emissions.shape
         start, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros((states, size))
         for group in self._groups(texts):
+            if len(texts[group[0]]) > CELLS:
+                for total, part in zip((start, moves, emissions), self._long(texts[group[0]]), strict=True):
+                    total += part
+                continue
             _, padded, running, alphas, scales, emitted = self._forward([texts[k] for k in group], True)
             steps, width = padded.shape
             beta = np.ones((width, states))
@@ -154,6 +162,43 @@ class Model:
                 emissions[k] += np.bincount(seen, weights=alphas[:, :, k][on], minlength=size)
         return start, moves, emissions
 
+    def _long(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """expected() of one long text, a piece of CELLS steps at a time: the first pass keeps the state before each piece, the
+        second goes back piece by piece and makes the states inside anew."""
+        states, size = self.emissions.shape
+        emitted = np.ascontiguousarray(self.emissions.T)
+        moves, emissions = np.zeros((states, states)), np.zeros((states, size))
+        cuts = range(0, len(text), CELLS)
+
+        def forward(a: int, before: np.ndarray | None):
+            piece = text[a : a + CELLS]
+            alphas, scales = np.empty((len(piece), states)), np.empty(len(piece))
+            for t, x in enumerate(piece):
+                before = (self.start if before is None else before @ self.moves) * emitted[x]
+                scales[t] = before.sum()
+                before = alphas[t] = before / scales[t]
+            return alphas, scales
+
+        held: list[np.ndarray | None] = [None]
+        for a in cuts[:-1]:
+            held.append(forward(a, held[-1])[0][-1].copy())
+        beta, first = np.ones(states), np.zeros(states)
+        for a, before in zip(reversed(cuts), reversed(held), strict=True):
+            piece = text[a : a + CELLS]
+            alphas, scales = forward(a, before)
+            after = np.empty_like(alphas)
+            for t in range(len(piece) - 1, -1, -1):
+                after[t] = alphas[t] * beta
+                ahead = emitted[piece[t]] * beta / scales[t]
+                earlier = alphas[t - 1] if t else before
+                if earlier is not None:
+                    moves += self.moves * np.outer(earlier, ahead)
+                beta = self.moves @ ahead
+            for k in range(states):
+                emissions[k] += np.bincount(piece, weights=after[:, k], minlength=size)
+            first = after[0]
+        return first, moves, emissions
+
 
 def _batches(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[int, list[list[bytes]]]]:
     """A batch's words, a few megabytes of text at a time; with the first row's number."""
@@ -169,15 +214,32 @@ def _batches(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[tuple[int,
         yield at, out
 
 
-def encoded(texts: DataFrame, symbols) -> DataFrame:
-    """One column, the symbols of each text; all rounds of training read this table."""
+def encoded(docs: DataFrame, symbols, shared: np.ndarray, end_log: float) -> DataFrame:
+    """docs (id, held_out, text) without the texts, but with the symbols of each, its tokens, and those parts of its scores
+    that its known words and shared symbols make; and its words beyond the broadcast ones. Training and scores both read
+    this, so a text is cut into words once."""
+    kinds = {"n_tokens": pa.int64(), "seen": pa.int64(), "base": pa.float64(), "inner": pa.float64(), "rare": pa.list_(pa.string()), "times": pa.list_(pa.int64()), "symbols": pa.list_(pa.int16())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = symbols.value
         for batch in batches:
-            for _, lists in _batches(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([symbols.value(w) for w in lists], pa.list_(pa.int16()))], names=["symbols"])
+            for at, lists in _batches(batch):
+                made: dict[str, list] = {c: [] for c in kinds}
+                for words in lists:
+                    places = held.places(words)
+                    found = places[places >= 0]
+                    sequence = held(words, places)
+                    rest = Counter(words[k] for k in np.flatnonzero(places < 0))
+                    inner = float(held.inner[found].sum()) - float(shared[sequence[:-1][sequence[:-1] <= LENGTHS]].sum())
+                    row = (len(sequence), len(found), float(held.log[found].sum()) + end_log, inner, [w.decode("utf-8", "replace") for w in rest], list(rest.values()), sequence)
+                    for values, value in zip(made.values(), row, strict=True):
+                        values.append(value)
+                part = batch.slice(at, len(lists))
+                rest = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), *(pa.array(made[c], kind) for c, kind in kinds.items())], names=[*rest, *kinds])
 
-    return texts.select("text").mapInArrow(run, "symbols array<smallint>")
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, seen long, base double, inner double, rare array<string>, times array<long>, symbols array<smallint>"
+    return docs.select("id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def train(sequences: DataFrame, totals: np.ndarray, rounds: int = ROUNDS) -> Model:
@@ -235,39 +297,22 @@ def scores(df: DataFrame, text: str = "text", row_id: str = "doc_id", rounds: in
         shared[k] = math.log10(totals[k] + SMOOTH * (v - len(own) + 1))
 
     send = spark.sparkContext.broadcast
-    numbers = send(symbols)
-    model = send(train(written(encoded(training, numbers), "symbols") if rounds else training.limit(0), totals, rounds))
     unit, end_log = math.log10(tokens + SMOOTH * (distinct + 1)), math.log10(ends + SMOOTH)
+    parts = written(encoded(docs, send(symbols), shared, end_log), "parts")
+    model = send(train(parts.where("NOT held_out").select("symbols"), totals, rounds))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text its part of the scores and its words beyond the broadcast ones."""
-        held = numbers.value
+    def latent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, lists in _batches(batch):
-                sequences, base, inner, seen, rare, times = [], [], [], [], [], []
-                for words in lists:
-                    places = held.places(words)
-                    found = places[places >= 0]
-                    sequences.append(held(words, places))
-                    base.append(float(held.log[found].sum()) + end_log)
-                    shares = shared[sequences[-1][:-1][sequences[-1][:-1] <= LENGTHS]]
-                    inner.append(float(held.inner[found].sum()) - float(shares.sum()))
-                    seen.append(len(found))
-                    rest = Counter(words[k] for k in np.flatnonzero(places < 0))
-                    rare.append([w.decode("utf-8", "replace") for w in rest])
-                    times.append(list(rest.values()))
-                likelihood = model.value.score(sequences)
-                part = batch.slice(at, len(lists))
-                columns = [part.column(k) for k in range(part.num_columns) if part.schema.names[k] != "text"]
-                names = [n for n in part.schema.names if n != "text"]
-                made = [pa.array([len(s) for s in sequences], pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(likelihood + np.array(inner)), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns, *made], names=[*names, "n_tokens", "seen", "base", "own", "rare", "times"])
+            column = batch.column(batch.num_columns - 1)
+            flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            found = [model.value.score([flat[x:y] for x, y in itertools.pairwise(ends[at : at + ROWS + 1])]) for at in range(0, batch.num_rows, ROWS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([*found, np.empty(0)]))], names=[*batch.schema.names[:-1], "latent"])
 
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, seen long, base double, own double, rare array<string>, times array<long>"
-    parts = written(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "parts")
+    narrow = parts.select("row", "id", "held_out", "n_tokens", "seen", "base", "inner", "symbols")
+    scored = narrow.mapInArrow(latent, T.StructType([*narrow.schema.fields[:-1], T.StructField("latent", T.DoubleType())]))
     rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("n"))
     met = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"))
-    both = parts.drop("rare", "times").join(met, "row", "left")
+    both = scored.join(met, "row", "left")
     log = F.coalesce("log", F.lit(0.0))
     return both.select(
         F.col("id").alias(row_id),
@@ -276,5 +321,5 @@ def scores(df: DataFrame, text: str = "text", row_id: str = "doc_id", rounds: in
         (F.col("seen") + F.coalesce("k", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + log - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-        (F.col("own") + log).alias("score"),
+        (F.col("latent") + F.col("inner") + log).alias("score"),
     )
