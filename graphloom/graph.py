@@ -65,6 +65,13 @@ class Graph:
         some = [f() for (t, a, b), f in self._edges.items() if t in types and src in (None, a) and dst in (None, b)]
         return reduce(DataFrame.unionAll, some) if some else self.edges.limit(0)
 
+    def touching(self, label: str) -> DataFrame:
+        """The edges of those kinds that start or end at nodes of a label; other tables are not read."""
+        if ("", "", "") in self._edges:
+            return self.edges
+        some = [f() for (_, a, b), f in self._edges.items() if label in (a, b)]
+        return reduce(DataFrame.unionAll, some) if some else self.edges.limit(0)
+
     def keyed(self, *types: str) -> DataFrame:
         """Edges with their keys, as a table: a traversal joins them once for each level."""
         if types not in self._keyed:

@@ -123,7 +123,8 @@ def normal_path(path: Column) -> Column:
 
 def incident(g: Graph, node: str) -> DataFrame:
     """All relationships of a node, each once (a loop too), numbered outgoing first."""
-    touch = g.edges.where((F.col("src") == node) | (F.col("dst") == node)).dropDuplicates(["src", "type", "dst"])
+    found = g.nodes.where(F.col("id") == node).select("label").first()
+    touch = (g.touching(found[0]) if found else g.edges).where((F.col("src") == node) | (F.col("dst") == node)).dropDuplicates(["src", "type", "dst"])
     side = F.when(F.col("src") == node, F.lit("out")).otherwise(F.lit("in"))
     order = Window.orderBy(F.desc("direction"), "type", "src", "dst")
     return touch.select("src", "type", "dst", side.alias("direction")).select("*", F.row_number().over(order).cast("long").alias("n"))

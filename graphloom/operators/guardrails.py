@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from .paths import cycles, expand
+from .paths import cycles, distances
 
 MAX_RULE_DEPTH, CYCLE_DEPTH = 5, 10
 
@@ -53,8 +53,8 @@ def violations(g: Graph, rules: list[Rule], on: str = "path") -> DataFrame:
         named = g.nodes.select("id", F.col(on).alias("text"))
         starts = named.where(r.source.fits(F.col("text"))).select("id")
         ends = named.where(r.target.fits(F.col("text"))).select(F.col("id").alias("node"))
-        ways = expand(g.keyed(r.relationship), starts, min(max(r.max_depth, 1), MAX_RULE_DEPTH)).where("root <> node").join(ends, "node", "left_semi")
-        rows = ways.groupBy("root", "node").agg(F.min("hops").cast("long").alias("hops")).select(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.col("root").alias("source"), F.col("node").alias("target"), "hops")
+        ways = distances(g.e(r.relationship), starts, min(max(r.max_depth, 1), MAX_RULE_DEPTH)).where("root <> node").join(ends, "node", "left_semi")
+        rows = ways.select(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), F.col("root").alias("source"), F.col("node").alias("target"), F.col("hops").cast("long").alias("hops"))
         found = rows if found is None else found.unionByName(rows)
     return found if found is not None else g.edges.limit(0).select(F.lit("").alias("rule"), F.lit("").alias("severity"), F.col("src").alias("source"), F.col("dst").alias("target"), F.lit(0).cast("long").alias("hops"))
 

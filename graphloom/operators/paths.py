@@ -45,6 +45,23 @@ def capped(paths: DataFrame, most: int) -> DataFrame:
     return paths.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
+def distances(edges: DataFrame, roots: DataFrame, max_hops: int, direction: str = "out") -> DataFrame:
+    """(root, node, hops) of the nodes within so many hops of each root (column id), at their least distance; the root itself
+    where a way leads back to it. Each level goes on from newly reached nodes alone, so a hub costs its edges, not its trails."""
+    check("max_hops", max_hops, 1, 10)
+    a, b = {"out": ("src", "dst"), "in": ("dst", "src")}[direction]
+    steps = edges.select(F.col(a).alias("s_"), F.col(b).alias("d_")).distinct()
+    frontier, seen = roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct(), None
+    for hops in range(1, max_hops + 1):
+        new = frontier.join(steps, F.col("node") == F.col("s_")).select("root", F.col("d_").alias("node")).distinct()
+        if seen is not None:
+            new = new.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        frontier = written(new, "frontier")
+        level = frontier.withColumn("hops", F.lit(hops))
+        seen = level if seen is None else seen.unionAll(level)
+    return seen
+
+
 def nearest(paths: DataFrame) -> DataFrame:
     """(root, node, hops): reached nodes at their least distance."""
     return paths.groupBy("root", "node").agg(F.min("hops").alias("hops"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from .paths import expand, nearest
+from .paths import distances
 
 #: Points, and the levels.
 DIRECT, SAME_FILE, NEAR, FAR, HISTORY, FLAKY = 50, 40, 20, 10, 10, -10
@@ -21,7 +21,7 @@ def select(g: Graph, files: DataFrame, metrics: DataFrame | None = None) -> Data
     symbols = g.e("CONTAINS", src="File", dst="Function").join(files.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
     tests = g.e("TESTS").select(F.col("src").alias("test"), F.col("dst").alias("fn"))
     direct = tests.join(symbols.withColumnRenamed("id", "fn"), "fn", "left_semi").select("test", F.lit(0).alias("distance"))
-    reached = nearest(expand(g.keyed("CALLS"), symbols, 2)).groupBy(F.col("node").alias("fn")).agg(F.min("hops").alias("distance"))
+    reached = distances(g.e("CALLS"), symbols, 2).groupBy(F.col("node").alias("fn")).agg(F.min("hops").alias("distance"))
     found = direct.unionByName(tests.join(reached, "fn").select("test", "distance")).groupBy("test").agg(F.min("distance").cast("long").alias("distance"))
     # tests that stand in a changed file, where the graph knows their files, follow
     beside = g.e("CONTAINS", src="File", dst="Test").join(files.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("test")).distinct().withColumn("beside", F.lit(SAME_FILE))

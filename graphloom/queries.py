@@ -372,7 +372,7 @@ def traversal_in(g: Graph) -> DataFrame:
 @query(trails(typed("imports"), 4, "SELECT DISTINCT src AS id FROM e_imports") + " SELECT root, node, CAST(min(hops) AS BIGINT) AS hops FROM t WHERE hops > 0 GROUP BY root, node")
 def traversal_min_hops(g: Graph) -> DataFrame:
     """T2"""
-    out = paths.nearest(paths.expand(g.keyed("IMPORTS"), g.e("IMPORTS").select(F.col("src").alias("id")).distinct()))
+    out = paths.distances(g.e("IMPORTS"), g.e("IMPORTS").select(F.col("src").alias("id")).distinct(), 4)
     return out.withColumn("hops", F.col("hops").cast("long"))
 
 
