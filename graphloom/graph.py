@@ -1,4 +1,10 @@
-"""A labelled property graph as DataFrames."""
+"""A labelled property graph as DataFrames.
+
+Defined results, of the operators over it as well: an empty graph, and an id that no node has, give no rows (or counts of
+0); an edge with a null end joins nothing; null names and paths are no hit of a search or a rule and come last in an order;
+ties are broken by id; loaded() keeps each node and edge once, of() expects that; columns beyond those named are not looked
+at, and helper columns of an operator do not reach its result.
+"""
 
 from __future__ import annotations
 

@@ -21,6 +21,27 @@ def label_counts(g: Graph, labels: list[str]) -> DataFrame:
     return wanted.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def label_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(label, before, after, added) of two tables of counts (label, n), as of label_counts(): what an import has added, never
+    below 0; a label that one of them lacks counts 0 there."""
+    both = before.select("label", F.col("n").alias("was")).join(after.select("label", F.col("n").alias("now")), "label", "full_outer")
+    was, now = F.coalesce("was", F.lit(0)), F.coalesce("now", F.lit(0))
+    return both.select("label", was.alias("before"), now.alias("after"), F.greatest(now - was, F.lit(0)).alias("added"))
+
+
+def mapped(nodes: DataFrame, label: str) -> DataFrame:
+    """Nodes of a label as a request returns them: id and the fields of commits, pull requests, issues and tests by their
+    outer names; other labels with id, type and title. Missing texts are empty."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    fields = {
+        "Commit": [text("sha").alias("sha"), F.substring(text("sha"), 1, 7).alias("short_sha"), text("message").alias("message"), F.col("ts").alias("committed_at")],
+        "PullRequest": [text("title").alias("title"), F.regexp_extract("id", r":(\d+)$", 1).try_cast("long").alias("number"), F.col("ts").alias("created_at")],
+        "Issue": [text("title").alias("title"), F.regexp_extract("id", r":(\d+)$", 1).try_cast("long").alias("number"), F.col("ts").alias("created_at")],
+        "Test": [text("name").alias("name"), F.coalesce("framework", F.lit("unknown")).alias("framework")],
+    }
+    return nodes.where(F.col("label") == label).select("id", *fields.get(label, [F.col("label").alias("type"), human_label().alias("title")]))
+
+
 def edge_count(g: Graph, labels: list[str]) -> DataFrame:
     return g.edges.where(F.col("src_label").isin(*labels) & F.col("dst_label").isin(*labels)).groupBy("type").agg(F.count("*").alias("n"))
 

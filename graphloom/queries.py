@@ -227,13 +227,48 @@ def relationship_summary(g: Graph) -> DataFrame:
     return deps.relationship_summary(g)
 
 
-@query(f"""WITH m AS ({MEMBERS}) SELECT m.entity AS class, count(DISTINCT coalesce(k.dst, f.src)) AS n FROM m JOIN e_calls c ON c.src = m.fn JOIN e_contains f ON f.dst = c.dst
-    LEFT JOIN e_contains k ON k.src = f.src AND k.dst LIKE 'class:%' WHERE m.entity LIKE 'class:%' GROUP BY m.entity""")
+def _class_counts(a: str, b: str) -> str:
+    return f"""WITH m AS ({MEMBERS}) SELECT m.entity AS class, count(DISTINCT coalesce(k.dst, f.src)) AS n FROM m JOIN e_calls c ON c.{a} = m.fn JOIN e_contains f ON f.dst = c.{b}
+    LEFT JOIN e_contains k ON k.src = f.src AND k.dst LIKE 'class:%' WHERE m.entity LIKE 'class:%' GROUP BY m.entity"""
+
+
+@query(_class_counts("src", "dst"))
 def class_dependency_counts(g: Graph) -> DataFrame:
     """A2"""
     return deps.class_counts(g)
 
 
+@query(_class_counts("dst", "src"))
+def class_dependent_counts(g: Graph) -> DataFrame:
+    """A2"""
+    return deps.class_counts(g, "in")
+
+
+@query("SELECT id, coalesce(sha, '') AS sha, substr(coalesce(sha, ''), 1, 7) AS short_sha, coalesce(message, '') AS message, ts AS committed_at FROM n_commit")
+def commits_mapped(g: Graph) -> DataFrame:
+    """P16"""
+    return deps.mapped(g.n("Commit"), "Commit")
+
+
+@query("SELECT id, title, CAST(split_part(id, ':', 2) AS BIGINT) AS number, ts AS created_at FROM n_pullrequest")
+def pulls_mapped(g: Graph) -> DataFrame:
+    """P16"""
+    return deps.mapped(g.n("PullRequest"), "PullRequest")
+
+
+@query("SELECT id, name, framework FROM n_test")
+def tests_mapped(g: Graph) -> DataFrame:
+    """P16"""
+    return deps.mapped(g.n("Test"), "Test")
+
+
+@query("SELECT label, before, after, greatest(after - before, 0) AS added FROM (SELECT 'File' AS label, (SELECT count(*) FROM n_file WHERE path LIKE 'src/1%') AS before, (SELECT count(*) FROM n_file) AS after UNION ALL SELECT 'Class', 0, (SELECT count(*) FROM n_class) UNION ALL SELECT 'Test', (SELECT count(*) FROM n_test), 0) x")
+def import_diff(g: Graph) -> DataFrame:
+    """A12"""
+    counts = lambda df: df.groupBy("label").agg(F.count("*").alias("n"))
+    return deps.label_diff(counts(g.n("File").where("path LIKE 'src/1%'").unionAll(g.n("Test"))), counts(g.n("File", "Class")))
+
+
 # history
 
 
@@ -282,6 +317,12 @@ def entity_knowledge(g: Graph) -> DataFrame:
     return intel.entity_knowledge(g, FILE)
 
 
+@query("SELECT e.dst AS dev, count(DISTINCT c.id) AS commits, max(c.ts) AS last FROM e_authored_by e JOIN n_commit c ON c.id = e.src GROUP BY e.dst")
+def unknown_entity_knowledge(g: Graph) -> DataFrame:
+    """Of the whole repository for an unknown id"""
+    return intel.entity_knowledge(g, "file:none")
+
+
 @query(f"SELECT f.entity, count(DISTINCT c.commit) AS commits, count(DISTINCT p.src) AS pulls, count(DISTINCT r.src) AS issues FROM ({FILES}) f LEFT JOIN ({CHANGES}) c ON c.file = f.file LEFT JOIN e_contains p ON p.dst = c.commit LEFT JOIN e_related_to r ON r.dst = p.src GROUP BY f.entity")
 def history_counts(g: Graph) -> DataFrame:
     """A4"""
@@ -525,6 +566,13 @@ def impact_file(g: Graph) -> DataFrame:
     return impact.impact(g, ids(g, FILE), 3)
 
 
+@query(_impact(["file:7", "class:7:1"]) + """ SELECT root, target, CASE WHEN hops <= 1 THEN split_part(path, '>', 1) || ' ' || verb || ' ' || list_last(string_split(path, '>')) ELSE split_part(path, '>', 1) || ' reaches ' || list_last(string_split(path, '>')) || ' through '
+    || array_to_string(string_split(path, '>')[2:len(string_split(path, '>')) - 1], ', ') END AS reason FROM (SELECT *, CASE relationship WHEN 'CALLS' THEN 'calls' WHEN 'IMPORTS' THEN 'imports' ELSE 'extends' END AS verb FROM imp) y""")
+def impact_reasons(g: Graph) -> DataFrame:
+    """I9"""
+    return impact.impact(g, ids(g, FILE, CLASS), 3).select("root", "target", impact.reason().alias("reason"))
+
+
 _ROOTS = ["file:7", "class:7:1", "fn:17", "fn:3"]
 
 
@@ -695,6 +743,22 @@ def ownership_candidates(g: Graph) -> DataFrame:
     return ownership.candidates(g, AS_OF)
 
 
+_BY_PULLS = f"SELECT DISTINCT c.file, c.dev, p.ts FROM ({CHANGES}) c JOIN e_contains e ON e.dst = c.commit JOIN n_pullrequest p ON p.id = e.src WHERE c.dev IS NOT NULL"
+_BY_ISSUES = f"SELECT DISTINCT c.file, c.dev, i.ts FROM ({CHANGES}) c JOIN e_contains e ON e.dst = c.commit JOIN e_related_to r ON r.dst = e.src JOIN n_issue i ON i.id = r.src WHERE c.dev IS NOT NULL"
+
+
+@query(f"""SELECT file, dev, signal, count(*) AS n, round(sum(points), 6) AS points FROM (SELECT file, dev, CASE WHEN days <= 90 THEN 'RECENT_COMMIT' ELSE 'COMMIT' END AS signal, CASE WHEN days <= 90 THEN 35 ELSE 20 END * pow(0.5, greatest(days, 0) / 90) AS points FROM ({_SIGNALS}) s
+    UNION ALL SELECT file, dev, 'PR_AUTHOR', 15.0 FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts DESC, dev) AS n FROM ({_BY_PULLS}) a) x WHERE n <= 50
+    UNION ALL SELECT file, dev, 'PR_REVIEW', 15.0 FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts DESC, dev) AS n FROM ({_BY_ISSUES}) a) x WHERE n <= 50) y GROUP BY file, dev, signal""")
+def ownership_signals(g: Graph) -> DataFrame:
+    """A20 with authors of pull requests, and with those of issues in the place of reviewers, which the tables lack"""
+    pulls = history.changes(g).where("dev IS NOT NULL").join(g.e("CONTAINS", src="PullRequest").select(F.col("src").alias("pr"), F.col("dst").alias("commit")), "commit")
+    of = lambda label, key: g.n(label).select(F.col("id").alias(key), F.col("ts").alias("at"))
+    authors = pulls.join(of("PullRequest", "pr"), "pr").select("file", "dev", F.col("at").alias("ts")).distinct()
+    issues = pulls.join(g.e("RELATED_TO").select(F.col("src").alias("issue"), F.col("dst").alias("pr")), "pr").join(of("Issue", "issue"), "issue").select("file", "dev", F.col("at").alias("ts")).distinct()
+    return ownership.signals(g, AS_OF, authors, issues).groupBy("file", "dev", "signal").agg(F.count("*").alias("n"), F.round(F.sum("points"), 6).alias("points"))
+
+
 @query(f"SELECT file, dev, CASE WHEN days <= 90 THEN 'RECENT_COMMIT' ELSE 'COMMIT' END AS signal, count(*) AS n FROM ({_SIGNALS}) s GROUP BY 1, 2, 3")
 def ownership_evidence(g: Graph) -> DataFrame:
     """A21"""
@@ -761,6 +825,18 @@ def test_suite(g: Graph) -> DataFrame:
     return testsel.suite(g)
 
 
+_METRICS = "SELECT id AS test, k % 9 AS runs, k % 2 AS failures, k % 5 / 4.0 AS pass_rate, k % 3 / 4.0 AS flakiness FROM (SELECT id, CAST(split_part(id, ':', 2) AS BIGINT) AS k FROM {0}) x"
+
+
+@query(trails(typed("calls"), 2, "SELECT dst AS id FROM e_contains WHERE src IN ('file:7', 'file:3', 'file:5') AND dst LIKE 'fn:%'") + f""", d AS (SELECT s.src AS test, min(hops) AS distance FROM t JOIN e_tests s ON s.dst = t.node GROUP BY s.src), m AS ({_METRICS.format('n_test')}),
+    p AS (SELECT d.test, distance, CASE distance WHEN 0 THEN 90 WHEN 1 THEN 20 ELSE 10 END + CASE WHEN runs >= 5 AND failures > 0 AND pass_rate < 0.95 THEN 10 ELSE 0 END + CASE WHEN flakiness > 0.3 THEN -10 ELSE 0 END AS score FROM d JOIN m ON m.test = d.test)
+    SELECT test, CAST(score AS BIGINT) AS score, CASE WHEN score >= 50 THEN 'HIGH' WHEN score >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS level, CAST(distance AS BIGINT) AS distance FROM p""")
+def test_selection_by_history(g: Graph) -> DataFrame:
+    """X3 with runs, failures and flakiness"""
+    metrics = g.nodes.sparkSession.sql(_METRICS.format("{tests}"), tests=g.n("Test").select("id"))
+    return testsel.select(g, ids(g, *_CHANGED), metrics)
+
+
 @query(trails(typed("calls"), 2, "SELECT dst AS id FROM e_contains WHERE src IN ('file:7', 'file:3', 'file:5') AND dst LIKE 'fn:%'") + ", d AS (SELECT count(DISTINCT s.src) AS selected FROM t JOIN e_tests s ON s.dst = t.node), u AS (SELECT count(*) AS total FROM n_test) SELECT total, selected, round((total - selected) / total * 100, 6) AS reduction FROM d, u")
 def test_reduction(g: Graph) -> DataFrame:
     """X4"""
@@ -778,6 +854,10 @@ QUERIES["snapshot_ledger"] = lambda spark, sf_dir: ledger.compact(_snapshots(spa
 ORACLES["snapshot_ledger"] = f"SELECT repo, node, depth, score, direct, indirect, tests, min(struct_pack(t := ts, i := id)).i AS id, max(ts) AS ts FROM ({_SNAPSHOTS}) s GROUP BY repo, node, depth, score, direct, indirect, tests"
 QUERIES["snapshot_retention"] = lambda spark, sf_dir: ledger.retain(_snapshots(spark, sf_dir)).select("id", "repo", "ts")
 ORACLES["snapshot_retention"] = f"SELECT id, repo, ts FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, id) AS n FROM ({_SNAPSHOTS}) s) x WHERE n <= 50"
+QUERIES["snapshot_history"] = lambda spark, sf_dir: ledger.history(_snapshots(spark, sf_dir), "repo:1", "file:3").select("id", "ts")
+ORACLES["snapshot_history"] = f"SELECT id, ts FROM ({_SNAPSHOTS}) s WHERE repo = 'repo:1' AND node = 'file:3'"
+QUERIES["snapshot_clear"] = lambda spark, sf_dir: ledger.clear(_snapshots(spark, sf_dir), "repo:1").select("id", "repo")
+ORACLES["snapshot_clear"] = f"SELECT id, repo FROM ({_SNAPSHOTS}) s WHERE repo <> 'repo:1'"
 QUERIES["recent_evaluations"] = lambda spark, sf_dir: guardrails.recent(_snapshots(spark, sf_dir).select("repo", "id", "ts", "score"))
 ORACLES["recent_evaluations"] = f"SELECT * FROM (SELECT repo, id, ts, score, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, id) AS place FROM ({_SNAPSHOTS}) s) x WHERE place <= 10"
 QUERIES["snapshot_trend"] = lambda spark, sf_dir: ledger.trend(_snapshots(spark, sf_dir)).select("id", F.col("value").cast("long").alias("value"), F.col("step").cast("long").alias("step"), F.col("change").cast("long").alias("change"))
