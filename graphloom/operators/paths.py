@@ -164,6 +164,32 @@ def flow(found: DataFrame, width: float = 240.0, height: float = 80.0) -> DataFr
     return found.select("*", (F.col("hops") * width).alias("x"), (place * height).alias("y"))
 
 
+def force(found: DataFrame, inside: DataFrame, rounds: int = 120, gap: float = 120.0, seed: int = 1) -> DataFrame:
+    """found (id, ..) with x and y from forces: nodes push one another away, edges (src, dst) pull, everything drifts to the
+    middle. At most MAX_NODES nodes, as of neighbourhood(), are laid out on the driver; the same graph and seed give the same
+    places."""
+    import numpy as np
+
+    ids = [r["id"] for r in found.select("id").orderBy("id").limit(MAX_NODES + 1).collect()]
+    check("nodes", len(ids), 0, MAX_NODES)
+    at = {x: k for k, x in enumerate(ids)}
+    pairs = sorted({(at[a], at[b]) for a, b in inside.select("src", "dst").collect() if a in at and b in at and a != b})
+    ends = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    place = np.random.default_rng(seed).normal(0.0, gap, (len(ids), 2))
+    for k in range(rounds):
+        apart = place[:, None, :] - place[None, :, :]
+        push = (apart / np.maximum((apart**2).sum(2), 1.0)[:, :, None]).sum(1) * gap**2
+        pull, along = np.zeros_like(place), place[ends[:, 1]] - place[ends[:, 0]]
+        stretch = along * (np.hypot(*along.T) / gap)[:, None] if len(ends) else along
+        np.add.at(pull, ends[:, 0], stretch)
+        np.add.at(pull, ends[:, 1], -stretch)
+        step = push + pull - 0.05 * place
+        most = gap * (1 - k / rounds)
+        place = place + step * np.minimum(1.0, most / np.maximum(np.hypot(*step.T), 1e-9))[:, None]
+    rows = [(x, round(float(a), 3), round(float(b), 3)) for x, (a, b) in zip(ids, place, strict=True)]
+    return found.join(F.broadcast(found.sparkSession.createDataFrame(rows, "id string, x double, y double")), "id")
+
+
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
     """Ids next to a node, in either direction."""
     out = edges.where(F.col("src") == node).select(F.col("dst").alias("id")).unionAll(edges.where(F.col("dst") == node).select(F.col("src").alias("id")))

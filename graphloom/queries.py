@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .graph import Graph
 from .functions import extract
-from .operators import deps, evidence, guardrails, history, impact, ingest, intel, ledger, ownership, paths, sync, testsel
+from .operators import deps, evidence, guardrails, history, impact, ingest, intel, ledger, ownership, paths, records, sync, testsel
 from .plans.projection import duckdb, load
 from .schema import human_label, search_label
 
@@ -854,6 +854,8 @@ QUERIES["snapshot_ledger"] = lambda spark, sf_dir: ledger.compact(_snapshots(spa
 ORACLES["snapshot_ledger"] = f"SELECT repo, node, depth, score, direct, indirect, tests, min(struct_pack(t := ts, i := id)).i AS id, max(ts) AS ts FROM ({_SNAPSHOTS}) s GROUP BY repo, node, depth, score, direct, indirect, tests"
 QUERIES["snapshot_retention"] = lambda spark, sf_dir: ledger.retain(_snapshots(spark, sf_dir)).select("id", "repo", "ts")
 ORACLES["snapshot_retention"] = f"SELECT id, repo, ts FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, id) AS n FROM ({_SNAPSHOTS}) s) x WHERE n <= 50"
+QUERIES["records_found"] = lambda spark, sf_dir: records.find(records.updated(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment"), {"c_nationkey": 3}, {"c_mktsegment": "NONE"}), {"c_nationkey": [3, 5]}, ["c_custkey"], 50, 5)
+ORACLES["records_found"] = "SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey = 3 THEN 'NONE' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey IN (3, 5) ORDER BY c_custkey LIMIT 50 OFFSET 5"
 QUERIES["snapshot_history"] = lambda spark, sf_dir: ledger.history(_snapshots(spark, sf_dir), "repo:1", "file:3").select("id", "ts")
 ORACLES["snapshot_history"] = f"SELECT id, ts FROM ({_SNAPSHOTS}) s WHERE repo = 'repo:1' AND node = 'file:3'"
 QUERIES["snapshot_clear"] = lambda spark, sf_dir: ledger.clear(_snapshots(spark, sf_dir), "repo:1").select("id", "repo")

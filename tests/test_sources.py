@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.operators import deps, guardrails, history, impact, intel, paths, sync
+from graphloom.operators import deps, guardrails, history, impact, intel, paths, records, sync
 from graphloom.sources import repository
 
 
@@ -96,6 +96,28 @@ def test_a_hub_costs_its_edges(spark):
     assert {(r["hops"], r["n"]) for r in found.groupBy("hops").agg(F.count("*").alias("n")).collect()} == {(1, 60), (2, 60), (3, 60)}
 
 
+def test_records(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, None, 5), (None, "c", 7)], "id long, name string, n int")
+    assert records.count(df) == 3 and records.count(df, {"name": None}) == 1 and records.count(df, {"id": [1, 2]}) == 2
+    assert [r["id"] for r in records.find(df, {"id": [1, 2]}, [F.desc("id")], 1).collect()] == [2]
+    assert {tuple(r) for r in records.updated(df, {"name": None}, {"n": 9, "name": "x"}).collect()} == {(1, "a", None), (2, "x", 9), (None, "c", 7)}
+    assert {r["id"] for r in records.deleted(df, {"n": None}).collect()} == {2, None}
+    new = spark.createDataFrame([(None, "z"), (4, "q")], "id long, name string")
+    assert {tuple(r) for r in records.upserted(df, new, ["id"]).collect()} == {(1, "a", None), (2, None, 5), (None, "z", None), (4, "q", None)}
+    assert records.count(df.limit(0)) == 0 and records.find(df.limit(0), {"id": 1}).count() == 0
+
+
+def test_force_layout(spark):
+    found = spark.createDataFrame([(x, 0) for x in "abcdef"], "id string, hops int")
+    edges = spark.createDataFrame([("a", "CALLS", "b"), ("b", "CALLS", "c"), ("c", "CALLS", "a"), ("a", "CALLS", "a"), ("d", "CALLS", "zz")], "src string, type string, dst string")
+    one, two = ({r["id"]: (r["x"], r["y"]) for r in paths.force(found, edges).collect()} for _ in range(2))
+    far = lambda p, a, b: ((p[a][0] - p[b][0]) ** 2 + (p[a][1] - p[b][1]) ** 2) ** 0.5
+    assert one == two and far(one, "a", "b") < far(one, "a", "e") and min(far(one, a, b) for a in one for b in one if a < b) > 20
+    assert paths.force(found.limit(0), edges).count() == 0
+    with pytest.raises(ValueError):
+        paths.force(spark.range(501).select(F.col("id").cast("string")), edges)
+
+
 def test_empty_graph(spark):
     g = graph(spark, [], [])
     root = spark.createDataFrame([("file:a",), (None,)], "id string")
