@@ -1,6 +1,11 @@
 """From documents to token digests: quality rules, near-duplicate removal, decontamination, BPE round trip.
 
-Each stage works on what its predecessor kept; all but the last return the columns of documents.
+Each stage works on what its predecessor kept; all but the last return the columns of documents, others that the table
+has included. Stages know a row by its id and text, never by its place, so a lost executor changes nothing.
+
+Defined results: a null or empty text has no words and goes in the first stage; null ids, languages and hosts are kept (null
+hosts are one host); of equal or similar documents the least id stays, null last, and of repeated rows one; very long texts
+are judged and encoded whole; empty tables give empty results in every stage.
 """
 
 from __future__ import annotations
@@ -13,22 +18,22 @@ from graphloom.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: too few words, too many repeated ones, or little but template lines."""
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: sets of five-word shingles with a similarity of 0.8 or more."""
+    """One document of each group stays: sets of five-word shingles with a similarity of 0.8 or more, groups by reachability."""
     return jaccard.one_of_each(docs, width=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark text go."""
+    """Documents with benchmark text go: a hit, and 5 % or more of the words hit. Null and empty items hit nothing."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded: doc_id, n_tokens and digests of ids and text."""
+    """Every document encoded and decoded, special strings inside texts included: doc_id, n_tokens and digests of ids and text."""
     return bpe.digests(docs, tokenizer("byte_bpe_50k.json"))
 
 
