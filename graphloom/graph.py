@@ -11,16 +11,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .schema import edge_key
 from .scratch import written
 
 
+def _line(edges: DataFrame) -> Column:
+    return (F.col("line") if "line" in edges.columns else F.lit(None)).cast("int").alias("line")
+
+
 class Graph:
-    """nodes: id, label and properties. edges: src, type, dst, src_label, dst_label, identified by (src, type, dst). The
-    graph is kept as one table for each label and kind of edge, so that a query plans and scans only what it names."""
+    """nodes: id, label and properties. edges: src, type, dst, src_label, dst_label, identified by (src, type, dst), and line,
+    where in the source's file the edge was first found, or null. The graph is kept as one table for each label and kind of edge, so that a query plans and scans only what it names."""
 
     def __init__(self, nodes: dict[str, Callable[[], DataFrame]], edges: dict[tuple[str, str, str], Callable[[], DataFrame]]):
         self._nodes, self._edges = nodes, edges
@@ -34,7 +38,7 @@ class Graph:
             return df.select(*(F.lit(label).alias("label") if c == "label" else F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()))
 
         def edge(kind: tuple[str, str, str], df: DataFrame) -> DataFrame:
-            return df.select("src", F.lit(kind[0]).alias("type"), "dst", F.lit(kind[1]).alias("src_label"), F.lit(kind[2]).alias("dst_label"))
+            return df.select("src", F.lit(kind[0]).alias("type"), "dst", F.lit(kind[1]).alias("src_label"), F.lit(kind[2]).alias("dst_label"), _line(df))
 
         return cls({k: lambda k=k, f=f: node(k, f()) for k, f in nodes.items()}, {k: lambda k=k, f=f: edge(k, f()) for k, f in edges.items()})
 
@@ -44,10 +48,10 @@ class Graph:
         ends. Where the edges lack the labels of their ends, these are looked up."""
         rest = [c for c in nodes.columns if c != "id"]
         nodes = nodes.groupBy("id").agg(F.min(F.struct(*rest)).alias("first")).select("id", "first.*")
-        edges = edges.dropDuplicates(["src", "type", "dst"])
+        edges = edges.select("src", "type", "dst", _line(edges)).groupBy("src", "type", "dst").agg(F.min("line").alias("line"))
         ends = nodes.select("id", "label")
-        edges = edges.select("src", "type", "dst").join(ends.select(F.col("id").alias("src"), F.col("label").alias("src_label")), "src").join(ends.select(F.col("id").alias("dst"), F.col("label").alias("dst_label")), "dst")
-        return cls({"": lambda: nodes}, {("", "", ""): lambda: edges.select("src", "type", "dst", "src_label", "dst_label")})
+        edges = edges.join(ends.select(F.col("id").alias("src"), F.col("label").alias("src_label")), "src").join(ends.select(F.col("id").alias("dst"), F.col("label").alias("dst_label")), "dst")
+        return cls({"": lambda: nodes}, {("", "", ""): lambda: edges.select("src", "type", "dst", "src_label", "dst_label", "line")})
 
     @property
     def nodes(self) -> DataFrame:

@@ -63,6 +63,11 @@ def adjacent(g: Graph, node: str, kind: str, direction: str = "out") -> DataFram
     return g.nodes.join(ends, "id", "left_semi").select("id", "label", "name").orderBy(up("name"), "id")
 
 
+def adjacent_edges(g: Graph, node: str, kind: str, direction: str = "out") -> DataFrame:
+    """The edges to what adjacent() gives, with their lines: (src, type, dst, line)."""
+    return g.e(kind).where(F.col("src" if direction == "out" else "dst") == node).select("src", "type", "dst", "line").orderBy(up("line"), "src", "dst")
+
+
 def class_links(g: Graph, direction: str = "out") -> DataFrame:
     """(class, owner, via): what the functions of a class's file call (or are called by), as single-class owner or file."""
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")

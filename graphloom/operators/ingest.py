@@ -71,7 +71,7 @@ def _first(candidates: DataFrame, files: DataFrame, keys: list[str]) -> DataFram
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(path, target, to): the file that an import (path, target) means. Relative targets go by the importer's directory;
-    Python's dots, Java's and C#'s names, Rust's crate paths and PHP's names by their languages' layouts."""
+    Python's dots, Java's names, Rust's crate paths and PHP's names by their languages' layouts; C#'s names mean no file."""
     source = imports.join(files.select("path", "language"), "path")
     t, here = F.col("target"), parent(F.col("path"))
     scripts = F.when(t.startswith("."), normal(F.concat_ws("/", here, t)))
@@ -198,9 +198,9 @@ def resolve_scoped(rows: DataFrame, symbols: DataFrame, bindings: DataFrame, cla
 
 
 def assemble(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, label, name, path, language, framework, line) and edges (src, type, dst) of files (path, language, content):
+    """Nodes (id, label, name, path, language, framework, line) and edges (src, type, dst, line) of files (path, language, content):
     directories, files and symbols; imports, calls between symbols by the function that makes them, heritage, tests and
-    links across languages. An edge whose end is unknown is left out; each node and edge comes once."""
+    links across languages, with their lines. An edge whose end is unknown is left out; each node and edge comes once."""
     files = files.select("path", "language", "content")
     rows = written(parsed(files), "parsed")
     symbols = rows.where(F.col("kind").isin(*LABELS)).groupBy("path", "name").agg(F.min_by(F.struct("kind", "line"), F.struct("line", "kind")).alias("s"))
@@ -208,8 +208,8 @@ def assemble(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = rows.where("kind = 'import'")
     resolved = written(resolve_imports(wanted.select("path", "target").distinct(), files), "resolved")
     bindings = wanted.select("path", "target", F.col("name").alias("local"), F.col("scope").alias("imported")).join(resolved, ["path", "target"])
-    calls = resolve_scoped(rows.where("kind = 'call' AND scope <> ''").select("path", "name", "scope"), symbols, bindings)
-    above = rows.where("kind IN ('extends', 'implements')").select("path", F.col("name").alias("child"), F.col("target").alias("name"), "kind")
+    calls = resolve_scoped(rows.where("kind = 'call' AND scope <> ''").select("path", "name", "scope", "line"), symbols, bindings)
+    above = rows.where("kind IN ('extends', 'implements')").select("path", F.col("name").alias("child"), F.col("target").alias("name"), "kind", "line")
     above = resolve_scoped(above, symbols, bindings, classes=True)
     names = rows.where("kind = 'test'").select("path", "name", "line")
     tools = files.select("path", framework(F.col("content")).alias("framework"))
@@ -229,19 +229,19 @@ def assemble(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         node(pairs.select(F.col("test").alias("path")).join(tools, "path").withColumn("id", F.concat(F.lit("test:"), "path")), F.lit("Test"), last, F.col("path"), tool=F.col("framework")),
         node(tests.withColumn("id", F.concat(F.lit("test:"), "path", F.lit(":"), "name")), F.lit("Test"), F.col("name"), F.col("path"), tool=F.col("framework"), line=F.col("line")),
     ]
-    edge = lambda df, a, kind, b: df.select(a.alias("src"), kind.alias("type"), b.alias("dst"))
+    edge = lambda df, a, kind, b: df.select(a.alias("src"), kind.alias("type"), b.alias("dst"), (F.col("line") if "line" in df.columns else F.lit(None)).cast("int").alias("line"))
     symbol = lambda c: F.concat(F.lit("fn:"), "path", F.lit(":"), c)
     edges = [
-        contains.select("src", "type", "dst"),
+        edge(contains, F.col("src"), F.col("type"), F.col("dst")),
         edge(symbols, file("path"), F.lit("CONTAINS"), F.col("id")),
         edge(names, file("path"), F.lit("CONTAINS"), F.concat(F.lit("test:"), "path", F.lit(":"), "name")),
-        edge(resolved.where("path <> to"), file("path"), F.lit("IMPORTS"), file("to")),
+        edge(wanted.select("path", "target", "line").join(resolved.where("path <> to"), ["path", "target"]), file("path"), F.lit("IMPORTS"), file("to")),
         edge(calls, symbol("scope"), F.lit("CALLS"), F.col("to")),
         edge(above, symbol("child"), F.upper("kind"), F.col("to")),
-        tested.select("src", "type", "dst"),
+        edge(tested, F.col("src"), F.col("type"), F.col("dst")),
         edge(cross_language(files), file("src"), F.lit("CROSS_LANGUAGE"), file("dst")),
     ]
-    return reduce(DataFrame.unionAll, nodes).dropDuplicates(["id"]), reduce(DataFrame.unionAll, edges).where("src <> dst").distinct()
+    return reduce(DataFrame.unionAll, nodes).dropDuplicates(["id"]), reduce(DataFrame.unionAll, edges).where("src <> dst").groupBy("src", "type", "dst").agg(F.min("line").alias("line"))
 
 
 def file_nodes(files: DataFrame) -> DataFrame:

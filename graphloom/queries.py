@@ -971,7 +971,7 @@ _KNOWN = f"""f AS (SELECT CAST(split_part(id, ':', 2) AS BIGINT) AS k FROM n_fil
     c AS (SELECT DISTINCT CAST(split_part(src, ':', 2) AS BIGINT) AS a, CAST(split_part(dst, ':', 2) AS BIGINT) AS b FROM e_calls)"""
 _register(
     "extracted_edges",
-    lambda spark, d: ingest.assemble(_sources(spark, d))[1].where("type IN ('IMPORTS', 'CALLS', 'EXTENDS')"),
+    lambda spark, d: ingest.assemble(_sources(spark, d))[1].where("type IN ('IMPORTS', 'CALLS', 'EXTENDS')").select("src", "type", "dst"),
     duckdb(f"""WITH {_KNOWN} SELECT 'file:' || {_AT.format('a')} AS src, 'IMPORTS' AS type, 'file:' || {_AT.format('b')} AS dst FROM i
     UNION ALL SELECT DISTINCT 'fn:' || {_AT.format('s.f')} || ':p' || c.a, 'CALLS', 'fn:' || {_AT.format('t.f')} || ':p' || c.b FROM c JOIN h s ON s.p = c.a JOIN h t ON t.p = c.b LEFT JOIN i ON i.a = s.f AND i.b = t.f WHERE s.f = t.f OR i.a IS NOT NULL
     UNION ALL SELECT 'fn:' || {_AT.format('x.a')} || ':A' || x.a, 'EXTENDS', 'fn:' || {_AT.format('x.b')} || ':A' || x.b FROM x JOIN i ON i.a = x.a AND i.b = x.b"""),

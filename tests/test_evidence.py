@@ -151,7 +151,9 @@ def test_assembled_graph(spark):
     nodes, edges = ingest.assemble(spark.createDataFrame(files, "path string, language string, content string"))
     labels = {r["id"]: r["label"] for r in nodes.collect()}
     assert labels["fn:src/a.ts:A"] == "Class" and labels["fn:src/a.ts:A.run"] == "Function" and labels["test:src/b.spec.ts:b › helps"] == "Test" and labels["file:null.ts"] == "File"
-    got = {tuple(r) for r in edges.collect()}
+    found = edges.collect()
+    assert {(r["dst"], r["line"]) for r in found if r["src"] == "fn:src/b.ts:helper"} == {("fn:src/b.ts:far", 1)} and {r["line"] for r in found if r["type"] == "IMPORTS" and r["src"] == "file:src/a.ts"} == {1}
+    got = {tuple(r)[:3] for r in found}
     calls = {(a, b) for a, t, b in got if t == "CALLS"}
     assert calls == {("fn:src/a.ts:A.run", "fn:src/b.ts:helper"), ("fn:src/a.ts:A.run", "fn:src/b.ts:far"), ("fn:src/a.ts:A.run", "fn:src/b.ts:Box.open"), ("fn:src/a.ts:run2", "fn:src/a.ts:A.run"), ("fn:src/b.ts:helper", "fn:src/b.ts:far")}
     assert ("fn:src/a.ts:A", "EXTENDS", "fn:src/b.ts:Box") in got and ("file:src/a.ts", "IMPORTS", "file:src/b.ts") in got and ("file:tools/x.py", "CROSS_LANGUAGE", "file:src/a.ts") in got
@@ -160,6 +162,7 @@ def test_assembled_graph(spark):
     for c in columns:
         nodes = nodes.withColumn(c, F.lit(None).cast("string"))
     g = Graph.loaded(nodes.withColumn("active", F.lit(True)).withColumn("ts", F.lit(None).cast("timestamp")), edges)
+    assert [tuple(r) for r in deps.adjacent_edges(g, "file:src/a.ts", "IMPORTS").collect()] == [("file:src/a.ts", "IMPORTS", "file:src/b.ts", 1)]
     assert {(r["class"], r["owner"]) for r in deps.class_dependencies(g).collect()} >= {("fn:src/a.ts:A", "fn:src/b.ts:Box")}
     assert {r["test"] for r in testsel.select(g, spark.createDataFrame([("file:src/b.ts",)], "id string")).collect()} == {"test:src/b.spec.ts"}
 
