@@ -29,9 +29,9 @@ from .common import add_column
 
 NONE = np.iinfo(np.int64).max
 #: Pieces a worker remembers, and cells of one array of trees.
-CACHE, CELLS = 400_000, 1 << 21
+CACHE, CACHE_CHARS, CELLS = 200_000, 1 << 23, 1 << 18
 #: Characters of a text, and texts, that a worker pre-tokenises before it looks pieces up.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _PLAIN = re.compile(r"[^\t\n\r -~À-ÖØ-öø-ÿ]")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: By kind of file. Alternatives that start with different characters are in order of frequency.
@@ -243,15 +243,16 @@ class Cache(dict):
 
     def __init__(self, bpe: Bpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.chars = bpe, 0
 
     def learn(self, pieces: Iterable[str]) -> None:
         seen = set(pieces)
         todo = [p for p in seen if p not in self]
         if todo:
-            if len(self) + len(todo) > CACHE:
+            if len(self) + len(todo) > CACHE or self.chars + sum(map(len, todo)) > CACHE_CHARS:
                 self.clear()
-                todo = list(seen)
+                self.chars, todo = 0, list(seen)
+            self.chars += sum(map(len, todo))
             self.update(zip(todo, (x.astype("<u4").tobytes() for x in self.bpe.encode_pieces(todo)), strict=True))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -61,6 +63,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Hands freed memory back to the system at a task's end, Arrow's pool first: idle Python workers are kept, and stay as
+    large as they were at their largest otherwise. The C library may have no such call."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def add_column(df: DataFrame, into: str, kind: T.DataType, make: Callable[[dict], Iterable], reads: list[str], drop: tuple[str, ...] = ()) -> DataFrame:
     """df and one more column, made by Arrow batches in one stage. make gets the read columns of a batch as lists of
     Python values and returns as many values; all other columns but those in drop pass through untouched,
@@ -78,5 +88,6 @@ def add_column(df: DataFrame, into: str, kind: T.DataType, make: Callable[[dict]
                 made = pa.array(make({c: part.column(part.schema.get_field_index(c)).to_pylist() for c in reads}), type=arrow)
                 rest = [c for c in part.schema.names if c != into and c not in drop]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), made], names=[*rest, into])
+        trim()
 
     return base.mapInArrow(run, schema)

@@ -35,12 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROWS, discard, maybe_broadcast, written
+from .common import ROWS, discard, maybe_broadcast, trim, written
 
 #: Pairs of a list that are compared by place alone, for each posting, before its members meet centres instead.
 FEW, CENTRES = 1024, 8
 #: Bytes of text that are hashed at once; shingles and sets of a sorted run.
-SEGMENT, RUN, RUN_SETS = 1 << 20, 1 << 21, 60_000
+SEGMENT, RUN, RUN_SETS = 1 << 19, 1 << 20, 60_000
 #: Shingles before a posting's own that are compared, so that a pair is made once and not at each shingle it shares.
 BEFORE = 8
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -222,6 +222,8 @@ def _by_bucket(column: str, plain: tuple[str, ...], close, done, kind: pa.Schema
         if held:
             yield out(close(held))
         yield out(done())
+        held.clear()
+        trim()
 
     return run
 
@@ -258,6 +260,7 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
                         yield from flush()
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
         yield from flush()
+        trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -342,15 +345,19 @@ class Join:
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_schema
 
-            shingler, seen = Shingler(width), set()
+            shingler, seen, rows, size = Shingler(width), set(), [], 0
             for batch in batches:
-                rows = []
                 for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     if h not in seen:
                         seen.add(h)
                         found = shingler.shingles(text.as_py())
-                        rows.append({"sig": shingler.sig(found), "shingles": found.astype(np.int64)})
-                yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(kind))
+                        rows.append({"sig": shingler.sig(found), "shingles": found.view(np.int64)})
+                        size += len(found)
+                    if size > RUN:
+                        yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(kind))
+                        rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(kind))
+            trim()
 
         chosen = self.sigs.where("some").select("text_hash")
         texts = docs.select("text_hash", "text").join(F.broadcast(chosen) if chosen.count() * 16 <= 32 << 20 else chosen, "text_hash", "left_semi")
