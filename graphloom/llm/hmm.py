@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROWS, written
+from .common import ROWS, trim, written
 from .words import partial_counts, top, words_of
 
-STATES, SYMBOLS, LENGTHS, ROUNDS, KNOWN, FOLDS = 12, 8192, 24, 3, 131_072, 10
+STATES, SYMBOLS, LENGTHS, ROUNDS, KNOWN, FOLDS = 8, 8192, 24, 3, 131_072, 10
 SMOOTH = 0.1
 #: Cells (texts times steps) of one array of the recursions.
 CELLS = 1 << 20
@@ -157,9 +157,9 @@ class Model:
             start += after.sum(0)
             alphas[0] = after
             on = np.arange(width)[None, :] < running[:, None]
-            seen = padded[on]
+            seen, flat = padded[on], np.ascontiguousarray(alphas[on].T)
             for k in range(states):
-                emissions[k] += np.bincount(seen, weights=alphas[:, :, k][on], minlength=size)
+                emissions[k] += np.bincount(seen, weights=flat[k], minlength=size)
         return start, moves, emissions
 
     def _long(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,6 +237,7 @@ def encoded(docs: DataFrame, symbols, shared: np.ndarray, end_log: float) -> Dat
                 part = batch.slice(at, len(lists))
                 rest = [c for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in rest), *(pa.array(made[c], kind) for c, kind in kinds.items())], names=[*rest, *kinds])
+        trim()
 
     schema = f"id {docs.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, seen long, base double, inner double, rare array<string>, times array<long>, symbols array<smallint>"
     return docs.select("id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
@@ -261,6 +262,7 @@ def train(sequences: DataFrame, totals: np.ndarray, rounds: int = ROUNDS) -> Mod
             rows = np.concatenate([start[:, None], moves, emissions], axis=1)  # a column for each parameter
             used = np.flatnonzero(rows.sum(0))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(rows[k, used]) for k in range(states))], names=["p", *(f"c{k}" for k in range(states))])
+            trim()
 
         states = len(model.start)
         counts = sequences.mapInArrow(run, "p int, " + ", ".join(f"c{k} double" for k in range(states)))
@@ -307,6 +309,7 @@ def scores(df: DataFrame, text: str = "text", row_id: str = "doc_id", rounds: in
             flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
             found = [model.value.score([flat[x:y] for x, y in itertools.pairwise(ends[at : at + ROWS + 1])]) for at in range(0, batch.num_rows, ROWS)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([*found, np.empty(0)]))], names=[*batch.schema.names[:-1], "latent"])
+        trim()
 
     narrow = parts.select("row", "id", "held_out", "n_tokens", "seen", "base", "inner", "symbols")
     scored = narrow.mapInArrow(latent, T.StructType([*narrow.schema.fields[:-1], T.StructField("latent", T.DoubleType())]))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trim, written
 
 #: Words a worker counts before it hands its sums on, or keeps the more frequent half.
 HELD = 600_000
@@ -45,22 +45,41 @@ def partial_counts(df: DataFrame, text: str = "text", most: int | None = None) -
                             counts = Counter({w: n for w, n in counts.items() if n > bar})
                             bar *= 2
         yield out(list(counts.items()) if most is None else nlargest(most, counts.items(), key=lambda x: x[1]))
+        counts.clear()
+        trim()
 
     return df.select(text).mapInArrow(run, "word string, n long")
 
 
+#: Parts into which words of one count are cut by their hash, where not all of them are taken.
+PARTS = 1024
+
+
 def top(counts: DataFrame, most: int, count: str = "n") -> dict[str, int]:
     """At most that many of the most frequent of (word, count), most frequent first, ties by the word. A histogram by
-    powers of 2 ** (1 / 16) finds the least count to take, so that no task sorts or gathers more than is returned."""
-    level = F.floor(16 * F.log2(F.col(count))).cast("int")
-    held, least = 0, None
-    for k, n in sorted(map(tuple, counts.groupBy(level.alias("k")).agg(F.count("*").alias("m")).collect()), reverse=True):
-        if held + n > most:
-            break
-        held, least = held + n, k
-    if least is None:
-        return {}
-    rows = counts.where(level >= least).select("word", count).toLocalIterator()
+    powers of 2 ** (1 / 16) finds the least level to take, and within the first level that is too large another one finds
+    the least count, and of that count's words the parts by hash; so no task sorts or gathers more than is returned, and
+    fewer than asked for are returned only by less than a part."""
+    level, part = F.floor(16 * F.log2(F.col(count))).cast("int"), F.pmod(F.xxhash64("word"), F.lit(PARTS))
+
+    def taken(rows: list[tuple], room: int) -> tuple[tuple | None, int]:
+        """The first of (key.., size) that does not fit, in order, and the room that is left before it."""
+        for *key, n in rows:
+            if n > room:
+                return tuple(key), room
+            room -= n
+        return None, room
+
+    size = F.count("*").alias("m")
+    full, room = taken(sorted(map(tuple, counts.groupBy(level.alias("k")).agg(size).collect()), reverse=True), most)
+    wanted = F.lit(True)
+    if full:
+        inside = counts.where(level == full[0])
+        # exact counts of one level, and then parts of one count: few rows each
+        least, room = taken(sorted(map(tuple, inside.groupBy(F.col(count).alias("k")).agg(size).collect()), reverse=True), room)
+        last, _ = taken(sorted(map(tuple, inside.where(F.col(count) == least[0]).groupBy(part.alias("k")).agg(size).collect())), room)
+        wanted = (F.col(count) > least[0]) | (F.col(count) == least[0]) & (part < last[0])
+    rows = counts.where(wanted).select("word", count).toLocalIterator()
     return dict(sorted(((w, n) for w, n in rows), key=lambda x: (-x[1], x[0])))
 
 
