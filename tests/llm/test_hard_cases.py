@@ -15,6 +15,7 @@ import numpy as np  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from graphloom.llm import bpe, common, decontaminate, hmm, jaccard, quality_rules, queries, token_counts, url_rules, warc  # noqa: E402
+from graphloom.llm import words as words_module  # noqa: E402
 
 
 def components_brute(texts, width, num):
@@ -200,16 +201,8 @@ def test_scores_are_those_of_the_model(spark, monkeypatch):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     words = {i: (t or "").lower().split() for i, t in rows}
     c = Counter(w for i, x in words.items() if not held(i) for w in x)
-    # the known words are those of whole levels of frequency
-    level = lambda n: math.floor(16 * math.log2(n))
-    known, size = [], 0
-    for k in sorted({level(n) for n in c.values()}, reverse=True):
-        some = [w for w in c if level(c[w]) == k]
-        if size + len(some) > 12:
-            break
-        known, size = known + some, size + len(some)
-    known.sort(key=lambda w: (-c[w], w))
-    own = known[:6]
+    own = list(words_module.top(spark.createDataFrame(list(c.items()), "word string, n long"), 12))[:6]
+    assert sorted((-c[w], w) for w in c)[:5] == [(-c[w], w) for w in own[:5]]
     ends = sum(not held(i) for i in words)
     symbol = lambda w: 1 + hmm.LENGTHS + own.index(w) if w in own else min(len(w), hmm.LENGTHS)
     totals = np.zeros(1 + hmm.LENGTHS + len(own))
@@ -235,6 +228,19 @@ def test_scores_are_those_of_the_model(spark, monkeypatch):
         assert got[i]["held_out"] == held(i) and got[i]["n_tokens"] == len(s)
 
 
+def test_top_words_of_large_levels(spark):
+    """Exactly as many as asked for but for a part of the last count's words, and none that is rarer than one left out."""
+    rng = random.Random(2)
+    counts = {f"w{k}": 1 + int(20 / (1 + rng.random() * 30)) for k in range(9000)}
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    for most in (0, 1, 37, 2000, 8000, 9000, 20_000):
+        got = words_module.top(df, most)
+        assert all(counts[w] == n for w, n in got.items()) and most - 40 <= len(got) <= most or len(got) == 9000 <= most
+        assert list(got.items()) == sorted(got.items(), key=lambda x: (-x[1], x[0]))
+        if got and len(got) < 9000:
+            assert min(got.values()) >= max(n for w, n in counts.items() if w not in got)
+
+
 def test_long_texts_are_trained_on_piece_by_piece(monkeypatch):
     rng = np.random.default_rng(5)
     m = hmm.Model(*(x / x.sum(-1, keepdims=True) for x in (rng.random(3), rng.random((3, 3)), rng.random((3, 6)))))
