@@ -337,6 +337,8 @@ class Join:
         self.sigs = written(sums.select("sig", "id", "text_hash", some.alias("some")), "sigs")
         self.sets = written(self._orders(self._sets(docs)), "sets")
         self.members = written(self._members(), "members")
+        #: tables of the rounds, removed after the last one
+        self.tables: list[DataFrame] = []
 
     def _sets(self, docs: DataFrame) -> DataFrame:
         """sig and the shingles of the sets that could link; one text is read for each."""
@@ -398,15 +400,19 @@ class Join:
         return both.where(self.den * F.col("common") >= self.num * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
     def _centred(self, members: DataFrame, order: Column, apart: Column) -> DataFrame:
-        """Pairs of each list's centre, the least by order, with the other members."""
+        """Pairs of each list's centre, the least by order, with the other members. The centres are written first, so that the
+        join reads two plain shuffles, and a list of very many members can be split among tasks."""
         centre = members.groupBy("token").agg(F.min_by("x", order).alias("y"), *([F.min_by("c", order).alias("d")] if "c" in members.columns else []))
+        centre = written(centre, "centres")
+        self.tables.append(centre)
         return members.join(centre, "token").where(apart & self._could("x", "y")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct()
 
     def components(self) -> DataFrame:
         """(node, component) by sig, of all sets that link with another."""
         pairs = self._centred(self.members, F.struct("x.own", "x.sig"), F.col("x.sig") != F.col("y.sig"))
         links = written(self.verify(pairs), "links")
-        labels, tables, centres = connected(links), [links], 1
+        labels, centres = connected(links), 1
+        self.tables.append(links)
         held = self.members.count()
         while True:
             rest = self.members.join(labels, F.col("x.sig") == F.col("node"), "left").select("token", "x", F.coalesce("component", "x.sig").alias("c"))
@@ -425,7 +431,7 @@ class Join:
                 pairs = self._centred(rest, F.xxhash64("x.sig", F.lit(centres)), F.col("c") != F.col("d"))
             new = written(self.verify(pairs), "links")
             discard(open_, rest)
-            tables.append(new)
+            self.tables.append(new)
             found = not new.isEmpty()
             if found:
                 links, old = links.union(new), labels
@@ -435,7 +441,7 @@ class Join:
             if last:
                 break
             centres = centres + 1 if found else CENTRES
-        discard(*tables)
+        discard(*self.tables)
         return labels
 
     def keys(self) -> DataFrame:
@@ -451,7 +457,8 @@ def components(df: DataFrame, width: int = 3, num: int = 90, den: int = 100, tex
     """One row a document: its id, the size of its set, and the least id of its component."""
     join = Join(df, width, num, den, text, row_id)
     keys = join.keys()
-    least = keys.groupBy("key").agg(F.min("id").alias("least"))
+    # written, as are the best of each group below: a join with plain shuffles on both sides can split a large group
+    least = written(keys.groupBy("key").agg(F.min("id").alias("least")), "least")
     of = keys.join(least, "key").select("sig", "least")
     out = join.base.where("sig IS NOT NULL").join(of, "sig").select("id", "n", "least")
     out = out.union(join.base.where("sig IS NULL").select("id", "n", F.col("id").alias("least")))
@@ -465,12 +472,13 @@ def one_of_each(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, te
     rows = join.base.where("sig IS NOT NULL").join(join.keys().select("sig", "key"), "sig").select("key", "id", "text_hash")
     rows = written(rows, "rows")
     order = F.struct(F.col("id").isNull(), "id", "text_hash")
-    best = rows.groupBy("key").agg(F.min(order).alias("best"))
+    best = written(rows.groupBy("key").agg(F.min(order).alias("best")), "best")
     lost = rows.join(best, "key").where(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_hash") == F.col("best.text_hash"))))
     lost = written(lost.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "lost")
     match = lambda d: d[row_id].eqNullSafe(F.col("__id")) & (F.xxhash64(d[text]) == F.col("__hash"))
     kept = df.join(maybe_broadcast(lost, 24), match(df), "left_anti")
     alike = written(rows.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("k")).where("k > 1").drop("k"), "alike")
+    discard(rows, best)
     if alike.isEmpty():
         return kept
     alike = maybe_broadcast(alike, 24)
