@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hmm, jaccard, licenses, page_text, quality_rules, token_counts, url_rules, warc
+from . import bpe, decontaminate, hamerly, hmm, jaccard, licenses, page_text, quality_rules, token_counts, url_rules, warc
 from .common import table
 from .sql import ORACLES
 
@@ -65,8 +65,12 @@ def op10_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op13_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamerly.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_page_text, op2_token_counts, op3_licence_scan, op4_quality_rules, op5_hmm_scores, op6_bpe_round_trip, op7_url_rules, op8_decontaminate, op9_warc_derivatives, op10_jaccard_components)
+    for f in (op1_page_text, op2_token_counts, op3_licence_scan, op4_quality_rules, op5_hmm_scores, op6_bpe_round_trip, op7_url_rules, op8_decontaminate, op9_warc_derivatives, op10_jaccard_components, op13_hamerly_clusters)
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -39,4 +39,23 @@ e AS (SELECT a, b FROM j JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 c AS (SELECT doc_id AS root, doc_id AS node FROM documents UNION SELECT c.root, e.b FROM c JOIN e ON e.a = c.node)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(c.node) AS component_id FROM d JOIN c ON c.root = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n"""
 
-ORACLES: dict[str, str] = {"op4_quality_rules": OP4, "op8_decontaminate": OP8, "op10_jaccard_components": OP10}
+
+
+def _op13(clusters: int = 40, rounds: int = 5) -> str:
+    """Clustering: vectors as (r, i, x), centroids of round k as c<k>(j, i, x), assignments as a<k>(r, j, d)."""
+    parts = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        "x AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS i, unnest(v) AS x FROM v)",
+        f"s AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS j FROM v QUALIFY j < {clusters})",
+        "c0 AS MATERIALIZED (SELECT j, i, x FROM s JOIN x USING (r))",
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"a{k} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, j := j)) AS m FROM (SELECT r, j, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN c{k} c USING (i) GROUP BY r, j) y GROUP BY r)")
+        if k < rounds:
+            parts.append(f"""c{k + 1} AS MATERIALIZED (SELECT j, i, coalesce(n.x, c.x) AS x FROM c{k} c LEFT JOIN
+                (SELECT m.j AS j, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x FROM a{k} JOIN x USING (r) GROUP BY m.j, i) n USING (j, i))""")
+    return f"""WITH {", ".join(parts)}, h AS (SELECT j, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY j)
+    SELECT vec_id, m.j::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.j))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia, h AS centroid_sha256 FROM v JOIN a{rounds} USING (r) JOIN h ON h.j = m.j"""
+
+
+ORACLES: dict[str, str] = {"op13_hamerly_clusters": _op13(), "op4_quality_rules": OP4, "op8_decontaminate": OP8, "op10_jaccard_components": OP10}
