@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import _PLAIN as NOT_PLAIN
+from .bpe import _WORD_END as PRE_TOKENS
 from .common import maybe_broadcast, trim, written
 
 CAPACITY, END = 4096, 1
-#: Lengths above a part of the capacity are large; so many groups of them.
-LARGE_PART, GROUPS = 8, 64
+#: Lengths above such a part of the capacity are large, and make so many groups; the fewest sequences win.
+TRIED = ((2, 8), (2, 16), (4, 16), (4, 64), (8, 8), (8, 16), (8, 32), (8, 64))
 #: Words whose ids a worker remembers, and bytes of one of them; others are encoded each time.
 REMEMBERED, LONGEST = 400_000, 64
 #: Documents that a worker encodes together.
@@ -52,10 +54,23 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        """Words of common characters are cut into pre-tokens first, which are remembered as well; in others a special token may
+        stand, or a character whose class the library alone knows."""
+        texts = [w.decode("utf-8") for w in words]
+        cut = [None if "<" in t or NOT_PLAIN.search(t) else PRE_TOKENS.findall(t.lower()) for t in texts]
+        pieces = self.pieces
+        if len(pieces) > REMEMBERED:
+            pieces.clear()
+        new = list(set().union(*filter(None, cut)).difference(pieces))
+        pieces.update(zip(new, self.library_ids(new), strict=True))
+        whole = iter(self.library_ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
+        return [next(whole) if c is None else b"".join(map(pieces.__getitem__, c)) for c in cut]
+
+    def library_ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8").split() for t in texts]
@@ -171,13 +186,13 @@ class Places:
     """Runs of places. A run (length, rank, sequence, each, offset) puts the i-th piece of a length after that rank into
     sequence + i // each, at offset + i % each * length."""
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, part: int = LARGE_PART):
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, part: int = 8, groups: int = 64):
         self.capacity, self.left, self.used = capacity, dict(counts), dict.fromkeys(counts, 0)
         self.runs: list[tuple[int, int, int, int, int]] = []
         self.sequences = 0
         self.open: dict[int, list[tuple[int, int]]] = {}  # by room: (first sequence, how many)
         self.rooms = 0  # bit r: there is a sequence with room r
-        self._configure(groups, part)
+        self._configure(part, groups)
         for length in sorted(self.left, reverse=True):
             self._best_fit(length)
 
@@ -191,7 +206,7 @@ class Places:
             self.open.setdefault(room, []).append((first, n))
             self.rooms |= 1 << room
 
-    def _configure(self, groups: int, part: int) -> None:
+    def _configure(self, part: int, groups: int) -> None:
         large = [(s, n) for s, n in sorted(self.left.items(), reverse=True) if s > self.capacity // part and n]
         if not large:
             return
@@ -254,13 +269,17 @@ class Places:
             self._opened(room - k * length, first, m)
 
 
+def planned(counts: dict[int, int], capacity: int = CAPACITY) -> Places:
+    return min((Places(counts, capacity, *tried) for tried in TRIED), key=lambda p: p.sequences)
+
+
 def pack(df: DataFrame, path: str, text: str = "text", row_id: str = "doc_id", capacity: int = CAPACITY, end: int = END, ids: bool = True) -> DataFrame:
     """(id, piece, start, length, crc, ids, sequence_id, offset): every document's pieces and their places. ids: whether the tokens
     are kept (little-endian unsigned 32-bit integers)."""
     made = written(pieces(df, path, text, row_id, capacity, end, ids), "pieces")
     counts = written(made.groupBy("task", "length").agg(F.count("*").alias("n")), "lengths")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    runs = np.array(sorted(Places(totals, capacity).runs), dtype=np.int64).reshape(-1, 5)
+    runs = np.array(sorted(planned(totals, capacity).runs), dtype=np.int64).reshape(-1, 5)
     # a window holds at most one row a task
     order = Window.partitionBy("length").orderBy("task")
     before = counts.select("task", "length", (F.sum("n").over(order) - F.col("n")).alias("before"))
