@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hamerly, hmm, jaccard, licenses, packing, page_text, quality_rules, token_counts, url_rules, warc
+from . import align, bpe, decontaminate, hamerly, hmm, jaccard, licenses, packing, page_text, quality_rules, token_counts, url_rules, warc
 from .common import table
 from .sql import ORACLES
 
@@ -69,12 +69,16 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def op13_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamerly.report(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_page_text, op2_token_counts, op3_licence_scan, op4_quality_rules, op5_hmm_scores, op6_bpe_round_trip, op7_url_rules, op8_decontaminate, op9_warc_derivatives, op10_jaccard_components, op11_best_fit_packing, op13_hamerly_clusters)
+    for f in (op1_page_text, op2_token_counts, op3_licence_scan, op4_quality_rules, op5_hmm_scores, op6_bpe_round_trip, op7_url_rules, op8_decontaminate, op9_warc_derivatives, op10_jaccard_components, op11_best_fit_packing, op12_cross_tokenizer_alignment, op13_hamerly_clusters)
 }
 __all__ = ["ORACLES", "QUERIES"]
