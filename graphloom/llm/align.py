@@ -35,9 +35,9 @@ from .bpe import byte_letters
 from .common import trim, written
 
 #: Characters of a batch of documents (more for one longer document), and documents.
-CHARS, DOCS = 1 << 21, 4000
+CHARS, DOCS = 1 << 19, 1000
 #: Chunks that a worker remembers, and characters of one of them.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Pairs that are broadcast, at some 24 bytes each.
 PAIRS = 1 << 20
 #: In front of a lone space that something other than white space follows.
@@ -90,7 +90,7 @@ class Sides:
         raw = (" " + text).encode("utf-8")
         sizes = np.array([len(c.encode("utf-8")) + 1 for c in chunks])
         cuts, found = np.cumsum(sizes), []
-        for side, ids in enumerate((self.left.encode(" " + text, add_special_tokens=False).ids, self.right.encode(text))):
+        for side, ids in enumerate((self.left.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.right.encode(text))):
             if b"".join(map(self.bytes[side].__getitem__, ids)) != raw:
                 return False
             mine = np.array(ids, dtype=np.int32)
