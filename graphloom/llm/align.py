@@ -23,6 +23,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from .bpe import byte_letters
 from .common import trim, written
 
 #: Characters of a batch of documents (more for one longer document), and documents.
-CHARS, DOCS = 1 << 19, 1000
-#: Chunks that a worker remembers, and characters of one of them.
+CHARS, DOCS = 1 << 17, 1000
+#: Chunks that a worker remembers, in two halves, the older of which is dropped; and characters of one of them.
 REMEMBERED, LONGEST = 200_000, 64
 #: Pairs that are broadcast, at some 24 bytes each.
 PAIRS = 1 << 20
@@ -65,12 +66,27 @@ class Sides:
         b = [self.right.id_to_piece(k) for k in range(self.right.get_piece_size())]
         b = [bytes([int(p[3:5], 16)]) if self.right.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(b)]
         self.bytes, self.sizes = (a, b), tuple(np.array([len(x) for x in side], dtype=np.int32) for side in (a, b))
-        self.known: dict[str, tuple] = {}
+        self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     @property
     def base(self) -> int:
         return len(self.bytes[1])
 
+    def look_up(self, chunks: set[str]) -> list[tuple[str, tuple | None]]:
+        """Each chunk with what is known of it."""
+        if len(self.known) + len(chunks) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        known.update((c, older[c]) for c in chunks if c not in known and c in older)
+        new = [c for c in chunks if c not in known]
+        self.learn(new)
+        out = [(c, known[c]) for c in chunks]
+        for c in new:
+            if len(c) > LONGEST:
+                del known[c]
+        return out
+
     def learn(self, chunks: list[str]) -> None:
         """What is known of a chunk: ids and sizes of both sides as bytes, numbers of tokens, bytes; None where a side does not give
         the chunk back. Chunks that start and end without white space are cut from one another by both sides, so that they
@@ -135,21 +151,19 @@ def tokenised(df: DataFrame, left: str, right: str, text: str, row_id: str) -> D
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values, type=to_arrow_type(kind))
 
     def made(ids: pa.Array, split: list[list[str]], key: int, both: Sides) -> pa.RecordBatch:
-        # a text with a chunk that a side does not give back has none
-        index: dict[str, int] = {}
-        known = both.known
-        numbers, n_a, n_b = [], [], []
-        for parts in split:
-            if any(known[c] is None for c in set(parts)):
-                parts = []
-            numbers.append([index.setdefault(c, len(index)) for c in parts])
-            n_a.append(sum([known[c][2] for c in parts]))
-            n_b.append(sum([known[c][5] for c in parts]))
-        found = [known[c] for c in index]
+        known = both.look_up(set().union(*split))
+        bad = {c for c, f in known if f is None}
+        if bad:  # a text with a chunk that a side does not give back has none
+            split = [[] if bad.intersection(parts) else parts for parts in split]
+        found = [f for _, f in known if f is not None]
+        index = {c: k for k, c in enumerate(c for c, f in known if f is not None)}
+        sizes = [len(parts) for parts in split]
+        numbers = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), dtype=np.int32, count=sum(sizes))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
         flat = [np.frombuffer(b"".join([f[k] for f in found]), dtype=np.int32) for k in (0, 3, 1, 4)]
+        of_doc = lambda k: np.diff(np.concatenate([[0], np.cumsum(np.array([f[k] for f in found], dtype=np.int64)[numbers])])[starts])
         arrays = [flat[0], flat[1], np.cumsum(flat[2], dtype=np.int32), np.cumsum(flat[3], dtype=np.int32), np.cumsum([f[6] for f in found], dtype=np.int32)]
-        chunks = lists(pa.array(np.fromiter((n for x in numbers for n in x), dtype=np.int32)), list(map(len, numbers)))
-        fields = [pa.array(np.arange(key, key + len(split))), ids, pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), chunks]
+        fields = [pa.array(np.arange(key, key + len(split))), ids, pa.array(of_doc(2)), pa.array(of_doc(5)), lists(pa.array(numbers), sizes)]
         docs = pa.StructArray.from_arrays(fields, fields=[pa.field(f.name, to_arrow_type(f.dataType), f.nullable) for f in doc.fields])
         return pa.RecordBatch.from_arrays([lists(docs, [len(split)], schema["docs"].dataType), *(lists(pa.array(x), [len(x)]) for x in arrays)], names=schema.names)
 
@@ -162,16 +176,7 @@ def tokenised(df: DataFrame, left: str, right: str, text: str, row_id: str) -> D
                 while to < len(texts) and to - at < DOCS and (to == at or size + len(texts[to] or "") <= CHARS):
                     size += len(texts[to] or "")
                     to += 1
-                split = [both.chunks(t) for t in texts[at:to]]
-                distinct = set().union(*split)
-                if len(both.known) + len(distinct) > REMEMBERED:
-                    both.known.clear()
-                new = [c for c in distinct if c not in both.known]
-                both.learn(new)
-                yield made(batch.column(0).slice(at, to - at), split, key, both)
-                for c in new:
-                    if len(c) > LONGEST:
-                        del both.known[c]
+                yield made(batch.column(0).slice(at, to - at), [both.chunks(t) for t in texts[at:to]], key, both)
                 key, at = key + to - at, to
         trim()
 
