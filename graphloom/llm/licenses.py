@@ -29,7 +29,7 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 #: Label, words of the template (a licence's published header, grant or notice), its mandatory phrases.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["permission is hereby granted free of charge", "this software and associated documentation files"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ["permission is hereby granted free of charge"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ["permission is hereby granted free of charge", "to any person obtaining a copy"]),
     ("mit", "licensed under the mit license", ["mit license"]),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ["apache license version 2", "compliance with the license"]),
     ("apache-2", "licensed under the apache license version 2 0", ["apache license version 2"]),
@@ -50,6 +50,13 @@ TEMPLATES = [
     ("lgpl-3", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license", ["gnu lesser general public license", "version 3 of the license"]),
     ("lgpl-2.1", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license", ["gnu lesser general public license", "version 2 1 of the license"]),
     ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license", ["gnu affero general public license", "version 3 of the license"]),
+    ("agpl-3", "licensed under the gnu affero general public license version 3", ["gnu affero general public license version 3"]),
+    ("agpl-3", "licensed under the gnu affero general public license v3", ["gnu affero general public license v3"]),
+    ("gpl-3", "licensed under the gnu general public license v3", ["gnu general public license v3"]),
+    ("gpl-2", "licensed under the gnu general public license v2", ["gnu general public license v2"]),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ["creative commons attribution noncommercial sharealike 4 0"]),
+    ("cc-by-nc-nd", "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", ["creative commons attribution noncommercial noderivatives 4 0"]),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license", ["creative commons attribution noderivatives 4 0"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistribution and use in source and binary forms", "provided that the following conditions are met"]),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["mozilla public license v 2 0"]),
     ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license 2 0"]),
@@ -60,6 +67,12 @@ TEMPLATES = [
     ("wtfpl", "do what the fuck you want to public license", ["do what the fuck you want to"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
 ]
+#: Published identifiers, as words, and their labels. What follows one (only, or later) makes no difference.
+IDENTIFIERS = {
+    "mit": "mit", "apache 2 0": "apache-2", "gpl 2 0": "gpl-2", "gpl 3 0": "gpl-3", "lgpl 2 1": "lgpl-2.1", "lgpl 3 0": "lgpl-3", "agpl 3 0": "agpl-3", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd",
+    "mpl 2 0": "mpl-2", "epl 2 0": "epl-2", "isc": "isc", "bsl 1 0": "bsl-1", "zlib": "zlib", "unlicense": "unlicense", "wtfpl": "wtfpl", "cc0 1 0": "cc0", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc",
+}
+TEMPLATES += [(label, f"spdx license identifier {words}", [f"spdx license identifier {words}"]) for words, label in IDENTIFIERS.items()]
 
 
 def words_of(text: Column) -> Column:

@@ -1,15 +1,18 @@
 """URL filter (native): host and path rules, and association rules mined from labelled URLs.
 
 A URL's tokens are its host and parent domains, the host's first label, its path segments without digits, and its query
-keys. Over all labelled URLs, FP-growth finds the token combinations that occur with the label ``block`` in
-LEAST of the URLs, at any number of labels, at CONFIDENCE or more; a rule is pruned if a rule on fewer of its tokens is as
-confident. An inverted index (token to rules) matches rules to URLs: a rule holds where as many of its tokens are found as
-it has items. A URL is blocked by the longest fitting host and path rule, or without one if an association rule holds.
-
-What FP-growth sees is bounded, as a set of k tokens that occur together has 2^k subsets. Exact: tokens of fewer than
-LEAST blocked URLs are in no rule and left out, and tokens that stand in the very same labelled URLs (a host and its
-parents, the segments of one path) are one item, which is found where any of them is. By parameter: of a URL's items the TOKENS
-with the largest part of blocked URLs are mined (all of its tokens are matched), and a rule has SIZE items at most.
+keys. A rule is a set of at most SIZE tokens that occur with the label ``block`` in LEAST or more of the labelled URLs, at
+any number of labels, and in at least a part CONFIDENCE of all URLs that have them; a rule is pruned if one on fewer of its
+tokens is as confident. An inverted index (token to rules) matches rules to URLs: a rule holds where as many of its tokens
+are found as it has items. A URL is blocked by the longest fitting host and path rule, or without one if an association
+rule holds.
+
+Every count is over all tokens of all labelled URLs. What is mined is smaller without any loss: tokens of fewer than LEAST
+blocked URLs are in no rule; tokens that stand in the very same labelled URLs (a host and its parents, the segments of one
+path) are one item, which is found where any of them is; an item that is confident enough by itself is a rule, and holds
+wherever a longer one with it would, so only other items are combined. FP-growth finds the combinations. A set of k items
+has 2 ** k subsets, all of which it lists, so where a URL has more than ITEMS of them left, sets are grown by one item at a
+time up to SIZE instead, from the frequent ones that are no rule yet; both ways give the same rules.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and no tokens; labels that are null are
 left out; without labelled URLs no rule is mined; repeated rows each give a row; an empty table gives none; very long URLs
@@ -19,6 +22,7 @@ are matched whole; other columns stay, and one named as the result is replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -28,8 +32,8 @@ from .common import maybe_broadcast, written
 from .licenses import LOWER, UPPER
 
 LEAST, CONFIDENCE = 10, 0.5
-#: Items of a URL that are mined, and items of a rule.
-TOKENS, SIZE = 12, 4
+#: Items of a rule, and items of a URL whose subsets FP-growth lists.
+SIZE, ITEMS = 4, 14
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -71,9 +75,9 @@ def tokens_of(url: Column) -> Column:
     return F.when(F.contains(F.coalesce(url, F.lit("")), F.lit("://")), F.array_distinct(F.concat(named, parents, segments, keys))).otherwise(F.array().cast("array<string>"))
 
 
-def items_of(labelled: DataFrame, url: str = "url", block: str = "block", least: int = LEAST, tokens: int = TOKENS) -> tuple[DataFrame, DataFrame]:
-    """(block, items): of each labelled URL the items that are mined; and (token, item): the tokens of each item. See the head
-    of this module."""
+def items_of(labelled: DataFrame, url: str = "url", block: str = "block", least: int = LEAST, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """(row, block, items): of each labelled URL the items that are combined, in order; and (token, item, part, n): the tokens
+    of each item, the part of its URLs that is blocked, and how many it has. See the head of this module."""
     known = labelled.where(F.col(block).isNotNull()).select(F.col(block).alias("block"), tokens_of(F.col(url)).alias("tokens"))
     known = written(known.withColumn("row", F.monotonically_increasing_id()), "labelled")
     rows = known.select("row", "block", F.explode("tokens").alias("token"))
@@ -83,24 +87,48 @@ def items_of(labelled: DataFrame, url: str = "url", block: str = "block", least:
     sums = written(sums.select("token", F.xxhash64("set").alias("key"), "set.n", (F.col("blocked") / F.col("set.n")).alias("part")), "tokens")
     first = sums.groupBy("key").agg(F.min("token").alias("item"))
     classes = written(sums.join(first, "key").select("token", "item", "part", "n"), "items")
-    best = F.sort_array(F.collect_list(F.struct((-F.col("part")).alias("p"), (-F.col("n")).alias("n"), "item")))
-    one = rows.join(classes.where("token = item"), "token").groupBy("row")
-    some = one.agg(F.transform(F.slice(best, 1, tokens), lambda x: x["item"]).alias("items"))
-    none = F.array().cast("array<string>")
-    return known.select("row", "block").join(some, "row", "left").select("block", F.coalesce("items", none).alias("items")), classes.select("token", "item")
+    one = rows.join(classes.where((F.col("token") == F.col("item")) & (F.col("part") < confidence)), "token")
+    some = one.groupBy("row").agg(F.first("block").alias("block"), F.array_sort(F.collect_list("item")).alias("items"))  # at most a URL's tokens
+    return written(some, "combined"), classes
 
 
-def mine(labelled: DataFrame, url: str = "url", block: str = "block", least: int = LEAST, confidence: float = CONFIDENCE, tokens: int = TOKENS, size: int = SIZE) -> DataFrame:
-    """(rule, token, item, size): the kept rules, a row for each token of each item. labelled: URLs and a boolean column
-    block."""
-    some, classes = items_of(labelled, url, block, least, tokens)
-    items = written(some.select(F.concat("items", F.array(F.when(F.col("block"), F.lit("label:block")).otherwise(F.lit("label:allow")))).alias("items")), "items")
+def mined(some: DataFrame, least: int, confidence: float, size: int) -> DataFrame:
+    """(tokens, confidence): the rules of two items or more, by FP-growth over all subsets of a URL's items."""
+    label = F.when(F.col("block"), F.lit("label:block")).otherwise(F.lit("label:allow"))
+    items = written(some.select(F.array_append("items", label).alias("items")), "items")
     # a little less, as FP-growth rounds the count up
     support = min(1.0, max(0.0, least - 0.5) / max(1, items.count()))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit("label:block"))).where(~F.exists("antecedent", lambda x: x.startswith("label:")))
-    rules = rules.where(F.size("antecedent") <= size)
-    rules = written(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence").withColumn("rule", F.xxhash64("tokens")), "rules")
+    sets = FPGrowth(itemsCol="items", minSupport=support).fit(items).freqItemsets
+    sets = written(sets.select(F.filter("items", lambda x: ~x.startswith("label:")).alias("tokens"), F.array_contains("items", "label:block").alias("block"), F.exists("items", lambda x: x.startswith("label:")).alias("label"), "freq"), "sets")
+    sets = sets.where(F.size("tokens").between(2, size)).withColumn("tokens", F.array_sort("tokens"))
+    both = sets.where("block").select("tokens", F.col("freq").alias("hits")).join(sets.where("NOT label").select("tokens", "freq"), "tokens")
+    part = F.col("hits") / F.col("freq")
+    return both.where((F.col("hits") >= least) & (part >= confidence)).select("tokens", part.alias("confidence"))
+
+
+def grown(some: DataFrame, least: int, confidence: float, size: int) -> DataFrame:
+    """The same rules, sets one item larger at a time: each URL's frequent sets that are no rule, with each later item."""
+    items = some.select("row", "block", F.explode("items").alias("item"))
+    sets = items.select("row", "block", F.array("item").alias("tokens"))
+    found: list[DataFrame] = []
+    for _ in range(2, size + 1):
+        larger = sets.join(items.select("row", "item"), "row").where(F.col("item") > F.element_at("tokens", -1))
+        larger = written(larger.select("row", "block", F.array_append("tokens", F.col("item")).alias("tokens")), "larger")
+        sums = larger.groupBy("tokens").agg(F.count_if("block").alias("hits"), F.count("*").alias("n")).where(F.col("hits") >= least)
+        sums = written(sums.select("tokens", (F.col("hits") / F.col("n")).alias("confidence")), "sums")
+        found.append(sums.where(F.col("confidence") >= confidence))
+        sets = larger.join(sums.where(F.col("confidence") < confidence).select("tokens"), "tokens", "left_semi")
+    return reduce(DataFrame.unionAll, found)
+
+
+def mine(labelled: DataFrame, url: str = "url", block: str = "block", least: int = LEAST, confidence: float = CONFIDENCE, size: int = SIZE, items: int = ITEMS) -> DataFrame:
+    """(rule, token, item, size): the kept rules, a row for each token of each item. labelled: URLs and a boolean column
+    block."""
+    some, classes = items_of(labelled, url, block, least, confidence)
+    single = classes.where((F.col("token") == F.col("item")) & (F.col("part") >= confidence)).select(F.array("item").alias("tokens"), F.col("part").alias("confidence"))
+    many = mined if (some.agg(F.max(F.size("items"))).first()[0] or 0) <= items else grown
+    rules = single.unionAll(many(some, least, confidence, size)) if size > 1 else single
+    rules = written(rules.withColumn("rule", F.xxhash64("tokens")), "rules")
     # a rule on fewer tokens that is as confident makes a longer one needless: each asks for its own subsets
     bit = lambda i: F.call_function("shiftleft", F.lit(1), i)
     parts = F.sequence(F.lit(1), bit(F.size("tokens")) - 2)

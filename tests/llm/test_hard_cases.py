@@ -143,7 +143,7 @@ def test_copies_of_a_long_url(spark):
     train = [(long, True)] * 1000 + [(f"http://s{k % 7}.org/{'/'.join('pqrstuvw'[j] * (1 + (k >> j & 1)) for j in range(8))}", k % 3 == 0) for k in range(1000)]
     df = spark.createDataFrame(train, "url string, block boolean")
     items, classes = url_rules.items_of(df)
-    assert items.agg(F.max(F.size("items"))).first()[0] <= url_rules.TOKENS
+    assert items.agg(F.max(F.size("items"))).first()[0] <= 20  # the long URL's item is a rule by itself and is not combined
     assert classes.groupBy("item").count().agg(F.max("count")).first()[0] > 60  # the long URL's tokens are one item
     pages = spark.createDataFrame([(0, long), (1, "http://x.bad.info/q"), (2, "http://s1.org/none")], "page_id long, url string")
     got = {r["page_id"]: r["filter"]["verdict"] for r in url_rules.judge(pages, df).collect()}
@@ -173,6 +173,48 @@ def test_mined_rules_against_enumeration(spark):
     assert got == blocked and 0 < len(blocked) < len(tokens)
 
 
+def enumerated(rows, tokens, size):
+    """The URLs that a rule holds for, of all combinations of the tokens of blocked URLs."""
+    rules = set()
+    for k in range(1, size + 1):
+        for some in {c for u, b in rows if b for c in itertools.combinations(sorted(tokens[u]), k)}:
+            hits = [b for u, b in rows if tokens[u] >= set(some)]
+            if sum(hits) >= url_rules.LEAST and sum(hits) >= 0.5 * len(hits):
+                rules.add(frozenset(some))
+    return {u for u, t in tokens.items() if any(t >= s for s in rules)}
+
+
+def test_a_token_behind_twelve_purer_ones(spark):
+    """Every token of a URL counts: one that is blocked in 20 of 35 URLs is a rule, though ten of these have twelve purer tokens."""
+    pure = "/".join(f"p{chr(97 + k)}x" for k in range(12))
+    rows = [(f"http://a{k}.org/{pure}/late", True) for k in range(10)] + [(f"http://b{k}.org/{pure.split('/')[k]}", True) for k in range(12)]
+    rows += [(f"http://c{k}.org/late", True) for k in range(10)] + [(f"http://d{k}.org/late", False) for k in range(15)]
+    df = spark.createDataFrame(rows, "url string, block boolean")
+    page = spark.createDataFrame([(1, "http://new.net/late")], "page_id long, url string")
+    assert url_rules.judge(page, df, rules=[]).first()["filter"]["verdict"] == "block"
+
+
+def test_urls_of_twenty_items(spark):
+    """No item of a URL is passed over, by either way of combining."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(150):
+        some = rng.sample("abcdefghijklmnopqrstuvwxyz", rng.choice([3, 5, 20]))
+        rows.append((f"http://h.org/{'/'.join(some)}", rng.random() < (0.9 if {"a", "b"} <= set(some) else 0.3)))
+    df = spark.createDataFrame(rows, "url string, block boolean")
+    tokens = {r["url"]: set(r["t"]) for r in df.select("url", url_rules.tokens_of(F.col("url")).alias("t")).distinct().collect()}
+    want = enumerated(rows, tokens, 2)
+    pages = df.select("url").distinct()
+    for items in (0, 30):
+        index = url_rules.mine(df, size=2, items=items if items == 0 else 14)
+        assert {r[0] for r in url_rules.matched(pages, index).collect()} == want
+    few = df.where("length(url) < 25")
+    ways = [{(tuple(r["tokens"]), round(r["confidence"], 9)) for r in f(url_rules.items_of(few, least=3)[0], 3, 0.5, 4).collect()} for f in (url_rules.mined, url_rules.grown)]
+    singles = [{t for t, _ in w} for w in ways]
+    # growing stops at a rule; what FP-growth lists beyond has a shorter rule in it
+    assert ways[1] <= ways[0] and all(any(set(s) <= set(t) for s in singles[1]) for t in singles[0]) and ways[1]
+
+
 def test_warc_members_piece_by_piece(monkeypatch):
     rng = random.Random(2)
     blocks = [rng.randbytes(n) for n in (0, 1, 70_000, 5, 300_000)]
