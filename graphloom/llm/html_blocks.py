@@ -21,13 +21,19 @@ _BLOCK = frozenset(
 )
 _SILENT = frozenset("script style noscript template nav footer aside form button select option textarea input iframe svg canvas object dialog menu head title datalist audio video map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-#: Words of class and id names. The second kind counts only outside names that speak of an article.
+#: Words of class and id names. A name counts if all its words are of these sets and at least one of the first three; so
+#: has-sidebar and share-price say nothing. The second kind counts only where no name speaks of an article.
 _ALWAYS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr share sharing social related recommended comment comments disqus reply replies respond newsletter subscribe subscription popup modal overlay toolbar pagination pager footer copyright disclaimer login signup".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr share sharing social newsletter subscribe subscription popup modal overlay toolbar pagination pager footer copyright disclaimer login signup".split()
 )
+#: What is about other articles or by readers; an article in it is one of theirs.
+_OTHERS = frozenset("comment comments disqus reply replies respond related recommended".split())
 _MAYBE = frozenset("header banner notice notices alert masthead widget widgets legal form search skip teaser".split())
+_NEUTRAL = frozenset("area bar block bottom box button buttons container fixed global group icon icons inner item items left link links list main middle mobile outer page post posts primary right row secondary section site slot sticky thread top unit wrap wrapper".split())
 _ARTICLE = frozenset("article post entry content main story body text".split())
 _NAME = re.compile(r"[a-z]+")
+#: Elements that silence all in them; the others of _SILENT, and names, silence what is not inside an article of theirs.
+_CLOSED = _SILENT - {"aside", "form", "dialog", "menu"}
 #: Elements whose own text is the prose of an article.
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption".split())
 
@@ -38,6 +44,7 @@ class Element:
     silent: bool
     article: bool
     prose: bool = False
+    closed: bool = False  # silent for an article in it as well
 
 
 @dataclass
@@ -52,16 +59,28 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTRIBUTE.finditer(text)}
 
 
+def _words(names: str) -> tuple[set[str], set[str]]:
+    """The words of those class or id names that consist of known words, and the words of all names."""
+    every = [set(_NAME.findall(n)) for n in names.lower().split()]
+    known = [w for w in every if w <= _ALWAYS | _OTHERS | _MAYBE | _NEUTRAL]
+    return set().union(*known), set().union(*every)
+
+
 def _open(tag: str, text: str, parent: Element) -> Element:
-    silent, article = parent.silent or tag in _SILENT, parent.article or tag in ("article", "main")
+    starts = tag in ("article", "main")
+    own, closed = tag in _SILENT, parent.closed or tag in _CLOSED
     if "=" in text or "hidden" in text:
         a = _attributes(text)
         role = a.get("role", "").lower()
-        names = set(_NAME.findall(f"{a.get('class', '')} {a.get('id', '')}".lower()))
-        article |= role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody"
+        names, every = _words(f"{a.get('class', '')} {a.get('id', '')}")
+        starts |= role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody"
         if tag not in ("html", "body"):
-            silent |= role in _ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(names & _ALWAYS) or bool(names & _MAYBE and not names & _ARTICLE)
-    return Element(tag, silent or (tag == "header" and not article), article, tag in _PROSE or tag not in _BLOCK and parent.prose)
+            own |= role in _ROLES or bool(names & (_ALWAYS | _OTHERS)) or bool(names & _MAYBE and not every & _ARTICLE)
+            closed |= bool(names & _OTHERS) or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+    article = parent.article or starts
+    # an article's beginning ends the silence of a box around it
+    silent = closed or own or parent.silent and not (starts and not parent.article)
+    return Element(tag, silent or (tag == "header" and not article), article, tag in _PROSE or tag not in _BLOCK and parent.prose, closed)
 
 
 def blocks(page: str | None) -> list[Block]:

@@ -8,8 +8,10 @@ prose that an article shares with the next page's (its own paragraphs, headings,
 boxes that differ on every page, such as adverts and readers' comments (elements, roles and names that say so are
 deleted). If the page marks an article, only lines in it are text; without one all lines that are left are.
 
-The partner must be another page: a neighbour that shares more than COPY of the characters that may be text is a copy, and
-the other neighbour takes its place; between copies nothing is deleted.
+The partner must be another page, not a copy of this one. A template is on the other neighbour as well, a copy's own lines
+are not: of the text that the other neighbour lacks, a partner that shares more than COPY is a copy, and the other neighbour
+takes its place. Where the other neighbour lacks nothing of the page, or there is none, a partner is a copy if it has
+all of the page's text. A page between copies keeps its text. So the share of the template makes no difference.
 
 Pages are dealt by ranges of URLs before they are parsed, once each, so a host of any size is cut into many tasks. A page
 at the edge of a task meets its neighbour in an equi-join of the tasks' numbers, two rows a task.
@@ -34,7 +36,7 @@ from .common import add_column
 from .html_blocks import blocks
 from .url_rules import host_of, path_of
 
-#: A neighbour that shares more than this part of a page's characters is a copy of it.
+#: A neighbour that shares more than this part of the characters that the other neighbour lacks is a copy of the page.
 COPY = 0.8
 #: A partner, or what a page needs of itself to be compared: its path and hashed lines.
 SIDE = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("lines", T.ArrayType(T.LongType(), False))])
@@ -101,12 +103,20 @@ def nearest(path: str, sides: list[dict | None], host: str) -> list[dict]:
 
 
 def difference(row: dict, partners: list[dict]) -> dict:
-    """The page's text, its length, and how many of its lines were deleted because its partner, the first that is no copy,
-    has them too."""
+    """The page's text, its length, and how many of its lines that may be text were deleted because its partner, the first that
+    is no copy, has them too."""
     size = {k: len(t) for k, t in zip(row["at"], row["texts"], strict=True)}
-    found = (shared(row["lines"], p["lines"]) for p in partners)
-    both = next((d for d in found if sum(size.get(k, 0) for k in d) <= COPY * sum(size.values())), set())
-    deleted = both - {k for k, prose in zip(row["at"], row["prose"], strict=True) if prose}
+    both = [size.keys() & shared(row["lines"], p["lines"]) for p in partners]
+    chars = lambda places: sum(size[k] for k in places)
+
+    def copy(n: int) -> bool:
+        lacking = size.keys() - both[1 - n] if len(both) > 1 else set()
+        if lacking:
+            return chars(lacking & both[n]) > COPY * chars(lacking)
+        return both[n] == size.keys()
+
+    found = next((d for n, d in enumerate(both) if not copy(n)), set())
+    deleted = found - {k for k, prose in zip(row["at"], row["prose"], strict=True) if prose}
     text = "\n".join(t for k, t in zip(row["at"], row["texts"], strict=True) if k not in deleted)
     return {"text": text, "n_chars": len(text), "n_shared": len(deleted)}
 
