@@ -18,6 +18,7 @@ columns other than the id and the text are not looked at.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -38,14 +39,14 @@ CAPACITY, END = 4096, 1
 #: Lengths above such a part of the capacity are large, and make so many groups; the fewest sequences win.
 TRIED = ((2, 8), (2, 16), (4, 16), (4, 64), (8, 8), (8, 16), (8, 32), (8, 64))
 #: Words whose ids a worker remembers, and bytes of one of them; others are encoded each time.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 800_000, 64
 #: Documents that a worker encodes together.
 ROWS = 500
 
 
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers. The vocabulary drops white space, and no token reaches over it,
-    so words between ASCII white space are encoded by the library one by one, and remembered."""
+    so texts are made of the ids of their words between ASCII white space, which are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,36 +54,42 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(1 + max(vocabulary.values()), dtype=bool)  # ids that end a pre-token
+        self.last[[k for t, k in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Words of common characters are cut into pre-tokens first, which are remembered as well; in others a special token may
-        stand, or a character whose class the library alone knows."""
+    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words of common characters are encoded as one text, and cut after as many pre-tokens as each has; in others a special
+        token may stand, or a character whose class the library alone knows."""
         texts = [w.decode("utf-8") for w in words]
-        cut = [None if "<" in t or NOT_PLAIN.search(t) else PRE_TOKENS.findall(t.lower()) for t in texts]
-        pieces = self.pieces
-        if len(pieces) > REMEMBERED:
-            pieces.clear()
-        new = list(set().union(*filter(None, cut)).difference(pieces))
-        pieces.update(zip(new, self.library_ids(new), strict=True))
-        whole = iter(self.library_ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(map(pieces.__getitem__, c)) for c in cut]
-
-    def library_ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        plain = [k for k, t in enumerate(texts) if "<" not in t and not NOT_PLAIN.search(t)]
+        out: dict[bytes, bytes] = {}
+        if plain:
+            ids = np.array(self.library.encode_batch_fast([" ".join([texts[k] for k in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            cuts = np.cumsum([len(PRE_TOKENS.findall(texts[k].lower())) for k in plain])
+            if len(ends) == cuts[-1]:
+                to, raw = (4 * ends[cuts - 1]).tolist(), ids.tobytes()
+                out = {words[k]: raw[a:b] for k, a, b in zip(plain, [0, *to], to)}  # noqa: B905
+        rest = [k for k, w in enumerate(words) if w not in out]
+        for k, e in zip(rest, self.library.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[words[k]] = np.array(e.ids, dtype="<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8").split() for t in texts]
         words = set().union(*split)
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.encode_words(new), strict=True))
-        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
+        known = self.known
+        new = [w for w in words if w not in known]
+        known.update(self.encode_words(new))
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
         for w in new:
             if len(w) > LONGEST:
-                del self.known[w]
+                del known[w]
         return out
 
 
