@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphloom.functions import extract
-from graphloom.operators import ingest
+from graphloom.operators import ingest, intel
 from graphloom.sources import repository
 
 FILES = {
@@ -64,6 +64,39 @@ def test_repository(spark, tmp_path):
     assert ingest.file_nodes(files).where("extension = 'ts'").count() == 3
 
 
+def test_references_across_languages(spark):
+    """Each kind of reference, over line ends too; not to files of the same language, unknown ones, or plain mentions."""
+    rows = [
+        ("src/run.ts", "TypeScript", "import x;\nexecSync('python scripts/process.py');\nspawn('node',\n  ['tools/build.js']);\nconst s = `ruby lib/a.rb`;\n// see scripts/other.py"),
+        ("src/orch.py", "Python", "import subprocess\nsubprocess.run(['node', 'tools/build.js'])\nos.system('go run cmd/server.go')\nx = 'bin/tool.js'\nPopen(['python', 'scripts/process.py'])"),
+        ("cmd/server.go", "Go", 'func f() { exec.Command("python", "scripts/process.py") }\nvar p = "scripts/other.py"'),
+        ("src/m.rs", "Rust", 'Command::new("python").arg("scripts/process.py")'),
+        ("src/M.java", "Java", 'Runtime.getRuntime().exec("python scripts/process.py");\nnew ProcessBuilder("node", "tools/build.js");'),
+        ("src/p.php", "PHP", "shell_exec('python scripts/process.py');"),
+        ("src/c.cs", "C#", 'Process.Start("python", "scripts/process.py");'),
+        ("Makefile", "Unknown", "all:\n\tpython scripts/process.py\n\t./bin/tool.js\n\tbash ops/deploy.sh"),
+        ("src/sh.ts", "TypeScript", "const cmd = '../ops/deploy.sh'"),
+        *((p, lang, "") for p, lang in [("scripts/process.py", "Python"), ("scripts/other.py", "Python"), ("tools/build.js", "JavaScript"), ("bin/tool.js", "JavaScript"), ("lib/a.rb", "Ruby"), ("ops/deploy.sh", "Shell")]),
+        ("src/none.ts", "TypeScript", None),
+    ]
+    got = {(r["src"], r["dst"]): (r["reason"], r["line"]) for r in ingest.cross_language(spark.createDataFrame(rows, "path string, language string, content string")).collect()}
+    assert got == {
+        ("src/run.ts", "scripts/process.py"): ("exec", 2), ("src/run.ts", "tools/build.js"): ("spawn", 4), ("src/run.ts", "lib/a.rb"): ("script in a string", 5),
+        ("src/orch.py", "tools/build.js"): ("subprocess", 2), ("src/orch.py", "cmd/server.go"): ("os.system", 3), ("src/orch.py", "bin/tool.js"): ("script path", 4),
+        ("cmd/server.go", "scripts/process.py"): ("exec.Command", 1), ("cmd/server.go", "scripts/other.py"): ("script path", 2), ("src/m.rs", "scripts/process.py"): ("Command", 1),
+        ("src/M.java", "scripts/process.py"): ("Runtime.exec", 1), ("src/M.java", "tools/build.js"): ("ProcessBuilder", 2), ("src/p.php", "scripts/process.py"): ("shell", 1), ("src/c.cs", "scripts/process.py"): ("Process.Start", 1),
+        ("Makefile", "scripts/process.py"): ("build file", 2), ("Makefile", "bin/tool.js"): ("build file", 3), ("Makefile", "ops/deploy.sh"): ("build file", 4), ("src/sh.ts", "ops/deploy.sh"): ("shell script", 1),
+    }
+
+
+def test_files_that_hold_no_code(spark):
+    no = ["a/x.test.ts", "x.spec.py", "package.json", "a/Dockerfile", ".env", "a/.env.local", ".prettierrc.json", ".eslintrc", "tsconfig.json", "tsconfig.base.json", "jest.config.mjs", "README.md", "a/logo.SVG", "go.sum", "types/x.d.ts", "yarn.lock"]
+    yes = ["a/x.ts", "src/environment.ts", "testing.py", "a/config.ts", "d.ts", "my.package.json5", "latest/test/x.go", "sitemap.ts"]
+    df = spark.createDataFrame([(x,) for x in [*no, *yes, None]], "path string")
+    got = {r["path"] for r in df.where(intel.code_only(F.col("path"))).collect()}
+    assert got == {*yes, None}
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("a/./b/../c",), ("../x",), ("a/../../x",), ("a//b/",)], "p string")
     assert [r[0] for r in df.select(ingest.normal(F.col("p"))).collect()] == ["a/c", None, None, "a/b"]
