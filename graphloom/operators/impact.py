@@ -24,7 +24,8 @@ def _call_rows(g: Graph, roots: DataFrame, depth: int, limit: int) -> DataFrame:
     """Inbound call paths as paths of owners: equal neighbours collapsed, the root last."""
     entry = entries(g, roots)
     # paths start at the affected function; one expansion serves all entry functions, then roots come back by a join
-    paths = expand(g.keyed("CALLS"), entry.select("id").distinct(), depth, "in").withColumnRenamed("root", "entry")
+    # a root's first paths are among the first ones of each of its entries
+    paths = expand(g.keyed("CALLS"), entry.select("id").distinct(), depth, "in", per_root=limit).withColumnRenamed("root", "entry")
     paths = paths.join(entry.select(F.col("root"), F.col("id").alias("entry")), "entry")
     key = F.array_join("node_ids", ">")
     order = Window.partitionBy("root").orderBy("hops", key, F.array_join("edge_keys", ">"))

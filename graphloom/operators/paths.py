@@ -1,6 +1,7 @@
-"""Path operators: bounded trails, their reductions, cycles and reachability.
+"""Path operators: bounded trails, their reductions, components, cycles and reachability.
 
-A trail repeats no edge, but may repeat nodes. Every level is one equi-join of narrow rows; many roots share a plan.
+A trail repeats no edge, but may repeat nodes. Every level is one equi-join of narrow rows; many roots share a plan. A cap
+bounds what is built, not only what is returned: see first_trails().
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ def expand(edges: DataFrame, roots: DataFrame, max_hops: int = MAX_DEPTH, direct
     """All trails from the roots (column id) along edges (src, type, dst, key). simple: inner nodes are not repeated, a
     return to the root ends a trail. per_root: as many shortest trails of each root, whole levels first."""
     check("max_hops", max_hops, 1, 10)
-    if direction not in ("out", "in"):
-        raise ValueError("direction must be out or in")
-    a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    steps = edges.select(F.col(a).alias("s_"), F.col(b).alias("d_"), F.col("type").alias("t_"), F.col("key").alias("k_"))
+    if per_root and not simple and min_hops == 1:
+        return first_trails(edges, roots, max_hops, direction, per_root)
+    steps = _steps(edges, direction)
     empty = F.array().cast("array<string>")
     level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("hops"), F.array("id").alias("node_ids"), empty.alias("rel_types"), empty.alias("edge_keys"))
     levels = []
@@ -39,6 +39,43 @@ def expand(edges: DataFrame, roots: DataFrame, max_hops: int = MAX_DEPTH, direct
     return capped(out, per_root) if per_root else out
 
 
+def _steps(edges: DataFrame, direction: str) -> DataFrame:
+    if direction not in ("out", "in"):
+        raise ValueError("direction must be out or in")
+    a, b = ("src", "dst") if direction == "out" else ("dst", "src")
+    return edges.select(F.col(a).alias("s_"), F.col(b).alias("d_"), F.col("type").alias("t_"), F.col("key").alias("k_"))
+
+
+def first_steps(edges: DataFrame, direction: str, most: int) -> DataFrame:
+    """Each node's first edges, by the node they lead to and their key. Spark keeps that many of each node in each partition
+    before it shuffles them, so a hub's edges are not brought together."""
+    order = Window.partitionBy("s_").orderBy("d_", "k_")
+    return _steps(edges, direction).withColumn("place_", F.row_number().over(order)).where(F.col("place_") <= most).drop("place_")
+
+
+def first_trails(edges: DataFrame, roots: DataFrame, max_hops: int, direction: str, most: int) -> DataFrame:
+    """Each root's first trails by hops, then by text, as capped() of all trails has them, with no more than most trails of a
+    root and level kept and (most + max_hops) * most built.
+
+    A root's room is what its shorter trails leave of the cap: where a level fills it, that level is cut by text and the root
+    goes no further; so all trails that are gone on from are in the result, fewer than most. Of those that go on from one
+    trail, the first ones by text take its node's first edges, but for at most max_hops that the trail has already."""
+    steps = written(first_steps(edges, direction, most + max_hops), "steps")
+    empty = F.array().cast("array<string>")
+    live = roots.select(F.col("id").alias("root")).distinct().select("root", F.col("root").alias("node"), F.array("root").alias("node_ids"), empty.alias("rel_types"), empty.alias("edge_keys"), F.lit(most).alias("room"))
+    whole = Window.partitionBy("root")
+    order = whole.orderBy(F.array_join("node_ids", ">"), F.array_join("edge_keys", ">"))
+    levels = []
+    for hops in range(1, max_hops + 1):
+        new = live.join(steps, F.col("node") == F.col("s_")).where(~F.array_contains("edge_keys", F.col("k_")))
+        new = new.select("root", F.col("d_").alias("node"), F.array_append("node_ids", F.col("d_")).alias("node_ids"), F.array_append("rel_types", F.col("t_")).alias("rel_types"), F.array_append("edge_keys", F.col("k_")).alias("edge_keys"), "room")
+        kept = new.withColumn("place", F.row_number().over(order)).where((F.col("place") <= most) & (F.col("place") <= F.col("room")))
+        level = kept.withColumn("n", F.count("*").over(whole))
+        levels.append(level.select("root", "node", F.lit(hops).alias("hops"), "node_ids", "rel_types", "edge_keys"))
+        live = level.where(F.col("room") > F.col("n")).select("root", "node", "node_ids", "rel_types", "edge_keys", (F.col("room") - F.col("n")).cast("int").alias("room"))
+    return reduce(DataFrame.unionAll, levels)
+
+
 def capped(paths: DataFrame, most: int) -> DataFrame:
     """Each root's first paths by hops, then by text."""
     order = Window.partitionBy("root").orderBy("hops", F.array_join("node_ids", ">"), F.array_join("edge_keys", ">"))
@@ -99,24 +136,97 @@ def of_labels(found: DataFrame, inside: DataFrame, nodes: DataFrame, labels: lis
 
 
 def neighbourhood(edges: DataFrame, root: DataFrame, depth: int = 2, nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, hops), root first and nearest first up to a cap, and the edges between them."""
+    """Nodes (id, hops) that are reached by the edges' direction or against it, root first and nearest first up to a cap, and the
+    edges between them. Distances come from frontiers, so a hub costs its edges, and the cap is on nodes alone."""
     check("nodes", nodes, 1, MAX_NODES)
-    paths = min(4 * nodes, 1000)
-    both = [nearest(expand(edges, root, depth, d, per_root=paths)) for d in ("out", "in")]
-    reached = both[0].unionAll(both[1]).where("node <> root").groupBy("node").agg(F.min("hops").alias("hops")).select(F.col("node").alias("id"), "hops")
+    both = distances(edges, root, depth, "out").unionAll(distances(edges, root, depth, "in"))
+    reached = both.where("node <> root").groupBy("node").agg(F.min("hops").alias("hops")).select(F.col("node").alias("id"), "hops")
     found = root.select("id", F.lit(0).alias("hops")).unionAll(reached).orderBy("hops", "id").limit(nodes)
     ids = found.select("id")
     inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return found, inside.select("src", "type", "dst")
 
 
+def trimmed(edges: DataFrame, enough: float = 0.9) -> DataFrame:
+    """Edges (src, dst) without those that start where none ends or end where none starts, again and again while that takes a
+    good part of them; what is left of such edges does no harm."""
+    while True:
+        before = edges.count()
+        starts, ends = edges.select("src").distinct(), edges.select(F.col("dst").alias("src")).distinct()
+        kept = edges.join(ends, "src", "left_semi").join(starts.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
+        edges = written(kept, "trimmed")
+        after = edges.count()
+        if not after or after > enough * before:
+            return edges
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the strongly connected components of two nodes or more, named by their largest id.
+
+    Each round colours a node with the largest id that reaches it, by frontiers of nodes whose colour has grown; the nodes
+    that reach the one their colour is named by, inside the colour, are its component. Edges between colours and those of
+    found components go, the rest is trimmed, and the next round begins. A round takes as many steps as the longest of the
+    shortest ways; each writes narrow rows of ids."""
+    rest = trimmed(written(edges.where("src <> dst").select("src", "dst").distinct(), "links"))
+    found = rest.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    while not rest.isEmpty():
+        nodes = rest.select(F.col("src").alias("id")).unionAll(rest.select("dst")).distinct()
+        colours = frontier = written(nodes.select("id", F.col("id").alias("colour")), "colours")
+        while True:
+            sent = frontier.join(rest, F.col("id") == F.col("src")).groupBy("dst").agg(F.max("colour").alias("sent"))
+            grown = F.coalesce(F.col("sent") > F.col("colour"), F.lit(False))
+            colours = written(colours.join(sent, F.col("id") == F.col("dst"), "left").select("id", F.when(grown, F.col("sent")).otherwise(F.col("colour")).alias("colour"), grown.alias("grown")), "colours")
+            frontier = colours.where("grown").select("id", "colour")
+            if frontier.isEmpty():
+                break
+        of = colours.select("id", "colour")
+        same = rest.join(of.select(F.col("id").alias("src"), "colour"), "src").join(of.select(F.col("id").alias("dst"), F.col("colour").alias("c2")), "dst").where("colour = c2")
+        rest = written(same.select("src", "dst"), "links")
+        backward = reached_from(rest, of.where("id = colour").select("id"), "in", of)
+        whole = backward.withColumn("n", F.count("*").over(Window.partitionBy("component"))).where("n > 1").select("id", "component")
+        found = written(found.unionAll(whole), "components")
+        gone = backward.select("id")
+        rest = rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        rest = trimmed(written(rest.select("src", "dst"), "links"))
+    return found
+
+
+def reached_from(edges: DataFrame, roots: DataFrame, direction: str, of: DataFrame) -> DataFrame:
+    """(id, component): the nodes that are reached from the roots, the roots too, and their colours. No edge of edges (src, dst)
+    leads from one colour to another."""
+    a, b = {"out": ("src", "dst"), "in": ("dst", "src")}[direction]
+    steps = edges.select(F.col(a).alias("s_"), F.col(b).alias("d_"))
+    seen = frontier = written(roots, "seen")
+    while True:
+        new = frontier.join(steps, F.col("id") == F.col("s_")).select(F.col("d_").alias("id")).distinct()
+        frontier = written(new.join(seen, "id", "left_anti"), "frontier")
+        if frontier.isEmpty():
+            return written(seen.join(of, "id").select("id", F.col("colour").alias("component")), "reached")
+        seen = seen.unionAll(frontier)
+
+
 def cycles(edges: DataFrame, max_hops: int = 6, limit: int | None = None) -> DataFrame:
-    """Simple cycles of two hops or more, one for each set of members: signature, members in cycle order, length."""
-    roots = edges.select(F.col("src").alias("id")).distinct()
-    closed = expand(edges, roots, max_hops, min_hops=2, simple=True).where("node = root")
-    members = closed.withColumn("members", F.slice("node_ids", 1, F.col("hops"))).withColumn("signature", F.array_join(F.array_sort("members"), "|"))
-    order = Window.partitionBy("signature").orderBy(F.array_join("members", ">"))
-    out = members.withColumn("n", F.row_number().over(order)).where("n = 1").select("signature", "members", F.col("hops").alias("length"))
+    """Simple cycles of two hops or more, one for each set of members: signature, members in cycle order, length.
+
+    Only edges inside strongly connected components are walked, and a cycle is found once, from the member whose id comes
+    first, as no way goes on through an earlier one."""
+    check("max_hops", max_hops, 1, 10)
+    of = components(edges)
+    links = edges.where("src <> dst").select("src", "dst").distinct()
+    inside = links.join(of.select(F.col("id").alias("src"), "component"), "src").join(of.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst")
+    steps = written(inside.where("component = c2").select(F.col("src").alias("s_"), F.col("dst").alias("d_")), "steps")
+    # ids in the order of the joined text, in which a > follows each
+    named = lambda c: F.concat(c, F.lit(">"))
+    level = steps.where(named(F.col("d_")) > named(F.col("s_"))).select(F.col("s_").alias("root"), F.col("d_").alias("node"), F.array("s_", "d_").alias("members"))
+    closed = []
+    for hops in range(2, max_hops + 1):
+        new = level.join(steps, F.col("node") == F.col("s_"))
+        closed.append(new.where(F.col("d_") == F.col("root")).select("members", F.lit(hops).alias("hops")))
+        new = new.where((named(F.col("d_")) > named(F.col("root"))) & ~F.array_contains("members", F.col("d_")))
+        level = new.select("root", F.col("d_").alias("node"), F.array_append("members", F.col("d_")).alias("members"))
+    found = reduce(DataFrame.unionAll, closed) if closed else level.select("members", F.lit(0).alias("hops")).limit(0)
+    signed = found.groupBy(F.array_join(F.array_sort("members"), "|").alias("signature")).agg(F.min_by(F.struct("members", "hops"), F.array_join("members", ">")).alias("first"))
+    out = signed.select("signature", "first.members", F.col("first.hops").alias("length"))
     return out.orderBy("length", "signature").limit(limit) if limit else out
 
 

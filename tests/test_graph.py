@@ -1,5 +1,7 @@
 """Goldens on hand-made graphs, rules of order and naming, and properties of path operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +122,60 @@ def test_cycles_are_simple_and_once_a_member_set(spark):
     assert got == {"a|b|c": (["a", "b", "c"], 3), "a|b": (["a", "b"], 2), "a|c": (["a", "c"], 2)}
 
 
+def random_edges(spark, rng, nodes, n):
+    # ids in which one is the beginning of another, and characters below the joining one
+    names = [f"n{k}{'-' * (k % 3)}" for k in range(nodes)]
+    rows = {(rng.choice(names), rng.choice(["CALLS", "IMPORTS"]), rng.choice(names)) for _ in range(n)}
+    return spark.createDataFrame([(*r, "|".join(r)) for r in sorted(rows)], "src string, type string, dst string, key string"), names
+
+
+def test_first_trails_are_the_first_of_all(spark):
+    rng = random.Random(3)
+    for n, most in ((14, 3), (30, 7), (60, 40)):
+        e, names = random_edges(spark, rng, 8, n)
+        r = roots(spark, *names[:4], names[0])
+        flat = lambda df: sorted((x["root"], x["hops"], tuple(x["node_ids"]), tuple(x["edge_keys"]), tuple(x["rel_types"]), x["node"]) for x in df.collect())
+        for direction in ("out", "in"):
+            assert flat(paths.expand(e, r, 3, direction, per_root=most)) == flat(paths.capped(paths.expand(e, r.distinct(), 3, direction), most))
+
+
+def test_a_cap_bounds_what_is_built(spark):
+    """A hub of 100,000 edges each way, at depth 4 and a cap of 250: a node keeps 254 edges, and a level 250 trails."""
+    hub = spark.range(100_000).selectExpr("concat('a', id) AS a").select(F.lit("hub").alias("src"), F.col("a").alias("dst")).unionAll(spark.range(100_000).selectExpr("concat('a', id) AS src", "'hub' AS dst"))
+    e = hub.withColumn("type", F.lit("CALLS")).withColumn("key", F.concat_ws("|", "src", "dst"))
+    assert paths.first_steps(e, "out", 254).groupBy("s_").count().agg(F.max("count")).first()[0] == 254
+    got = paths.expand(e, roots(spark, "hub", "a7"), 4, per_root=250).groupBy("root", "hops").count().collect()
+    assert {tuple(r) for r in got} == {("hub", 1, 250), ("a7", 1, 1), ("a7", 2, 249)}
+    found, inside = paths.neighbourhood(e, roots(spark, "hub"), 2, 500)
+    assert found.count() == 500 and inside.count() == 998
+
+
+def test_components_and_cycles_against_brute_force(spark):
+    rng = random.Random(9)
+    for n in (10, 25, 60):
+        e, names = random_edges(spark, rng, 14, n)
+        pairs = {(r["src"], r["dst"]) for r in e.collect()}
+        reach = {a: {a} for a in names}
+        for _ in names:
+            reach = {a: s.union(*(({b} for x, b in pairs if x in s))) for a, s in reach.items()}
+        want = {}
+        for a in names:
+            members = [b for b in names if b in reach[a] and a in reach[b]]
+            if len(members) > 1:
+                want[a] = max(members)
+        assert {r["id"]: r["component"] for r in paths.components(e).collect()} == want
+        simple, level = {}, [(a,) for a in names]
+        for _ in range(4):
+            for p in level:
+                if len(p) > 1 and (p[-1], p[0]) in pairs:
+                    k = "|".join(sorted(p))
+                    simple[k] = min(simple.get(k, p), p, key=lambda q: ">".join(q))
+            level = [(*p, b) for p in level for b in names if (p[-1], b) in pairs and b not in p]
+        assert {r["signature"]: tuple(r["members"]) for r in paths.cycles(e, 4).collect()} == simple
+    chain = edges_of(spark, [(f"c{k:02}", f"c{k + 1:02}") for k in range(12)])
+    assert paths.components(chain).count() == 0 and paths.cycles(chain, 10).count() == 0
+
+
 def test_reachability_and_spine(spark):
     e = edges_of(spark, [("a", "b"), ("b", "c"), ("x", "c"), ("c", "y")])
     assert {tuple(r) for r in paths.reachable(e, roots(spark, "c")).collect()} == {("c", 0), ("b", 1), ("x", 1), ("a", 2)}
