@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MAX_DEPTH, MAX_NODES, MAX_PATHS, check
-from ..scratch import written
+from ..scratch import counted, written
 
 PATH = ["root", "node", "hops", "node_ids", "rel_types", "edge_keys"]
 
@@ -147,17 +147,18 @@ def neighbourhood(edges: DataFrame, root: DataFrame, depth: int = 2, nodes: int
     return found, inside.select("src", "type", "dst")
 
 
-def trimmed(edges: DataFrame, enough: float = 0.9) -> DataFrame:
+def trimmed(edges: DataFrame, enough: float = 0.9) -> tuple[DataFrame, int]:
     """Edges (src, dst) without those that start where none ends or end where none starts, again and again while that takes a
-    good part of them; what is left of such edges does no harm."""
-    while True:
-        before = edges.count()
+    good part of them (what is left of such edges does no harm), and how many there are."""
+    edges, before = counted(edges, "links")
+    while before:
         starts, ends = edges.select("src").distinct(), edges.select(F.col("dst").alias("src")).distinct()
         kept = edges.join(ends, "src", "left_semi").join(starts.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
-        edges = written(kept, "trimmed")
-        after = edges.count()
-        if not after or after > enough * before:
-            return edges
+        edges, after = counted(kept, "trimmed")
+        if after > enough * before:
+            return edges, after
+        before = after
+    return edges, 0
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,42 +167,41 @@ def components(edges: DataFrame) -> DataFrame:
     Each round colours a node with the largest id that reaches it, by frontiers of nodes whose colour has grown; the nodes
     that reach the one their colour is named by, inside the colour, are its component. Edges between colours and those of
     found components go, the rest is trimmed, and the next round begins. A round takes as many steps as the longest of the
-    shortest ways; each writes narrow rows of ids."""
-    rest = trimmed(written(edges.where("src <> dst").select("src", "dst").distinct(), "links"))
-    found = rest.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
-    while not rest.isEmpty():
+    shortest ways, two at a time; each writes narrow rows of ids."""
+    rest, left = trimmed(edges.where("src <> dst").select("src", "dst").distinct())
+    found: list[DataFrame] = []
+    while left:
         nodes = rest.select(F.col("src").alias("id")).unionAll(rest.select("dst")).distinct()
-        colours = frontier = written(nodes.select("id", F.col("id").alias("colour")), "colours")
-        while True:
-            sent = frontier.join(rest, F.col("id") == F.col("src")).groupBy("dst").agg(F.max("colour").alias("sent"))
-            grown = F.coalesce(F.col("sent") > F.col("colour"), F.lit(False))
-            colours = written(colours.join(sent, F.col("id") == F.col("dst"), "left").select("id", F.when(grown, F.col("sent")).otherwise(F.col("colour")).alias("colour"), grown.alias("grown")), "colours")
-            frontier = colours.where("grown").select("id", "colour")
-            if frontier.isEmpty():
-                break
+        colours, grown = nodes.select("id", F.col("id").alias("colour"), F.lit(True).alias("grown")), 1
+        while grown:
+            colours, grown = counted(_coloured(_coloured(colours, rest), rest), "colours", F.col("grown"))
         of = colours.select("id", "colour")
         same = rest.join(of.select(F.col("id").alias("src"), "colour"), "src").join(of.select(F.col("id").alias("dst"), F.col("colour").alias("c2")), "dst").where("colour = c2")
         rest = written(same.select("src", "dst"), "links")
-        backward = reached_from(rest, of.where("id = colour").select("id"), "in", of)
-        whole = backward.withColumn("n", F.count("*").over(Window.partitionBy("component"))).where("n > 1").select("id", "component")
-        found = written(found.unionAll(whole), "components")
+        backward = written(_reached_from(rest, of.where("id = colour").select("id")).join(of, "id").select("id", F.col("colour").alias("component")), "reached")
+        found.append(backward.withColumn("n", F.count("*").over(Window.partitionBy("component"))).where("n > 1").select("id", "component"))
         gone = backward.select("id")
         rest = rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        rest = trimmed(written(rest.select("src", "dst"), "links"))
-    return found
+        rest, left = trimmed(rest.select("src", "dst"))
+    return reduce(DataFrame.unionAll, found) if found else edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
 
 
-def reached_from(edges: DataFrame, roots: DataFrame, direction: str, of: DataFrame) -> DataFrame:
-    """(id, component): the nodes that are reached from the roots, the roots too, and their colours. No edge of edges (src, dst)
-    leads from one colour to another."""
-    a, b = {"out": ("src", "dst"), "in": ("dst", "src")}[direction]
-    steps = edges.select(F.col(a).alias("s_"), F.col(b).alias("d_"))
+def _coloured(colours: DataFrame, edges: DataFrame) -> DataFrame:
+    """Colours (id, colour, grown) after those that have grown were sent along the edges."""
+    sent = colours.where("grown").join(edges, F.col("id") == F.col("src")).groupBy("dst").agg(F.max("colour").alias("sent"))
+    more = F.coalesce(F.col("sent") > F.col("colour"), F.lit(False))
+    return colours.join(sent, F.col("id") == F.col("dst"), "left").select("id", F.when(more, F.col("sent")).otherwise(F.col("colour")).alias("colour"), more.alias("grown"))
+
+
+def _reached_from(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id): the roots and all nodes from which edges (src, dst) lead to one of them."""
+    steps = edges.select(F.col("dst").alias("s_"), F.col("src").alias("d_"))
     seen = frontier = written(roots, "seen")
     while True:
         new = frontier.join(steps, F.col("id") == F.col("s_")).select(F.col("d_").alias("id")).distinct()
-        frontier = written(new.join(seen, "id", "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return written(seen.join(of, "id").select("id", F.col("colour").alias("component")), "reached")
+        frontier, n = counted(new.join(seen, "id", "left_anti"), "frontier")
+        if not n:
+            return seen
         seen = seen.unionAll(frontier)
 
 

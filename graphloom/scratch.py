@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/graphloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """written(df), and how many of its rows are (all without what), counted while they are written."""
+    seen = Observation()
+    rows = F.count(F.lit(1)) if what is None else F.count(F.when(what, 1))
+    table = written(df.observe(seen, rows.alias("n")), name)
+    return table, seen.get["n"]
