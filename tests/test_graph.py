@@ -176,6 +176,34 @@ def test_components_and_cycles_against_brute_force(spark):
     assert paths.components(chain).count() == 0 and paths.cycles(chain, 10).count() == 0
 
 
+def test_many_rules_share_a_traversal(spark):
+    """150 rules of two kinds and all depths, disabled ones among them, against walks of each rule alone."""
+    rng = random.Random(12)
+    files = [f"file:{k}" for k in range(12)]
+    path = {f: None if f == "file:11" else f"{rng.choice('abc')}/{rng.choice('xyz')}/{f[5:]}.ts" for f in files}
+    pairs = {(rng.choice(files), rng.choice(["IMPORTS", "CALLS"]), rng.choice(files)) for _ in range(40)}
+    g = graph(spark, [(f, "File") for f in files], sorted(pairs))
+    g._nodes = {"": lambda: spark.createDataFrame([(f, "File", path[f]) for f in files], "id string, label string, path string")}
+    some = lambda: rng.choice([guardrails.Selector(f"{rng.choice('abc')}/**"), guardrails.Selector(f"{rng.choice('abc')}/{rng.choice('xyz')}/", "prefix"), guardrails.Selector(path[rng.choice(files[:11])], "exact")])
+    rules = [guardrails.Rule(f"r{k}", some(), some(), rng.choice(["IMPORTS", "CALLS"]), rng.choice(["ERROR", "WARN"]), rng.randint(0, 7), rng.random() < 0.9) for k in range(150)]
+
+    def fits(selector, text):
+        import re
+
+        return text is not None and {"exact": text == selector.pattern, "prefix": text.startswith(selector.pattern), "glob": bool(re.search(guardrails.glob(selector.pattern), text))}[selector.mode]
+
+    want = set()
+    for r in rules:
+        for a in files if r.enabled else ():
+            level, seen = {a}, {}
+            for hops in range(1, min(max(r.max_depth, 1), 5) + 1):
+                level = {y for x, t, y in pairs if x in level and t == r.relationship} - set(seen)
+                seen.update(dict.fromkeys(level, hops))
+            want |= {(r.id, r.severity, a, b, h) for b, h in seen.items() if b != a and fits(r.source, path[a]) and fits(r.target, path[b])}
+    got = [tuple(x) for x in guardrails.violations(g, rules).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
 def test_reachability_and_spine(spark):
     e = edges_of(spark, [("a", "b"), ("b", "c"), ("x", "c"), ("c", "y")])
     assert {tuple(r) for r in paths.reachable(e, roots(spark, "c")).collect()} == {("c", 0), ("b", 1), ("x", 1), ("a", 2)}
