@@ -1,8 +1,4 @@
-"""Incremental synchronisation: file and graph deltas, and their application to versioned tables.
-
-A version of the graph is a directory of Parquet; a mark that names it is made last, in one step, so that a failed or
-repeated run leaves the version before in place.
-"""
+"""Incremental synchronisation: file and graph deltas, and their application. Versions are in store."""
 
 from __future__ import annotations
 
@@ -10,7 +6,7 @@ import threading
 from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Where an entity has several actions, the first of these holds; an entity that is added and removed has none.
@@ -106,50 +102,6 @@ def purge(sessions: DataFrame, now: str) -> DataFrame:
     return sessions.where(F.col("expires_at") >= F.lit(now).cast("timestamp"))
 
 
-class Store:
-    """Versions of a graph below a path that Spark's file systems reach."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def version(self) -> int | None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return None
-        marks = [s.getPath().getName() for s in fs.listStatus(at)]
-        return max((int(m[1:]) for m in marks if m[:1] == "v" and m[1:].isdigit()), default=None)
-
-    def read(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
-        v = self.version() if version is None else version
-        if v is None:
-            raise ValueError("nothing is stored yet")
-        return self.spark.read.parquet(f"{self.path}/v{v}/nodes"), self.spark.read.parquet(f"{self.path}/v{v}/edges")
-
-    def made_by(self, version: int) -> str | None:
-        """What the maker of a version said that it was made of."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{version}")
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-        return next((n[3:] for n in names if n.startswith("by-")), None)
-
-    def promote(self, nodes: DataFrame, edges: DataFrame, version: int, made_of: str | None = None) -> None:
-        """Writes a version and makes it the newest. made_of: a name of what it was made of, for made_by()."""
-        nodes.write.mode("overwrite").parquet(f"{self.path}/v{version}/nodes")
-        edges.write.mode("overwrite").parquet(f"{self.path}/v{version}/edges")
-        if made_of is not None:
-            self._touch(f"v{version}/by-{made_of}")
-        self._touch(f"CURRENT/v{version}")
-
-    def _touch(self, name: str) -> None:
-        """An empty file: created in one step, and never rewritten."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(at, True).close()
-
-
 class Runs:
     """Synchronisations of repositories on the driver: one at a time of each, so many at once in all. A run is QUEUED, RUNNING,
     then DONE, FAILED (after as many tries as allowed) or CANCELLED; a request for a repository that has a run under way

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import sync
+from ..operators.store import Store
 
 #: One event: a node (id, label, name, path) that is upserted or removed.
 EVENTS = "id string, label string, name string, path string, action string, at timestamp"
@@ -18,26 +18,15 @@ def read(spark: SparkSession, path: str, most_files: int = 100) -> DataFrame:
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", most_files).json(path)
 
 
-def follow(events: DataFrame, store: sync.Store, checkpoint: str) -> StreamingQuery:
-    """Starts a query that makes a version of each batch from the newest one. A version knows the checkpoint and the batch that
-    it was made of, so that a batch that is repeated is made again from the version before; a new checkpoint goes on from
-    whatever is the newest."""
+def follow(events: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Starts a query that makes a version of each batch: a delta on the newest one. The checkpoint is the writer and the batch's
+    number that of the change, so a batch that is repeated after its version was made is not applied again, whoever has
+    made versions since; a new checkpoint goes on from whatever is the newest."""
     mark = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def one(batch: DataFrame, epoch: int) -> None:
-        version = store.version()
-        if version is None:
-            raise ValueError("a version must be stored before changes are followed")
-        if store.made_by(version) != f"{mark}-{epoch}":
-            version += 1
-        nodes, edges = store.read(version - 1)
-        last = batch.groupBy("id").agg(F.max_by(F.struct("label", "name", "path", "action", "at"), "at").alias("e")).select("id", "e.*")
-        gone = last.where("action = 'REMOVED'").select("id")
-        held = edges.where("type = 'MODIFIES'").select(F.col("dst").alias("id"))
-        kept = nodes.join(gone.join(held, "id", "left_anti"), "id", "left_anti")
-        kept = sync.upsert(kept, last.where("action <> 'REMOVED'").drop("action"), ["id"])
-        ids = kept.select("id")
-        edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        store.promote(kept, edges.select("src", "type", "dst"), version, f"{mark}-{epoch}")
+        last = batch.groupBy("id").agg(F.max_by(F.struct("label", "name", "path", "action"), "at").alias("e")).select("id", "e.*")
+        actions = last.select("id", F.when(F.col("action") == "REMOVED", F.lit("REMOVED")).otherwise(F.lit("UPDATED")).alias("action"))
+        store.apply(actions, last.drop("action"), writer=mark, number=epoch)
 
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import parse
 from graphloom.graph import Graph
+from graphloom.operators.store import Store
 from graphloom.operators import deps, evidence, guardrails, history, impact, ingest, intel, paths, sync, testsel
 from graphloom.plans.projection import load
 
@@ -193,12 +194,15 @@ def test_runs(spark):
 def test_versions_and_renames(spark, tmp_path):
     nodes = spark.createDataFrame([("file:a", "File", "a", "h"), ("fn:a:x", "Function", "a", None), ("file:b", "File", "b", None)], "id string, label string, path string, hash string")
     edges = spark.createDataFrame([("repo:r", "CONTAINS", "file:a"), ("file:a", "CONTAINS", "fn:a:x"), ("file:b", "IMPORTS", "file:a"), ("fn:a:x", "CALLS", "fn:b:y")], "src string, type string, dst string")
-    store = sync.Store(spark, str(tmp_path / "s"))
+    store = Store(spark, str(tmp_path / "s"))
     assert store.version() is None
     store.promote(nodes, edges, 3)
-    store.promote(nodes, edges, 12, "x")
-    (tmp_path / "s" / "v40").mkdir()  # a version that was never finished
-    assert store.version() == 12 and store.made_by(12) == "x" and store.made_by(3) is None and store.read()[0].count() == 3
+    store.promote(nodes, edges, 12, "x", 5)
+    (tmp_path / "s" / "versions" / "v40").write_text('{"parts": ["da')  # a version that was never finished
+    assert store.version() == 12 and store.manifest(12)["writers"] == {"x": 5} and store.manifest(3)["writers"] == {} and store.read()[0].count() == 3
+    with pytest.raises(ValueError):
+        store.promote(nodes, edges, 3)
+    assert store.promote(nodes, edges) == 41 and store.manifest(41)["writers"] == {"x": 5}
     found, out = sync.old_state(nodes, edges, spark.createDataFrame([("a",)], "path string"))
     assert {r["id"] for r in found.collect()} == {"file:a", "fn:a:x"} and {r["type"] for r in out.collect()} == {"CONTAINS", "CALLS"}
     contained = spark.createDataFrame([("repo:r", "file:a"), ("repo:r", "file:b")], "root string, id string")

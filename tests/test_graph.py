@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.operators import deps, guardrails, history, impact, intel, ledger, ownership, paths, sync, testsel
+from graphloom.operators.store import Store
 from graphloom.schema import check, down, human_label, search_label, up
 
 NODE = "id string, label string, name string, title string, path string, sha string, username string, message string, language string, framework string, active boolean, ts timestamp"
@@ -298,7 +299,7 @@ def test_deltas_and_versions(spark, tmp_path):
     assert {r["id"] for r in n.collect()} == {"file:a", "commit:1", "file:c"}  # a commit modifies a
     assert {tuple(r) for r in e.collect()} == {("commit:1", "MODIFIES", "file:a"), ("file:c", "IMPORTS", "file:a")}
 
-    store = sync.Store(spark, str(tmp_path / "g"))
+    store = Store(spark, str(tmp_path / "g"))
     assert store.version() is None
     store.promote(n, e, 0)
     store.promote(old, before, 1)
@@ -310,11 +311,45 @@ def test_deltas_and_versions(spark, tmp_path):
 def test_stream_of_changes(spark, tmp_path):
     from graphloom.streaming import changes
 
-    store = sync.Store(spark, str(tmp_path / "g"))
+    store = Store(spark, str(tmp_path / "g"))
     nodes = spark.createDataFrame([("file:a", "File", "a", "a"), ("file:b", "File", "b", "b")], "id string, label string, name string, path string")
     store.promote(nodes, spark.createDataFrame([("file:a", "IMPORTS", "file:b")], "src string, type string, dst string"), 0)
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text('{"id":"file:b","action":"REMOVED","at":"2024-01-02T00:00:00Z"}\n{"id":"file:c","label":"File","name":"c","path":"c","action":"ADDED","at":"2024-01-01T00:00:00Z"}\n{"id":"file:c","label":"File","name":"c2","path":"c","action":"UPDATED","at":"2024-01-03T00:00:00Z"}\n')
     changes.follow(changes.read(spark, str(tmp_path / "in")), store, str(tmp_path / "ck")).awaitTermination(120)
     n, e = store.read()
-    assert store.version() == 1 and {(r["id"], r["name"]) for r in n.collect()} == {("file:a", "a"), ("file:c", "c2")} and e.count() == 0
+    assert store.version() == 1 and len(store.manifest(1)["parts"]) == 2 and {(r["id"], r["name"]) for r in n.collect()} == {("file:a", "a"), ("file:c", "c2")} and e.count() == 0
+
+
+def test_versions_as_deltas(spark, tmp_path):
+    """Random changes: every version is what the changes up to it make, before and after compaction, and no file is rewritten."""
+    rng = random.Random(7)
+    node_kind, edge_kind = "id string, label string, name string", "src string, type string, dst string"
+    names = [f"n{k}" for k in range(12)]
+    nodes = {n: f"{n}.0" for n in names[:8]}
+    edges = {(rng.choice(names[:8]), rng.choice(["CALLS", "IMPORTS"]), rng.choice(names[:8])) for _ in range(12)} | {("n0", "MODIFIES", "n1"), ("n0", "AUTHORED_BY", "n2")}
+    store = Store(spark, str(tmp_path / "g"))
+    df = lambda rows, kind: spark.createDataFrame(sorted(rows, key=str), kind)
+    store.promote(df([(n, "File", x) for n, x in nodes.items()], node_kind), df(edges, edge_kind))
+    states = [(dict(nodes), set(edges))]
+    stamp = {}
+    for step in range(1, 5):
+        actions = {n: rng.choice(["ADDED", "UPDATED", "REMOVED"]) for n in rng.sample(names, 4)}
+        changes = {(rng.choice(names), rng.choice(["CALLS", "IMPORTS", "AUTHORED_BY"]), rng.choice(names)): "ADDED" for _ in range(4)}
+        changes |= {e: "REMOVED" for e in rng.sample(sorted(edges), min(3, len(edges)))}
+        new = [(n, "File", f"{n}.{step}") for n, a in actions.items() if a != "REMOVED"]
+        change = (df([*actions.items(), (None, "REMOVED")], "id string, action string"), df(new, node_kind), df([(*e, a) for e, a in changes.items()], "src string, type string, dst string, action string"))
+        assert store.apply(*change, writer="w", number=step) == step == store.apply(*change, writer="w", number=step)
+        held = {d for _, t, d in edges if t == "MODIFIES"}
+        gone = {n for n, a in actions.items() if a == "REMOVED"} - held
+        nodes = {n: x for n, x in nodes.items() if n not in gone} | {n: x for n, _, x in new}
+        edges = {e for e in edges if not (changes.get(e) == "REMOVED" and e[1] not in ("MODIFIES", "AUTHORED_BY")) and not gone & {e[0], e[2]}}
+        edges |= {e for e, a in changes.items() if a == "ADDED" and e[0] in nodes and e[2] in nodes}
+        states.append((dict(nodes), set(edges)))
+    seen = lambda v: ({r["id"]: r["name"] for r in store.read(v)[0].collect()}, {tuple(r) for r in store.read(v)[1].select("src", "type", "dst").collect()})
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "g" / "data").rglob("*.parquet")}
+    assert [seen(v) for v in range(5)] == states
+    assert store.compact() == 5 and seen(5) == seen(4) and len(store.manifest(5)["parts"]) == 1
+    assert {p: p.stat().st_mtime_ns for p in files} == files
+    assert store.apply(df([("n3", "REMOVED")], "id string, action string"), df([], node_kind), writer="w", number=4) == 5
+    assert store.expire(1) == 5 and seen(5) == states[4] and store.version() == 5 and store.manifest(4) is None
