@@ -982,3 +982,5 @@ _register(
     duckdb(f"""WITH {_KNOWN} SELECT 'Repository' AS label, 1 AS n UNION ALL SELECT 'Directory', 1 + count(DISTINCT k % 7) FROM f UNION ALL SELECT 'File', count(*) FROM f
     UNION ALL SELECT 'Class', count(*) FROM n_class WHERE id LIKE '%:1' UNION ALL SELECT 'Function', (SELECT count(DISTINCT (f, p)) FROM h) + (SELECT count(*) FROM n_class WHERE id LIKE '%:1' AND CAST(split_part(id, ':', 2) AS BIGINT) NOT IN (SELECT a FROM x))"""),
 )
+
+from . import state_queries  # noqa: E402, F401  (registers its queries)
