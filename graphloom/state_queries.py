@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import hashing
 from .graph import Graph
 from .operators import ingest, sync
+from .operators.search import Index
 from .operators.store import Store
 from .plans.projection import duckdb, load
 from .queries import _register, query
@@ -73,6 +74,24 @@ def _each(store: Store, which: int) -> DataFrame:
     return some
 
 
+# search
+
+_FOUND = """SELECT id, label, coalesce(nullif(name, ''), nullif(title, ''), nullif(list_last(string_split(path, '/')), ''), nullif(sha, ''), nullif(username, ''), nullif(message, ''), id) AS title FROM all_nodes
+    WHERE label IN ('File', 'Class', 'Function', 'PullRequest') AND contains(lower(coalesce(name, title, sha, username, message, '')), '{}') ORDER BY 3, 1 LIMIT 40"""
+
+
+@query(_FOUND.format("11"))
+def search_by_index(g: Graph) -> DataFrame:
+    """From the index of grams, two characters"""
+    return Index(g.n("File", "Class", "Function", "PullRequest")).search("11", ["File", "Class", "Function", "PullRequest"], 40)
+
+
+@query(_FOUND.format("supplier#00000000"))
+def search_by_long_text(g: Graph) -> DataFrame:
+    """Fifteen triples, intersected"""
+    return Index(g.n("File", "Class", "Function", "PullRequest")).search("Supplier#00000000", ["File", "Class", "Function", "PullRequest"], 40)
+
+
 # changes
 
 _PATHS = "SELECT id FROM n_file WHERE path LIKE 'src/1/%' OR path LIKE 'src/3/%'"
