@@ -13,27 +13,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import bpe, decontaminate, jaccard, quality_rules
-from graphloom.llm.common import table, written
+from graphloom.llm.common import small_batches, table, written
 from graphloom.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go: too few words, too many repeated ones, or little but template lines."""
+    small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: sets of five-word shingles with a similarity of 0.8 or more, groups by reachability."""
+    small_batches(spark)
     return jaccard.one_of_each(docs, width=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark text go: a hit, and 5 % or more of the words hit. Null and empty items hit nothing."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded, special strings inside texts included: doc_id, n_tokens and digests of ids and text."""
+    small_batches(spark)
     return bpe.digests(docs, tokenizer("byte_bpe_50k.json"))
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 << 20
 #: Rows that a Python worker holds at once.
 ROWS = 2000
+#: Rows of an Arrow batch between JVM and worker, which both hold it, where the session keeps Spark's default of 10,000.
+BATCH_ROWS, BATCHES = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,7 +61,14 @@ def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits(df, row_bytes) else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of long texts would be tens of megabytes on both sides of each task; a session's own setting stays."""
+    if spark.conf.get(BATCHES) == "10000":
+        spark.conf.set(BATCHES, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
