@@ -198,8 +198,9 @@ def _reached_from(edges: DataFrame, roots: DataFrame) -> DataFrame:
     steps = edges.select(F.col("dst").alias("s_"), F.col("src").alias("d_"))
     seen = frontier = written(roots, "seen")
     while True:
-        new = frontier.join(steps, F.col("id") == F.col("s_")).select(F.col("d_").alias("id")).distinct()
-        frontier, n = counted(new.join(seen, "id", "left_anti"), "frontier")
+        one = frontier.join(steps, F.col("id") == F.col("s_")).select(F.col("d_").alias("id")).distinct()
+        two = one.join(steps, F.col("id") == F.col("s_")).select(F.col("d_").alias("id"))
+        frontier, n = counted(one.unionAll(two).distinct().join(seen, "id", "left_anti"), "frontier")
         if not n:
             return seen
         seen = seen.unionAll(frontier)
