@@ -1,15 +1,14 @@
 """Alignment of two tokenizers' tokens by the places where both end.
 
-Python only tokenises. Both vocabularies cut a text in front of a lone space, so a text is a row of chunks, and a batch of
-documents is its distinct chunks (ids of both sides and byte offsets where tokens end, running on from chunk to chunk) and,
-for each document, the numbers of its chunks. Everything after that is Spark's own functions on these arrays:
-array_intersect of the end arrays gives the ends of groups; their places among the tokens of a side come from one sort of
-ends and group ends together, so no step is more than a sort of a batch; transform and sequence cut groups and links out,
-and aggregate sums over a document's chunks. A pair of ids is one whole number.
+Both vocabularies cut a text in front of a lone space, so a text is a row of chunks, and a chunk's tokens, groups and links are
+made once while a worker remembers it. Chunks that are new to the worker are encoded together: the intersection of the two
+sides' arrays of token ends gives the ends of groups, their places in each side's array cut groups and links out, and all of
+that is array arithmetic over many chunks at once. A document is the sum of its chunks. A pair of ids is one whole number; a
+document's row holds its distinct pairs and how often each is linked.
 
-How many documents hold a pair is counted from each document's distinct pairs. The pairs in most documents, at most
-PAIRS of them, are broadcast to the links; links of rarer pairs, if there are more, meet their counts in a shuffle, where
-no key has more rows than the rarest broadcast pair has documents times its links in one.
+How many documents hold a pair is counted from these. The pairs in most documents, at most PAIRS of them, are broadcast to the
+documents' pairs; rarer ones, if there are more, meet their counts in a shuffle, where no key has more rows than the rarest
+broadcast pair has documents.
 
 Defined results: a null or empty text, and one whose tokens on a side do not give back its bytes (it holds U+2581), have no
 tokens: zeros and an empty digest; repeated rows and null ids are documents of their own; long texts are one batch, whole; an
@@ -19,16 +18,17 @@ empty table gives no rows; columns other than the id and the text are not looked
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,9 +38,11 @@ from .common import trim, written
 #: Characters of a batch of documents (more for one longer document), and documents.
 CHARS, DOCS = 1 << 17, 1000
 #: Chunks that a worker remembers, in two halves, the older of which is dropped; and characters of one of them.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Pairs that are broadcast, at some 24 bytes each.
 PAIRS = 1 << 20
+#: Chunks that are encoded as one text.
+TOGETHER = 2000
 #: In front of a lone space that something other than white space follows.
 CUT = re.compile(r"(?<! ) (?=\S)")
 
@@ -65,7 +67,10 @@ class Sides:
             a[k] = b"".join(back.get(c) or c.encode() for c in token)
         b = [self.right.id_to_piece(k) for k in range(self.right.get_piece_size())]
         b = [bytes([int(p[3:5], 16)]) if self.right.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(b)]
-        self.bytes, self.sizes = (a, b), tuple(np.array([len(x) for x in side], dtype=np.int32) for side in (a, b))
+        self.bytes, self.sizes = (a, b), tuple(np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
+        # what is said of a token: one inside a side of a group, and a side's last one
+        self.said = [b"%d%s" % (k, end) for side, ends in ((a, (b",", b"|")), (b, (b",", b";"))) for end in ends for k in range(len(side))]
+        self.pair = np.dtype(np.int32 if len(a) * len(b) < 1 << 31 else np.int64)
         self.known: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
 
@@ -88,41 +93,58 @@ class Sides:
         return out
 
     def learn(self, chunks: list[str]) -> None:
-        """What is known of a chunk: ids and sizes of both sides as bytes, numbers of tokens, bytes; None where a side does not give
-        the chunk back. Chunks that start and end without white space are cut from one another by both sides, so that they
-        are encoded as one text; the others are encoded one by one."""
-        alone = []
+        """What is known of a chunk: numbers of tokens of both sides and of groups, what is said of the groups, and the links'
+        pairs as bytes; None where a side does not give the chunk back. Chunks that start and end without white space are cut
+        from one another by both sides, so that they are encoded as one text; the others are encoded one by one."""
+        alone: list[str] = []
         joined = [c for c in chunks if c and not c[0].isspace() and c[-1] != " " or alone.append(c)]
-        if not self._learn(joined):
-            alone = chunks
-        for c in alone:
-            if not self._learn([c]):
-                self.known[c] = None
+        todo = [*([c] for c in alone), *(joined[k : k + TOGETHER] for k in range(0, len(joined), TOGETHER))]
+        while todo:
+            some = todo.pop()
+            if not self._learn(some):
+                if len(some) == 1:
+                    self.known[some[0]] = None
+                else:
+                    todo += [some[: len(some) // 2], some[len(some) // 2 :]]
 
     def _learn(self, chunks: list[str]) -> bool:
-        if not chunks:
-            return True
         text = " ".join(chunks)
         raw = (" " + text).encode("utf-8")
-        sizes = np.array([len(c.encode("utf-8")) + 1 for c in chunks])
-        cuts, found = np.cumsum(sizes), []
-        for side, ids in enumerate((self.left.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.right.encode(text))):
-            if b"".join(map(self.bytes[side].__getitem__, ids)) != raw:
+        cuts = np.cumsum([len(c.encode("utf-8")) + 1 for c in chunks])
+        ids, ends = [], []
+        for side, found in enumerate((self.left.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.right.encode(text))):
+            if b"".join(map(self.bytes[side].__getitem__, found)) != raw:
                 return False
-            mine = np.array(ids, dtype=np.int32)
-            size = self.sizes[side][mine]
-            ends = np.cumsum(size)
-            at = np.searchsorted(ends, cuts)
-            if (ends[at] != cuts).any():
-                return False
-            upto = at + 1
-            number = np.diff(upto, prepend=0)
-            found += [mine.tobytes(), size.tobytes(), (4 * upto).tolist(), number.tolist()]
-        a, a_sizes, a_to, n_a, b, b_sizes, b_to, n_b = found
+            ids.append(np.array(found, dtype=np.int64))
+            ends.append(np.cumsum(self.sizes[side][ids[side]]))
+        common = np.intersect1d(*ends, assume_unique=True)
+        stop = np.searchsorted(common, cuts) + 1  # groups up to each chunk's end
+        if stop[-1] > len(common) or (common[stop - 1] != cuts).any():
+            return False
+        # each group's tokens on each side: from, to and how many
+        to = [np.searchsorted(e, common) + 1 for e in ends]
+        size = [np.diff(t, prepend=0) for t in to]
+        start = [t - n for t, n in zip(to, size, strict=True)]
+        links = size[0] * size[1]
+        upto = np.cumsum(links)
+        of = np.repeat(np.arange(len(common)), links)
+        place = np.arange(len(of)) - (upto - links)[of]
+        i, j = start[0][of] + place // size[1][of], start[1][of] + place % size[1][of]
+        pairs = (ids[0][i] * self.base + ids[1][j]).astype(self.pair).tobytes()
+        # what is said: a group's left tokens, then its right ones
+        order, before = np.empty(len(ids[0]) + len(ids[1]), dtype=np.int64), 0
+        for side, others in ((0, start[1]), (1, to[0])):
+            codes = ids[side] + before
+            codes[to[side] - 1] += len(self.bytes[side])
+            order[np.arange(len(codes)) + np.repeat(others, size[side])] = codes
+            before += 2 * len(self.bytes[side])
+        said = list(map(self.said.__getitem__, order.tolist()))
+        a, b, g = to[0][stop - 1], to[1][stop - 1], stop
+        bounds = ((a + b).tolist(), (upto[stop - 1] * self.pair.itemsize).tolist())
         x = y = 0
-        for c, to_a, to_b, k, m, size in zip(chunks, a_to, b_to, n_a, n_b, sizes.tolist(), strict=True):
-            self.known[c] = (a[x:to_a], a_sizes[x:to_a], k, b[y:to_b], b_sizes[y:to_b], m, size)
-            x, y = to_a, to_b
+        for c, n_a, n_b, n, x_to, y_to in zip(chunks, *(np.diff(v, prepend=0).tolist() for v in (a, b, g)), *bounds, strict=True):
+            self.known[c] = (n_a, n_b, n, b"".join(said[x:x_to]), pairs[y:y_to])
+            x, y = x_to, y_to
         return True
 
     def chunks(self, text: str | None) -> list[str]:
@@ -138,17 +160,18 @@ def sides(left: str, right: str) -> Sides:
     return Sides(left, right)
 
 
-def tokenised(df: DataFrame, left: str, right: str, text: str, row_id: str) -> DataFrame:
-    """A row for each batch of documents: docs (key, id, n_a, n_b, chunks), and of the batch's distinct chunks the ids of both
-    sides (a, b), the ends of their tokens (a_ends, b_ends) and of the chunks themselves (ends)."""
+def described(df: DataFrame, left: str, right: str, text: str, row_id: str) -> DataFrame:
+    """A row for each document: key, id, n_a, n_b, n_groups, n_links, groups_sha256, and its distinct pairs of linked ids, a * base +
+    b, with the times that each is linked."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    ints = T.ArrayType(T.IntegerType(), False)
-    doc = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("id", df.schema[row_id].dataType), T.StructField("n_a", T.LongType(), False), T.StructField("n_b", T.LongType(), False), T.StructField("chunks", ints, False)])
-    schema = T.StructType([T.StructField("docs", T.ArrayType(doc, False), False), *(T.StructField(c, ints, False) for c in ("a", "b", "a_ends", "b_ends", "ends"))])
+    pair = T.IntegerType() if sides(left, right).pair == np.int32 else T.LongType()
+    names = ("n_a", "n_b", "n_groups")
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", df.schema[row_id].dataType), *(T.StructField(c, T.LongType()) for c in (*names, "n_links")), T.StructField("groups_sha256", T.StringType()), T.StructField("pairs", T.ArrayType(pair, False)), T.StructField("times", T.ArrayType(T.IntegerType(), False))])
 
-    def lists(values: pa.Array, sizes: list[int], kind: T.DataType = ints) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values, type=to_arrow_type(kind))
+    def lists(parts: list[np.ndarray], kind: str) -> pa.Array:
+        starts = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(parts)), type=to_arrow_type(schema[kind].dataType))
 
     def made(ids: pa.Array, split: list[list[str]], key: int, both: Sides) -> pa.RecordBatch:
         known = both.look_up(set().union(*split))
@@ -157,15 +180,21 @@ def tokenised(df: DataFrame, left: str, right: str, text: str, row_id: str) -> D
             split = [[] if bad.intersection(parts) else parts for parts in split]
         found = [f for _, f in known if f is not None]
         index = {c: k for k, c in enumerate(c for c, f in known if f is not None)}
-        sizes = [len(parts) for parts in split]
-        numbers = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), dtype=np.int32, count=sum(sizes))
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        flat = [np.frombuffer(b"".join([f[k] for f in found]), dtype=np.int32) for k in (0, 3, 1, 4)]
-        of_doc = lambda k: np.diff(np.concatenate([[0], np.cumsum(np.array([f[k] for f in found], dtype=np.int64)[numbers])])[starts])
-        arrays = [flat[0], flat[1], np.cumsum(flat[2], dtype=np.int32), np.cumsum(flat[3], dtype=np.int32), np.cumsum([f[6] for f in found], dtype=np.int32)]
-        fields = [pa.array(np.arange(key, key + len(split))), ids, pa.array(of_doc(2)), pa.array(of_doc(5)), lists(pa.array(numbers), sizes)]
-        docs = pa.StructArray.from_arrays(fields, fields=[pa.field(f.name, to_arrow_type(f.dataType), f.nullable) for f in doc.fields])
-        return pa.RecordBatch.from_arrays([lists(docs, [len(split)], schema["docs"].dataType), *(lists(pa.array(x), [len(x)]) for x in arrays)], names=schema.names)
+        starts = np.cumsum([0, *map(len, split)])
+        numbers = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=starts[-1])
+        sums = [np.diff(np.concatenate([[0], np.cumsum(np.array([f[k] for f in found], dtype=np.int64)[numbers])])[starts]) for k in range(3)]
+        said, pairs, numbers = [f[3] for f in found], [f[4] for f in found], numbers.tolist()
+        digests, links, distinct, times = [], [], [], []
+        for at, to in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+            mine = numbers[at:to]
+            digests.append(hashlib.sha256(b"".join([said[k] for k in mine])[:-1]).hexdigest() if mine else "")
+            linked = np.frombuffer(b"".join([pairs[k] for k in mine]), dtype=both.pair)
+            values, counts = np.unique(linked, return_counts=True)
+            links.append(len(linked))
+            distinct.append(values)
+            times.append(counts.astype(np.int32))
+        arrays = [pa.array(np.arange(key, key + len(split))), ids, *map(pa.array, sums), pa.array(links, pa.int64()), pa.array(digests, pa.string()), lists(distinct, "pairs"), lists(times, "times")]
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, key = sides(left, right), TaskContext.get().partitionId() << 40
@@ -183,97 +212,9 @@ def tokenised(df: DataFrame, left: str, right: str, text: str, row_id: str) -> D
     return df.select(row_id, text).mapInArrow(run, schema)
 
 
-def _let(body: Callable[[Column], Column], **values: Column) -> Column:
-    """body of a struct of values. A lambda's argument is computed once, and stays an array that slice() need not copy; a column
-    named inside a lambda may be planned into it, and be computed again for each element."""
-    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body), F.lit(0))
-
-
-def _places(both: Column) -> Column:
-    """Where in an array of ends some of them, the marks, stand, from 0. both: their sorted union, in which a mark follows its
-    equal and as many marks as came before it."""
-    found = lambda v: F.filter(F.sequence(F.lit(1), F.size(v["s"]) - 1), lambda i: F.get(v["s"], i) == F.get(v["s"], i - 1))
-    return _let(lambda v: F.transform(found(v), lambda i, k: i - 1 - k), s=both)
-
-
-def grouped(batches: DataFrame, base: int) -> DataFrame:
-    """docs as before, and chunks: for each distinct chunk its number of groups (sizes), their text (said) and links (pairs):
-    pairs of ids as a * base + b."""
-    pair = "int" if base < 40_000 else "long"  # 2 ** 31 / 40,000 is more than any left side has
-    both = batches.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    both = both.select("docs", "a", "b", *(F.sort_array(F.concat(e, m)).alias(f"s_{e}") for e, m in (("a_ends", "common"), ("b_ends", "common"), ("common", "ends"))))
-
-    def single(z: Column) -> Column:
-        return (z["from_a"] == z["at_a"]) & (z["from_b"] == z["at_b"])
-
-    def said(v: Column, z: Column) -> Column:
-        many = [F.array_join(F.slice(v[f"said_{c}"], z[f"from_{c}"] + 1, z[f"at_{c}"] + 1 - z[f"from_{c}"]), ",") for c in ("a", "b")]
-        one = [F.get(v[f"said_{c}"], z[f"at_{c}"]) for c in ("a", "b")]
-        return F.when(single(z), F.concat(one[0], F.lit("|"), one[1])).otherwise(F.concat(many[0], F.lit("|"), many[1]))
-
-    def links(v: Column, z: Column) -> Column:
-        link = lambda i, j: F.get(v["a"], i).cast(pair) * F.lit(base).cast(pair) + F.get(v["b"], j)
-        many = F.flatten(F.transform(F.sequence(z["from_a"], z["at_a"]), lambda i: F.transform(F.sequence(z["from_b"], z["at_b"]), lambda j: link(i, j))))
-        return F.when(single(z), F.array(link(z["at_a"], z["at_b"]))).otherwise(many)
-
-    def by_group(v: Column) -> Column:
-        return _let(lambda w: by_chunk(v, w), said=F.transform(v["runs"], lambda z: said(v, z)), links=F.transform(v["runs"], lambda z: links(v, z)))
-
-    def by_chunk(v: Column, w: Column) -> Column:
-        part = lambda values, z: F.slice(values, z["from_end"] + 1, z["at_end"] + 1 - z["from_end"])
-        return F.struct(
-            F.transform(v["chunks"], lambda z: z["at_end"] + 1 - z["from_end"]).alias("sizes"),
-            F.transform(v["chunks"], lambda z: F.array_join(part(w["said"], z), ";")).alias("said"),
-            F.transform(v["chunks"], lambda z: F.flatten(part(w["links"], z))).alias("pairs"),
-        )
-
-    def runs(p: Column, *names: str) -> Column:
-        """Where groups (or chunks) start and end on each side: from_.. and at_.."""
-        starts = [F.concat(F.array(F.lit(0)), F.transform(p[n], lambda x: x + 1)).alias(f"from_{n}") for n in names]
-        return F.filter(F.arrays_zip(*starts, *(p[n].alias(f"at_{n}") for n in names)), lambda z: z[f"at_{names[0]}"].isNotNull())
-
-    def cut(p: Column) -> Column:
-        return _let(by_group, a=F.col("a"), b=F.col("b"), runs=runs(p, "a", "b"), chunks=runs(p, "end"), said_a=F.col("a").cast("array<string>"), said_b=F.col("b").cast("array<string>"))
-
-    # a batch without tokens has no chunks
-    places = {"a": _places(F.col("s_a_ends")), "b": _places(F.col("s_b_ends")), "end": _places(F.col("s_common"))}
-    return both.select("docs", F.when(F.size("a") > 0, _let(cut, **places)).alias("chunks"))
-
-
-def described(chunks: DataFrame) -> DataFrame:
-    """docs (key, id, n_a, n_b, n_groups, n_links, groups_sha256, chunks), and pairs as before."""
-
-    def of(d: Column) -> Column:
-        each = F.col("chunks")
-        total = lambda values: F.aggregate(d["chunks"], F.lit(0).cast("long"), lambda s, i: s + values(i))
-        digest = F.sha2(F.array_join(F.transform(d["chunks"], lambda i: F.get(each["said"], i)), ";"), 256)
-        return F.struct(
-            *(d[c].alias(c) for c in ("key", "id", "n_a", "n_b")),
-            total(lambda i: F.get(each["sizes"], i)).alias("n_groups"),
-            total(lambda i: F.size(F.get(each["pairs"], i))).alias("n_links"),
-            F.when(F.size(d["chunks"]) > 0, digest).otherwise(F.lit("")).alias("groups_sha256"),
-            d["chunks"].alias("chunks"),
-        )
-
-    return chunks.select(F.transform("docs", of).alias("docs"), F.col("chunks.pairs").alias("pairs"))
-
-
-def _links(described: DataFrame, distinct: bool) -> DataFrame:
-    """(key, pair) of the links of every document, or (pair) of its distinct pairs."""
-
-    def of(d: Column) -> Column:
-        chunks = F.array_distinct(d["chunks"]) if distinct else d["chunks"]
-        return F.struct(d["key"].alias("key"), F.flatten(F.transform(chunks, lambda i: F.get(F.col("pairs"), i))).alias("pairs"))
-
-    each = described.select(F.explode(F.transform("docs", of)).alias("d"))
-    if distinct:
-        return each.select(F.explode(F.array_distinct("d.pairs")).alias("pair"))
-    return each.select("d.key", F.explode("d.pairs").alias("pair"))
-
-
 def pair_counts(described: DataFrame, base: int) -> DataFrame:
     """(pair, n, best): in how many documents a pair is linked, and whether no pair of its left id is in more."""
-    counts = written(_links(described, True).groupBy("pair").agg(F.count("*").alias("n")), "pairs")
+    counts = written(described.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "pairs")
     left = F.floor(F.col("pair") / base)
     most = counts.groupBy(left.alias("a")).agg(F.max("n").alias("most"))
     return counts.join(most, left == F.col("a")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -295,11 +236,11 @@ def align(df: DataFrame, left: str, right: str, text: str = "text", row_id: str
     """One row a document: id, tokens of both sides, groups, links, the digest of its groups, how many of its links are of a
     pair that is its left id's most common, and the sum of its links' counts."""
     base = sides(left, right).base
-    docs = written(described(grouped(tokenised(df, left, right, text, row_id), base)), "aligned")
+    docs = written(described(df, left, right, text, row_id), "aligned")
     counts = written(pair_counts(docs, base), "counts")
     bar = _frequent(counts, most)
-    sums = [F.sum("n").alias("count_sum"), F.sum(F.col("best").cast("long")).alias("n_best")]
-    links = _links(docs, False)
+    sums = [F.sum(F.col("n") * F.col("times")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best")]
+    links = docs.select("key", F.inline(F.arrays_zip(F.col("pairs").alias("pair"), "times")))
     frequent = F.broadcast(counts.where(F.col("n") >= bar))  # at most PAIRS rows
     if bar == 1:
         found = links.join(frequent, "pair").groupBy("key").agg(*sums)
@@ -307,6 +248,5 @@ def align(df: DataFrame, left: str, right: str, text: str = "text", row_id: str
         rare = links.join(frequent, "pair", "left_anti").join(counts.where(F.col("n") < bar).hint("shuffle_merge"), "pair")
         found = links.join(frequent, "pair").groupBy("key").agg(*sums).unionAll(rare.groupBy("key").agg(*sums))
         found = found.groupBy("key").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
-    each = docs.select(F.explode("docs").alias("d")).select(*(f"d.{c}" for c in ("key", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return each.join(found, "key", "left").select(F.col("id").alias(row_id), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    return docs.drop("pairs", "times").join(found, "key", "left").select(F.col("id").alias(row_id), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

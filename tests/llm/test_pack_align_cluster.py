@@ -219,3 +219,19 @@ def test_bounds_keep_most_vectors_from_a_scan():
 def test_squares_beyond_doubles():
     v = np.array([[1 << 27, -(1 << 27)] * 32, [(1 << 27) - 1, 5] * 32], dtype=np.int64)
     assert hamerly.squared(v, v[::-1]).tolist() == [[sum((int(a) - int(b)) ** 2 for a, b in zip(x, y, strict=True)) for y in v[::-1]] for x in v]
+
+
+def test_a_chunk_that_is_not_given_back_costs_the_others_little():
+    """Chunks are encoded together; before, one bad one among them had all encoded one by one."""
+    both, calls = align.Sides(BYTE, PIECE), []
+    learn = both._learn
+    both._learn = lambda chunks: calls.append(len(chunks)) or learn(chunks)
+    chunks = [f"w{k}" for k in range(1000)] + ["a▁b"]
+    both.learn(chunks)
+    assert both.known["a▁b"] is None and all(both.known[c] for c in chunks[:-1]) and len(calls) < 30
+
+
+def test_aligned_rows_are_of_documents(spark):
+    """A row holds one document's distinct pairs, not a batch's chunks and all their groups at once."""
+    rows = align.described(spark.createDataFrame([(1, "of the of the of"), (2, None)], "doc_id long, text string").coalesce(1), BYTE, PIECE, "text", "doc_id").orderBy("id").collect()
+    assert [(len(r["pairs"]), sorted(r["times"]), r["n_links"]) for r in rows] == [(2, [2, 3], 5), (0, [], 0)]
