@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..schema import IMPACT_PATHS, MAX_DEPTH, MAX_ENTRIES, MAX_FILES, check
+from ..scratch import written
 from .deps import tests_of
 from .paths import expand
 
@@ -20,16 +21,20 @@ def entries(g: Graph, roots: DataFrame, cap: int | None = MAX_ENTRIES) -> DataFr
     return found.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("id"))).where(F.col("n") <= cap).drop("n")
 
 
-def _call_rows(g: Graph, roots: DataFrame, depth: int, limit: int) -> DataFrame:
+def _call_rows(g: Graph, roots: DataFrame, depth: int, limit: int | None, cap: int | None) -> DataFrame:
     """Inbound call paths as paths of owners: equal neighbours collapsed, the root last."""
-    entry = entries(g, roots)
+    entry = entries(g, roots, cap)
     # paths start at the affected function; one expansion serves all entry functions, then roots come back by a join
     # a root's first paths are among the first ones of each of its entries
     paths = expand(g.keyed("CALLS"), entry.select("id").distinct(), depth, "in", per_root=limit).withColumnRenamed("root", "entry")
     paths = paths.join(entry.select(F.col("root"), F.col("id").alias("entry")), "entry")
-    key = F.array_join("node_ids", ">")
-    order = Window.partitionBy("root").orderBy("hops", key, F.array_join("edge_keys", ">"))
-    paths = paths.withColumn("path", F.row_number().over(order)).where(F.col("path") <= limit)
+    if limit is None:
+        # a trail starts at its entry, and its edges tell it from others
+        paths = written(paths.withColumn("path", F.concat_ws(">", "entry", F.array_join("edge_keys", ">"))), "trails")
+    else:
+        key = F.array_join("node_ids", ">")
+        order = Window.partitionBy("root").orderBy("hops", key, F.array_join("edge_keys", ">"))
+        paths = paths.withColumn("path", F.row_number().over(order)).where(F.col("path") <= limit)
     steps = paths.select("root", "path", F.posexplode(F.reverse("node_ids")).alias("at", "fn")).join(g.owners(), "fn", "left")
     owners = steps.groupBy("root", "path").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("owner", "fn").alias("o"), "fn"))).alias("s"))
     ids = F.transform("s", lambda x: x["o"])
@@ -39,17 +44,18 @@ def _call_rows(g: Graph, roots: DataFrame, depth: int, limit: int) -> DataFrame:
     return rows.select("root", F.col("nodes")[0].alias("target"), F.greatest(F.lit(1), F.size("nodes") - 1).alias("hops"), F.lit("CALLS").alias("relationship"), "nodes", F.get("s", F.lit(0))["fn"].alias("via"), F.lit(0).alias("channel"))
 
 
-def _plain_rows(g: Graph, kind: str, channel: int, roots: DataFrame, depth: int, limit: int) -> DataFrame:
+def _plain_rows(g: Graph, kind: str, channel: int, roots: DataFrame, depth: int, limit: int | None) -> DataFrame:
     paths = expand(g.keyed(kind), roots, depth, "in", per_root=limit)
     return paths.select("root", F.col("node").alias("target"), "hops", F.lit(kind).alias("relationship"), F.reverse("node_ids").alias("nodes"), F.lit(None).cast("string").alias("via"), F.lit(channel).alias("channel"))
 
 
-def impact(g: Graph, roots: DataFrame, depth: int = MAX_DEPTH, limit: int = IMPACT_PATHS, exclude: DataFrame | None = None) -> DataFrame:
-    """One row for each root (column id) and affected entity: the shortest evidence, DIRECT at one hop, else INDIRECT."""
+def impact(g: Graph, roots: DataFrame, depth: int = MAX_DEPTH, limit: int | None = IMPACT_PATHS, exclude: DataFrame | None = None, cap: int | None = MAX_ENTRIES) -> DataFrame:
+    """One row for each root (column id) and affected entity: the shortest evidence, DIRECT at one hop, else INDIRECT. limit: a
+    root's first paths of each kind; cap: the functions that it stands for; None: all of them."""
     check("depth", depth, 1, MAX_DEPTH)
     roots = roots.select("id")
     files, classes = roots.join(g.n("File").select("id"), "id", "left_semi"), roots.join(g.n("Class").select("id"), "id", "left_semi")
-    rows = _call_rows(g, roots, depth, limit).unionByName(_plain_rows(g, "IMPORTS", 1, files, depth, limit)).unionByName(_plain_rows(g, "EXTENDS", 2, classes, depth, limit))
+    rows = _call_rows(g, roots, depth, limit, cap).unionByName(_plain_rows(g, "IMPORTS", 1, files, depth, limit)).unionByName(_plain_rows(g, "EXTENDS", 2, classes, depth, limit))
     rows = rows.where("target <> root")
     if exclude is not None:
         rows = rows.join(exclude.select(F.col("id").alias("target")), "target", "left_anti")

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import queries
 from graphloom.graph import Graph
 from graphloom.operators import deps, guardrails, history, impact, intel, ledger, ownership, paths, sync, testsel
 from graphloom.operators.store import Store
@@ -353,3 +354,13 @@ def test_versions_as_deltas(spark, tmp_path):
     assert {p: p.stat().st_mtime_ns for p in files} == files
     assert store.apply(df([("n3", "REMOVED")], "id string, action string"), df([], node_kind), writer="w", number=4) == 5
     assert store.expire(1) == 5 and seen(5) == states[4] and store.version() == 5 and store.manifest(4) is None
+
+
+def test_a_large_directory_is_whole(spark):
+    """Beyond 500 nodes, 500 entry functions and 400 paths, where the queries' SQL has no caps."""
+    inside, callers = [f"fn:in{k:03}" for k in range(520)], [f"fn:out{k:03}" for k in range(520)]
+    files = [f"file:{k:03}" for k in range(520)]
+    nodes = [("dir:7", "Directory"), *((x, "File") for x in files), *((x, "Function") for x in inside + callers)]
+    edges = [*(("dir:7", "CONTAINS", x) for x in files), *((x, "CONTAINS", y) for x, y in zip(files, inside, strict=True)), *((x, "CALLS", y) for x, y in zip(callers, inside, strict=True))]
+    g = graph(spark, nodes, edges)
+    assert {(r["target"], r["hops"]) for r in queries.impact_directory(g).collect()} == {(x, 1) for x in callers}
