@@ -135,13 +135,15 @@ def of_labels(found: DataFrame, inside: DataFrame, nodes: DataFrame, labels: lis
     return kept, inside.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "type", "dst")
 
 
-def neighbourhood(edges: DataFrame, root: DataFrame, depth: int = 2, nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, hops) that are reached by the edges' direction or against it, root first and nearest first up to a cap, and the
-    edges between them. Distances come from frontiers, so a hub costs its edges, and the cap is on nodes alone."""
-    check("nodes", nodes, 1, MAX_NODES)
+def neighbourhood(edges: DataFrame, root: DataFrame, depth: int = 2, nodes: int | None = MAX_NODES) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, hops) that are reached by the edges' direction or against it, root first and nearest first up to a cap (None: all
+    of them), and the edges between them. Distances come from frontiers, so a hub costs its edges, and the cap is on nodes alone."""
+    if nodes is not None:
+        check("nodes", nodes, 1, MAX_NODES)
     both = distances(edges, root, depth, "out").unionAll(distances(edges, root, depth, "in"))
     reached = both.where("node <> root").groupBy("node").agg(F.min("hops").alias("hops")).select(F.col("node").alias("id"), "hops")
-    found = root.select("id", F.lit(0).alias("hops")).unionAll(reached).orderBy("hops", "id").limit(nodes)
+    found = root.select("id", F.lit(0).alias("hops")).unionAll(reached)
+    found = found if nodes is None else found.orderBy("hops", "id").limit(nodes)
     ids = found.select("id")
     inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return found, inside.select("src", "type", "dst")

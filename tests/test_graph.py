@@ -364,3 +364,4 @@ def test_a_large_directory_is_whole(spark):
     edges = [*(("dir:7", "CONTAINS", x) for x in files), *((x, "CONTAINS", y) for x, y in zip(files, inside, strict=True)), *((x, "CALLS", y) for x, y in zip(callers, inside, strict=True))]
     g = graph(spark, nodes, edges)
     assert {(r["target"], r["hops"]) for r in queries.impact_directory(g).collect()} == {(x, 1) for x in callers}
+    assert {tuple(r) for r in queries.neighbourhood_of_labels(g).collect()} == {("dir:7", "CONTAINS", x) for x in files}
