@@ -42,7 +42,8 @@ class Index:
         self.path = (path or f"{shared_dir(self.spark)}/graphloom-grams-{uuid.uuid4().hex}").rstrip("/")
         named = nodes.select("id", "label", F.lower(search_label()).alias("said"), human_label().alias("title")).withColumn("home", _bucket("id"))
         named.repartition("home").write.partitionBy("home").parquet(f"{self.path}/labels")
-        rows = named.select("id", "home", F.explode(F.array_union(grams(F.col("said"), 2), grams(F.col("said"), 3))).alias("gram")).distinct().withColumn("bucket", _bucket("gram"))
+        # repeated nodes repeat their grams, which a search counts once: no table of all grams is held to tell them apart
+        rows = named.select("id", "home", F.explode(F.array_union(grams(F.col("said"), 2), grams(F.col("said"), 3))).alias("gram")).withColumn("bucket", _bucket("gram"))
         cut = F.pmod(F.xxhash64("id"), F.lit(PIECES))
         rows.repartition("bucket", cut).sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").parquet(f"{self.path}/grams")
 
@@ -64,6 +65,8 @@ class Index:
         if parts:
             hits = self.postings(text)
             if len(parts) > 1:
-                hits = hits.groupBy("id", "home").agg(F.count("*").alias("n")).where(F.col("n") == len(parts))
+                # a bit for each of the text's grams; beyond 64 characters of it the others are left to the comparison
+                bit = F.coalesce(*(F.when(F.col("gram") == p, F.lit(1 << k)) for k, p in enumerate(parts[:60])), F.lit(0)).cast("long")
+                hits = hits.groupBy("id", "home").agg(F.bit_or(bit).alias("n")).where(F.col("n") == (1 << min(60, len(parts))) - 1)
             known = known.join(hits.select("id", "home"), ["home", "id"], "left_semi")
         return known.where(F.contains("said", F.lit(text))).select("id", "label", "title").orderBy("title", "id").limit(limit)

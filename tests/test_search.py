@@ -33,3 +33,18 @@ def test_index_finds_what_a_scan_finds(spark):
     assert 1 <= len(folders) <= 2 and "PartitionFilters: [bucket" in index.postings("abab")._jdf.queryExecution().executedPlan().toString().replace("isnotnull(bucket#", "bucket#")
     none = Index(nodes.limit(0))
     assert none.search("ab", ["File"], 5).count() == none.search("", ["File"], 5).count() == 0
+
+
+def test_index_is_built_without_a_table_of_all_grams(spark, monkeypatch):
+    """No aggregate of the exploded grams, which were held by the task that made them; repeated nodes are found as before."""
+    from pyspark.sql import DataFrame
+
+    made = []
+    monkeypatch.setattr(DataFrame, "distinct", lambda self: made.append(self) or self.dropDuplicates())
+    nodes = spark.createDataFrame([("n1", "File", "abcabc", None, None, None, None, None)] * 3 + [("n1", "File", "xyz", None, None, None, None, None), ("n2", "File", "abz" * 40, None, None, None, None, None)], NODE)
+    index = Index(nodes)
+    assert not made
+    assert [r["id"] for r in index.search("bca", ["File"], 9).collect()] == ["n1"] * 3
+    assert [r["id"] for r in index.search("abcabc", ["File"], 9).collect()] == ["n1"] * 3
+    assert [r["id"] for r in index.search("abz" * 39, ["File"], 9).collect()] == ["n2"]
+    assert index.search("abcxyz", ["File"], 9).count() == 0
