@@ -33,6 +33,8 @@ def expand(edges: DataFrame, roots: DataFrame, max_hops: int = MAX_DEPTH, direct
         if simple:
             new = new.where((F.col("d_") == F.col("root")) | ~F.array_contains("node_ids", F.col("d_")))
         level = new.select("root", F.col("d_").alias("node"), F.lit(hops).alias("hops"), F.array_append("node_ids", F.col("d_")).alias("node_ids"), F.array_append("rel_types", F.col("t_")).alias("rel_types"), F.array_append("edge_keys", F.col("k_")).alias("edge_keys"))
+        if hops < max_hops:
+            level = written(level, "level")  # else a task holds the sorts of all joins so far
         if hops >= min_hops:
             levels.append(level)
     out = reduce(DataFrame.unionAll, levels)
@@ -112,7 +114,8 @@ def path_edges(paths: DataFrame) -> DataFrame:
 def distinct_paths(paths: DataFrame) -> DataFrame:
     """One row for each root and list of nodes: that with the first edge keys."""
     first = F.min_by(F.struct("node", "hops", "rel_types", "edge_keys"), F.array_join("edge_keys", ">")).alias("p")
-    return paths.groupBy("root", "node_ids").agg(first).select("root", "p.node", "p.hops", "node_ids", "p.rel_types", "p.edge_keys")
+    # dealt out before they are sorted: else each task sorts what the last join has made of its few edges
+    return paths.repartition("root", "node_ids").groupBy("root", "node_ids").agg(first).select("root", "p.node", "p.hops", "node_ids", "p.rel_types", "p.edge_keys")
 
 
 def merged(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -365,3 +365,13 @@ def test_a_large_directory_is_whole(spark):
     g = graph(spark, nodes, edges)
     assert {(r["target"], r["hops"]) for r in queries.impact_directory(g).collect()} == {(x, 1) for x in callers}
     assert {tuple(r) for r in queries.neighbourhood_of_labels(g).collect()} == {("dir:7", "CONTAINS", x) for x in files}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_are_dealt_out_before_they_are_sorted(spark):
+    e = edges_of(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a")])
+    plan = _plan(paths.distinct_paths(paths.expand(e, roots(spark, "a", "b"), 3)))
+    assert plan.index("Sort [root") < plan.index("REPARTITION_BY_COL")  # the plan's text has the last step first
