@@ -86,10 +86,13 @@ def class_dependencies(g: Graph, direction: str = "out") -> DataFrame:
     return calls.unionByName(parents)
 
 
-def tests_of(g: Graph, containers: bool = False) -> DataFrame:
-    """(entity, test): tests of the functions of every function, file and class, and of containers if asked."""
+def tests_of(g: Graph, containers: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """(entity, test): tests of the functions of every function, file and class, and of containers if asked; of those in of (id)
+    alone, if it is given."""
     tests = g.e("TESTS").select(F.col("dst").alias("fn"), F.col("src").alias("test"))
-    return g.members(containers=containers).join(tests, "fn").select("entity", "test").distinct()
+    members = g.members(containers=containers)
+    members = members if of is None else members.join(of.select(F.col("id").alias("entity")), "entity", "left_semi")
+    return members.join(tests, "fn").select("entity", "test").distinct()
 
 
 def tests_for(g: Graph, entity: str) -> DataFrame:
@@ -157,10 +160,13 @@ def incident(g: Graph, node: str) -> DataFrame:
 
 
 def relationship_summary(g: Graph, kinds: tuple[str, ...] = ("CALLS", "IMPORTS", "EXTENDS")) -> DataFrame:
-    """For every function, file and class: distinct neighbours by type and direction, tests, and all incident edges."""
-    entities = g.n("Function", "File", "Class").select("id")
-    both = g.edges.select(F.col("src").alias("id"), "type", F.lit("out").alias("d"), F.col("dst").alias("o")).unionAll(g.edges.select(F.col("dst").alias("id"), "type", F.lit("in").alias("d"), F.col("src").alias("o")))
-    counts = [F.count_distinct(F.when((F.col("type") == k) & (F.col("d") == d), F.col("o"))).alias(f"{k.lower()}_{d}") for k in kinds for d in ("out", "in")]
+    """For every function, file and class: distinct neighbours by type and direction, tests, and all incident edges. An edge is
+    in the graph once, so that a neighbour is an edge, and nothing is kept to tell them apart."""
+    labels = ["Function", "File", "Class"]
+    entities = g.n(*labels).select("id")
+    ends = lambda here, d, there: g.edges.where(F.col(f"{here}_label").isin(*labels)).select(F.col(here).alias("id"), "type", F.lit(d).alias("d"), F.col(there).alias("o"))
+    both = ends("src", "out", "dst").unionAll(ends("dst", "in", "src"))
+    counts = [F.count(F.when((F.col("type") == k) & (F.col("d") == d), F.col("o"))).alias(f"{k.lower()}_{d}") for k in kinds for d in ("out", "in")]
     loops = F.sum(F.when((F.col("d") == "in") & (F.col("o") == F.col("id")), 0).otherwise(1)).alias("relationships")
     sums = both.groupBy("id").agg(*counts, loops)
     tests = tests_of(g).groupBy(F.col("entity").alias("id")).agg(F.count("*").alias("tests"))

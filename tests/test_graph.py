@@ -375,3 +375,11 @@ def test_paths_are_dealt_out_before_they_are_sorted(spark):
     e = edges_of(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a")])
     plan = _plan(paths.distinct_paths(paths.expand(e, roots(spark, "a", "b"), 3)))
     assert plan.index("Sort [root") < plan.index("REPARTITION_BY_COL")  # the plan's text has the last step first
+
+
+def test_summary_needs_no_copies_of_edges(spark):
+    """A count_distinct for each type and direction made seven rows of every end of an edge."""
+    g = graph(spark, [("fn:a", "Function"), ("fn:b", "Function"), ("file:f", "File"), ("dir:d", "Directory")], [("fn:a", "CALLS", "fn:b"), ("fn:a", "CALLS", "fn:b"), ("fn:b", "CALLS", "fn:b"), ("file:f", "CONTAINS", "fn:a"), ("dir:d", "CONTAINS", "file:f")])
+    out = deps.relationship_summary(g)
+    assert "Expand" not in _plan(out)
+    assert {r["id"]: (r["calls_out"], r["calls_in"], r["relationships"]) for r in out.collect()} == {"fn:a": (1, 0, 2), "fn:b": (1, 2, 2), "file:f": (0, 0, 2)}
