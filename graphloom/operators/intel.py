@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..scratch import written
 from .deps import tests_of
 from .history import changes, contributors, entity_files
 from .paths import cycles
@@ -59,14 +60,27 @@ def languages(g: Graph) -> DataFrame:
     return sums.withColumn("percent", F.round(100 * F.col("files") / F.sum("files").over(Window.partitionBy())).cast("long"))
 
 
+def _commits_of(g: Graph, entities: DataFrame) -> DataFrame:
+    """(id, commits): how many commits modify each entity's file. They are counted for each file, not for each entity of it; only
+    entities of several files have their commits told apart."""
+    touched = g.e("MODIFIES", src="Commit").select(F.col("src").alias("commit"), F.col("dst").alias("file"))
+    files = entity_files(g).withColumnRenamed("entity", "id").join(entities.select("id"), "id", "left_semi").distinct()
+    files = written(files.withColumn("n", F.count("*").over(Window.partitionBy("id"))), "files")
+    counted = touched.groupBy("file").agg(F.count_distinct("commit").alias("commits"))
+    one = files.where("n = 1").join(counted, "file").select("id", "commits")
+    several = files.where("n > 1").select("id", "file")
+    return one.unionAll(several.join(touched, "file").groupBy("id").agg(F.count_distinct("commit").alias("commits")))
+
+
 def orphans(g: Graph, strict: bool = False) -> DataFrame:
     """Files, classes and functions without a called member and without importers or children; their tests and commits."""
     entities = g.n("File", "Class", "Function").select("id", "label", "path")
     called = g.members(strict).join(g.e("CALLS").select(F.col("dst").alias("fn")).distinct(), "fn").select(F.col("entity").alias("id"))
     wanted = g.e("IMPORTS", "EXTENDS").select(F.col("dst").alias("id"))
     lone = entities.join(called, "id", "left_anti").join(wanted, "id", "left_anti").where((F.col("label") != "File") | code_only(F.col("path")))
-    tests = tests_of(g).groupBy(F.col("entity").alias("id")).agg(F.count("*").alias("tests"))
-    commits = entity_files(g).join(changes(g), "file").groupBy(F.col("entity").alias("id")).agg(F.count_distinct("commit").alias("commits"))
+    lone = written(lone.select("id", "label"), "lone")
+    tests = tests_of(g, of=lone).groupBy(F.col("entity").alias("id")).agg(F.count("*").alias("tests"))
+    commits = _commits_of(g, lone)
     return lone.join(tests, "id", "left").join(commits, "id", "left").select("id", "label", F.coalesce("tests", F.lit(0)).alias("tests"), F.coalesce("commits", F.lit(0)).alias("commits"))
 
 

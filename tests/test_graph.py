@@ -383,3 +383,12 @@ def test_summary_needs_no_copies_of_edges(spark):
     out = deps.relationship_summary(g)
     assert "Expand" not in _plan(out)
     assert {r["id"]: (r["calls_out"], r["calls_in"], r["relationships"]) for r in out.collect()} == {"fn:a": (1, 0, 2), "fn:b": (1, 2, 2), "file:f": (0, 0, 2)}
+
+
+def test_commits_are_counted_by_file(spark, monkeypatch):
+    """Not by pairs of an entity and a commit, but for an entity in several files, whose commits are told apart."""
+    nodes = [("file:a", "File"), ("file:b", "File"), ("fn:a", "Function"), ("fn:both", "Function"), *((f"commit:{k}", "Commit") for k in range(3))]
+    edges = [("file:a", "CONTAINS", "fn:a"), ("file:a", "CONTAINS", "fn:both"), ("file:b", "CONTAINS", "fn:both"), *((f"commit:{k}", "MODIFIES", x) for k, x in ((0, "file:a"), (1, "file:a"), (1, "file:b"), (2, "file:b")))]
+    g = graph(spark, nodes, edges)
+    assert {r["id"]: r["commits"] for r in intel._commits_of(g, g.nodes).collect()} == {"file:a": 2, "file:b": 2, "fn:a": 2, "fn:both": 3}
+    assert {r["id"]: r["commits"] for r in intel.orphans(g).collect()} == {"file:a": 2, "file:b": 2, "fn:a": 2, "fn:both": 3}
