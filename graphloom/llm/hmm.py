@@ -33,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROWS, trim, written
+from .common import trim, written
 from .words import partial_counts, top, words_of
 
 STATES, SYMBOLS, LENGTHS, ROUNDS, KNOWN, FOLDS = 8, 8192, 24, 3, 131_072, 10
 SMOOTH = 0.1
 #: Cells (texts times steps) of one array of the recursions.
 CELLS = 1 << 20
+#: Symbols of the texts that are recursed on together: a step costs much the same for one text as for hundreds, and the few
+#: longest texts of some rows take as many steps as those of many rows. They are int16, so a few megabytes.
+TOGETHER = 1 << 21
 END = 0
 
 
@@ -243,6 +246,24 @@ def encoded(docs: DataFrame, symbols, shared: np.ndarray, end_log: float) -> Dat
     return docs.select("id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Batches of so many symbols (last column), and their sequences."""
+    held: list[pa.RecordBatch] = []
+    texts: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        column = batch.column(batch.num_columns - 1)
+        flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        held.append(batch)
+        texts += [flat[x:y] for x, y in itertools.pairwise(ends)]
+        size += int(ends[-1] - ends[0]) if len(ends) else 0
+        if size > TOGETHER:
+            yield held, texts
+            held, texts, size = [], [], 0
+    if held:
+        yield held, texts
+
+
 def train(sequences: DataFrame, totals: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all sequences (column symbols). totals: training counts by symbol."""
     model = Model.fresh(totals)
@@ -252,12 +273,9 @@ def train(sequences: DataFrame, totals: np.ndarray, rounds: int = ROUNDS) -> Mod
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             start, moves, emissions = (np.zeros(x.shape) for x in (now.value.start, now.value.moves, now.value.emissions))
-            for batch in batches:
-                column = batch.column(0)
-                flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-                for at in range(0, batch.num_rows, ROWS):
-                    a, b, c = now.value.expected([flat[x:y] for x, y in itertools.pairwise(ends[at : at + ROWS + 1])])
-                    start, moves, emissions = start + a, moves + b, emissions + c
+            for _, texts in _together(batches):
+                a, b, c = now.value.expected(texts)
+                start, moves, emissions = start + a, moves + b, emissions + c
             states = len(start)
             rows = np.concatenate([start[:, None], moves, emissions], axis=1)  # a column for each parameter
             used = np.flatnonzero(rows.sum(0))
@@ -304,11 +322,11 @@ def scores(df: DataFrame, text: str = "text", row_id: str = "doc_id", rounds: in
     model = send(train(parts.where("NOT held_out").select("symbols"), totals, rounds))
 
     def latent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            found = [model.value.score([flat[x:y] for x, y in itertools.pairwise(ends[at : at + ROWS + 1])]) for at in range(0, batch.num_rows, ROWS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([*found, np.empty(0)]))], names=[*batch.schema.names[:-1], "latent"])
+        for held, texts in _together(batches):
+            found, at = model.value.score(texts), 0
+            for batch in held:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found[at : at + batch.num_rows])], names=[*batch.schema.names[:-1], "latent"])
+                at += batch.num_rows
         trim()
 
     narrow = parts.select("row", "id", "held_out", "n_tokens", "seen", "base", "inner", "symbols")

@@ -348,3 +348,14 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch):
     common.discard(df)
     with pytest.raises(Exception, match="x"):
         spark.read.parquet(df._path)
+
+
+def test_hmm_texts_of_many_batches_are_recursed_on_together(monkeypatch):
+    import pyarrow as pa
+
+    column = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int16()))], names=["symbols"])
+    batches = [column([[1, 2, 0], [0]]), column([]), column([[3, 0]]), column([[4, 0]])]
+    held = list(hmm._together(iter(batches)))
+    assert [([b.num_rows for b in some], [t.tolist() for t in texts]) for some, texts in held] == [([2, 0, 1, 1], [[1, 2, 0], [0], [3, 0], [4, 0]])]
+    monkeypatch.setattr(hmm, "TOGETHER", 3)
+    assert [len(texts) for _, texts in hmm._together(iter(batches))] == [2, 2]
